@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,21 +12,48 @@ from pyspark.sql import functions as F
 #: Rows of 64 bytes or less that may be sent to every executor; beyond it a join is left to shuffle.
 BROADCAST_ROWS = 500_000
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Only a session without any (a test) gets its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-test-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there, so that a lost executor costs no recomputation.
+    """Write df as a table in the shared folder and read it back: a lost executor then costs no recomputation.
 
-    The folder is the one of spark.checkpoint.dir; only a session without any (a test) gets a folder of its own.
+    The table is removed when the driver process ends.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-test-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark).rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written() -> None:
+    """Remove the tables that cut() wrote."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session is gone, so the folder's owner cleans up
+            return
+
+
+atexit.register(drop_written)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -33,7 +62,3 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     df should already be materialised (see cut), as the count runs it.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
