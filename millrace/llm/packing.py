@@ -100,7 +100,7 @@ def pack(sizes: DataFrame, profiles: DataFrame, id_col: str = "doc_id") -> DataF
     within = W.partitionBy("profile", "len", "salt").orderBy("id", "piece")
     ranked = (
         pieces.withColumn("rn", F.row_number().over(within) - 1)
-        .join(F.broadcast(offsets.drop("n")), ["profile", "len", "salt"])  # profiles x capacity x SALTS rows at most
+        .join(offsets.drop("n"), ["profile", "len", "salt"])  # the window already has this partitioning
         .withColumn("rank", F.col("rn") + F.col("offset"))
     )
     return ranked.join(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import leakage, mixing, neardup, packing, splitting, tokens, turns
+from millrace.llm import encoding, leakage, mixing, neardup, packing, pairs, splitting, tokens, turns
 from millrace.runtime import cut, table
 
 
@@ -20,6 +20,15 @@ def p1_items(spark: SparkSession, d: str) -> DataFrame:
     return p1_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, d, "messages"), table(spark, d, "documents"))
+
+
+def p2_defects(spark: SparkSession, d: str) -> DataFrame:
+    """(defect, pairs): how many pairs have each defect."""
+    return p2_found(spark, d).groupBy("defect").agg(F.count("*").alias("pairs"))
+
+
 def _near_duplicates(spark: SparkSession, d: str) -> neardup.NearDuplicates:
     who = turns.speaker(F.col("role"))
     rows = table(spark, d, "messages").where(who.isin("user", "assistant"))
@@ -27,8 +36,8 @@ def _near_duplicates(spark: SparkSession, d: str) -> neardup.NearDuplicates:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _near_duplicates(spark, d).pairs()
-    return pairs.select(F.col("id_a").alias("message_id_a"), F.col("id_b").alias("message_id_b"))
+    linked = _near_duplicates(spark, d).pairs()
+    return linked.select(F.col("id_a").alias("message_id_a"), F.col("id_b").alias("message_id_b"))
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -69,10 +78,20 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares_report(sizes, targets, mixing.mix(sizes, targets))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.repair(table(spark, d, "documents"), found_only=True)
+
+
+def p7_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.repair(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_items": p1_items,
+        "p2_found": p2_found,
+        "p2_defects": p2_defects,
         "p3_found": p3_found,
         "p3_groups": p3_groups,
         "p4_found": p4_found,
@@ -81,6 +100,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_fill": p5_fill,
         "p6_chosen": p6_chosen,
         "p6_shares": p6_shares,
+        "p7_found": p7_found,
+        "p7_restored": p7_restored,
     }
 
 
