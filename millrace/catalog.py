@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import chat, corpus, ordering  # noqa: F401  each registers its queries
+from millrace.plans import chat, corpus, evaluation, numbers, operations, ordering, stream  # noqa: F401  each registers its queries
 from millrace.plans.registry import ORACLES, QUERIES
 
 
