@@ -105,5 +105,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Where natural boundaries lie, and whether more than max_tokens - overlap ids follow each other without one.
+P4_FOUND = """
+WITH e AS (SELECT DISTINCT example_id, ids, max_tokens, max_tokens - overlap AS most FROM examples JOIN window_profiles USING (profile)),
+u AS (SELECT example_id, max_tokens, most, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM e),
+v AS (SELECT token_id, token_bytes IN (encode('<|system|>'), encode('<|user|>'), encode('<|assistant|>')) AS is_role, token_bytes = encode('<|endoftext|>') AS is_end, token_bytes = encode('<|pad|>') AS is_pad,
+right(hex(token_bytes), 2) = '0A' AS is_line, right(hex(token_bytes), 2) IN ('2E', '21', '3F') AS is_stop, left(hex(token_bytes), 2) IN ('20', '0A') AS is_blank
+FROM vocab),
+t AS (SELECT u.*, is_role, is_end, is_pad, is_line, is_stop, is_blank FROM u LEFT JOIN v ON id = token_id),
+n AS (SELECT example_id, max(pos) FILTER (NOT coalesce(is_pad, false)) + 1 AS n FROM t GROUP BY example_id),
+b AS (SELECT example_id, pos, coalesce(is_role, false) OR coalesce(lag(is_end OR is_line) OVER w, false) OR (coalesce(lag(is_stop) OVER w, false) AND coalesce(is_blank, false)) AS cut FROM t WINDOW w AS (PARTITION BY example_id ORDER BY pos)),
+edges AS (SELECT example_id, pos FROM b JOIN n USING (example_id) WHERE (cut AND pos > 0 AND pos < n) OR pos = 0 UNION ALL SELECT example_id, n FROM n),
+gaps AS (SELECT example_id, max(g) AS g FROM (SELECT example_id, pos - lag(pos) OVER (PARTITION BY example_id ORDER BY pos) AS g FROM edges) GROUP BY example_id)
+SELECT e.example_id, CASE WHEN g > most THEN 'forced' ELSE 'natural' END AS cut FROM e JOIN n USING (example_id) JOIN gaps USING (example_id) WHERE n > max_tokens
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": P4_FOUND}
