@@ -10,12 +10,13 @@ import json
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.pieces import pieces
-from millrace.runtime import cut, small
+from millrace.runtime import cut, spread
 
 #: Symbol id k is the character U+3400 + k; ids up to 41,000 stay below the surrogates.
 BASE = 0x3400
@@ -24,6 +25,8 @@ BYTES = 256
 DRIVER_PIECES = 400_000
 #: Rounds of distributed training after which the symbols are written out, to keep plans short.
 ROUNDS_PER_CUT = 8
+#: Pieces whose ids a worker remembers.
+MEMO = 500_000
 
 _BYTE_CHARS = "".join(chr(BASE + k) for k in range(BYTES))
 
@@ -190,24 +193,34 @@ def encode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str
     Each batch encodes its different pieces once and keeps them for the batches after it, so no piece is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(v)
-    src = docs.where(F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), pieces(F.col(f"`{text_col}`")).alias("pieces"))
+    src = docs.where(F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    src = spread(src).select("id", pieces(F.col("text")).alias("pieces"))
     kind = src.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
         for b in batches:
-            out = []
-            for text in b.column("pieces").to_pylist():
-                ids: list[int] = []
-                for p in text:
-                    got = known.get(p)
-                    if got is None:
-                        if len(known) >= 500_000:
-                            known.clear()
-                        got = known[p] = shared.value.encode_piece(p)
-                    ids += got
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.list_(pa.int32()))], names=["id", "ids"])
+            column = b.column("pieces")
+            bounds = column.offsets.to_numpy() - column.offsets[0].as_py()
+            coded = column.flatten().dictionary_encode()
+            if len(known) >= MEMO:
+                known.clear()
+            each = []
+            for p in coded.dictionary.to_pylist():
+                got = known.get(p)
+                if got is None:
+                    got = known[p] = shared.value.encode_piece(p)
+                each.append(got)
+            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            flat = np.fromiter((i for ids in each for i in ids), np.int32, int(sizes.sum()))
+            begins = np.cumsum(sizes) - sizes
+            which = coded.indices.to_numpy()
+            n = sizes[which]
+            ends = np.cumsum(n)
+            place = np.repeat(begins[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+            offsets = np.concatenate([[0], ends])[bounds].astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[place]))
+            yield pa.RecordBatch.from_arrays([b.column("id"), ids], names=["id", "ids"])
 
     return src.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 

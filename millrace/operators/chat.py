@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import bpe
 from millrace.operators.order import positioned, restarting_groups
+from millrace.sources.text import strict_json
 
 #: The token of each role.
 ROLES = {"system": "<|system|>", "user": "<|user|>", "assistant": "<|assistant|>"}
@@ -31,7 +32,7 @@ def parse_records(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """
     keep = lines.columns
     raw = F.col(f"`{line_col}`")
-    r = lines.withColumn("__r", F.from_json(raw, RECORD)).withColumn("__v", F.try_parse_json(raw))
+    r = lines.withColumn("__r", F.from_json(raw, RECORD)).withColumn("__v", strict_json(raw))
     has = lambda k: F.schema_of_variant(F.try_variant_get("__v", f"$.{k}", "variant")).isNotNull()
     r = r.select(*keep, "__r.*", has("messages").alias("__m"), has("instruction").alias("__i"), F.col("__v").isNull().alias("__bad"))
     turns = F.filter("messages", lambda m: m.role.isin(*ROLES) & (m.content != ""))

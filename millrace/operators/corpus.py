@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from millrace.functions import bpe
 from millrace.operators.order import positioned, restarting_groups
+from millrace.runtime import cut
+from millrace.sources import shards
 
 
 def usable(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -56,3 +59,31 @@ def rolled(rows: DataFrame, shard_tokens: int, fraction: float) -> DataFrame:
         part = part.select(F.lit(split).alias("split"), F.col("grp").alias("shard"), "n_docs", "n_tokens")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def prepare(docs: DataFrame, v: bpe.Vocabulary, train_dir: str, val_dir: str | None = None, shard_tokens: int = 100_000_000, fraction: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> dict:
+    """Encode a corpus, split it, roll it into shards and write them with their indexes; gives the train split's shards and tokens, and the progress counts.
+
+    Both indexes carry the bytes per token and number of documents of the whole corpus. A val_dir with a fraction of 0 is an error.
+    """
+    if val_dir and not fraction:
+        raise ZeroDivisionError("a validation folder needs a fraction")
+    seen = Observation("prepare")
+    src = usable(docs, text_col).observe(seen, F.count("*").alias("docs"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("bytes"))
+    end = F.array(F.lit(v.end_id()))
+    enc = cut(bpe.encode(src, v, id_col, text_col).withColumn("ids", F.concat("ids", end)))
+    rows = positioned(enc.select(id_col, F.size("ids").cast("bigint").alias("len")), [id_col], ["len"])
+    counts = seen.get
+    tokens = rows.agg(F.coalesce(F.sum("len"), F.lit(0))).head()[0]
+    extra = {"bytes_per_token": counts["bytes"] / max(tokens, 1), "n_documents": counts["docs"], "eos_id": v.end_id()}
+    done = {}
+    for split, folder in (("train", train_dir), ("val", val_dir)):
+        if not folder:
+            continue
+        own = positioned(rows.where(split_name(F.col("ord"), fraction) == split).select(id_col, "len"), [id_col], ["len"])
+        grp = own.select(id_col, "ord").join(restarting_groups(own, shard_tokens, "roll"), "ord")
+        index = cut(shards.write_shards(enc.join(grp, id_col).select("grp", "ord", "ids"), folder, v.size))
+        shards.write_index(docs.sparkSession, folder, index, v.size, extra)
+        if split == "train":
+            done = {"shards": index.count(), "tokens": index.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).head()[0]}
+    return done | dict(counts)

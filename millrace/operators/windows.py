@@ -33,6 +33,21 @@ def windows(docs: DataFrame, length: int) -> DataFrame:
     return joined.select("seq_idx", F.flatten(F.col("s.t")).alias("tokens")).where(F.size("tokens") == length + 1)
 
 
+def chunks(docs: DataFrame, size: int) -> DataFrame:
+    """(chunk, tokens): the stream of documents (ids, before_len) in chunks of `size` tokens, the last one shorter."""
+    lo = F.expr(f"greatest(before_len, chunk * {size})")
+    hi = F.expr(f"least(before_len + size(ids), chunk * {size} + {size})")
+    first, last = F.expr(f"before_len div {size}"), F.expr(f"(before_len + size(ids) - 1) div {size}")
+    part = docs.where("size(ids) > 0").select("ids", "before_len", F.explode(F.sequence(first, last)).alias("chunk")).withColumn("lo", lo).withColumn("hi", hi)
+    part = part.select("chunk", F.struct("lo", F.expr("slice(ids, int(lo - before_len) + 1, int(hi - lo))").alias("t")).alias("s"))
+    return part.groupBy("chunk").agg(F.array_sort(F.collect_list("s")).alias("s")).select("chunk", F.flatten(F.col("s.t")).alias("tokens"))
+
+
+def gather(plan: DataFrame, seqs: DataFrame) -> DataFrame:
+    """A batch plan with its windows' tokens."""
+    return plan.join(seqs, "seq_idx")
+
+
 def inputs_and_targets(tokens: Column, length: int) -> tuple[Column, Column]:
     return F.slice(tokens, 1, length), F.slice(tokens, 2, length)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.functions import bpe
 from millrace.operators import chat
 from millrace.plans.registry import query
-from millrace.runtime import table
+from millrace.runtime import shared_dir, table
 
 SPECIALS = ["<|endoftext|>", "<|pad|>", "<|system|>", "<|user|>", "<|assistant|>"]
 VOCAB = bpe.Vocabulary([], SPECIALS)
@@ -100,3 +102,14 @@ def sft_8(spark, d):
     s = table(spark, d, "vocab").where("is_special").select("token_id", F.decode("token_bytes", "UTF-8").alias("name"))
     pick = lambda n: F.max(F.when(F.col("name") == n, F.col("token_id")))
     return s.agg(F.coalesce(pick("<|pad|>"), pick("<|endoftext|>")).alias("pad_id"))
+
+
+@query("src_13", f"WITH {_KNOWN} SELECT md5(string_agg('<|' || role || '|>' || content, '' ORDER BY turn) || '<|assistant|>') AS digest FROM k GROUP BY conv_id")
+def src_13(spark, d):
+    """Conversations written as JSON lines, with lines that are none among them, and read back."""
+    path = f"{shared_dir(spark).rstrip('/')}/millrace-chats-{uuid.uuid4().hex}.jsonl"
+    good = convs(spark, d).select(F.to_json(F.struct(F.expr("transform(messages, m -> struct(m.role as role, m.content as content))").alias("messages"))).alias("value"))
+    bad = spark.createDataFrame([("",), ("{broken",), ("[1]",), ('{"text": "x"}',)], "value string")
+    good.union(bad).write.text(path)
+    got = chat.parse_records(spark.read.text(path), "value").where("messages is not null")
+    return got.select(F.md5(chat.render(F.col("messages"))).alias("digest"))

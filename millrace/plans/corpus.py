@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.functions import bpe
@@ -9,7 +11,7 @@ from millrace.functions.pieces import piece_counts, pieces, prune_rare
 from millrace.operators import corpus, windows
 from millrace.operators.order import positioned
 from millrace.plans.registry import query
-from millrace.runtime import cut, small, table
+from millrace.runtime import cut, shared_dir, small, spread, table
 from millrace.sources import shards, text
 
 WS = r"\t\n\x0B\f\r \x{85}\p{Z}"
@@ -26,7 +28,7 @@ VAL, SHARD = 0.07, 40_000
 
 
 def docs(spark, d):
-    return corpus.usable(table(spark, d, "documents"))
+    return spread(corpus.usable(table(spark, d, "documents").select("doc_id", "text")))
 
 
 @query("src_1", f"WITH {DOCS} SELECT doc_id, length(text)::INT AS n_chars, md5(text) AS digest FROM docs")
@@ -235,7 +237,6 @@ def snk_4(spark, d):
 def src_16(spark, d):
     """Documents as byte tokens, written as binary shards and read back: (shard, n_tokens, n_docs, id_sum)."""
     from millrace.operators.order import restarting_groups
-    from millrace.runtime import shared_dir
 
     rows = positioned(docs(spark, d).select("doc_id", (F.octet_length("text") + 1).cast("bigint").alias("len")), ["doc_id"], ["len"])
     grp = rows.select("doc_id", "ord").join(restarting_groups(rows, SHARD * 4, "roll"), "ord")
@@ -296,3 +297,62 @@ def win_4(spark, d):
     blocks = blocks.where("i * 5000 >= off and i * 5000 < off + n")
     most = f.agg(F.expr("sum(n) div 5000").alias("m"))
     return blocks.join(F.broadcast(most), F.col("i") < F.col("m")).select((F.col("i") * 5000).alias("pos"), "shard", (F.col("i") * 5000 - F.col("off")).alias("inside"))
+
+
+@query("src_19", f"WITH {_STREAM} SELECT (pos // 10000)::BIGINT AS chunk, count(*)::INT AS n, sum(tok)::BIGINT AS id_sum FROM toks GROUP BY 1")
+def src_19(spark, d):
+    rows = byte_ids(docs(spark, d)).join(measured(spark, d).select("doc_id", "before_len"), "doc_id")
+    return windows.chunks(rows, 10_000).select("chunk", F.size("tokens").alias("n"), F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t).alias("id_sum"))
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
+
+
+@query("src_9", f"WITH {DOCS} SELECT md5(text) AS digest, count(*) AS n FROM docs GROUP BY 1")
+def src_9(spark, d):
+    """Documents written as compressed JSON lines, and read back as a corpus."""
+    path = f"{_folder(spark, 'corpus')}.jsonl"
+    lines = docs(spark, d).select(F.to_json(F.struct("doc_id", "text")).alias("value"))
+    lines.write.option("compression", "gzip").text(path)
+    return text.read_corpus(spark, path).groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
+
+
+@query("src_3", "SELECT item_id, md5(replace(context, chr(13), chr(10)) || chr(10)) AS digest FROM (SELECT DISTINCT item_id, context FROM eval_items WHERE context IS NOT NULL)")
+def src_3(spark, d):
+    """Items' contexts written as a file each, and read back whole."""
+    path = _folder(spark, "texts")
+    rows = table(spark, d, "eval_items").where("context is not null").select("item_id", "context").distinct()
+    rows.repartition(4).write.partitionBy("item_id").text(path)
+    got = text.whole_texts(spark, f"{path}/*/*.txt")
+    return got.select(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("bigint").alias("item_id"), F.md5("text").alias("digest"))
+
+
+@query("src_22", "SELECT event_id, json_valid(CASE WHEN event_id % 3 = 0 THEN substr(props, 2) ELSE props END) AS readable FROM events")
+def src_22(spark, d):
+    raw = F.when(F.col("event_id") % 3 == 0, F.substring("props", 2, 1 << 20)).otherwise(F.col("props"))
+    return table(spark, d, "events").select("event_id", text.manifest(raw).isNotNull().alias("readable"))
+
+
+@query("snk_7", "SELECT event_type AS run, count(*) AS n, max(value) AS largest FROM events GROUP BY event_type")
+def snk_7(spark, d):
+    """A metric log appended to in two writes, and read back."""
+    from millrace.operators import telemetry
+
+    path = _folder(spark, "log")
+    e = table(spark, d, "events")
+    line = F.to_json(F.struct(F.col("event_type").alias("run"), F.col("event_id").alias("step"), telemetry.number(F.col("value").cast("string")).alias("train/loss")))
+    for part in (0, 1):
+        e.where(F.col("event_id") % 2 == part).select(line.alias("value")).write.mode("append").text(path)
+    return text.metric_log(spark, path).groupBy("run").agg(F.count("*").alias("n"), F.max("`train/loss`").alias("largest"))
+
+
+@query("snk_9", f"WITH {DOCS} SELECT doc_id, sha256(text) AS digest FROM docs")
+def snk_9(spark, d):
+    return docs(spark, d).select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("tok_18", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{k:02X}', false)" for k in range(256)) + ", (256, '6572', false), (257, '696E', false), (258, '6174', false), (259, '6F6E', false), (260, '656E', false), (261, '7468', false), (262, '7265', false), (263, '6F72', false), (264, '7374', false), (265, '746865', false), (299, '3C7C70616E7C3E', true)) AS v(id, bytes, is_special)".replace("70616E", "706164"))
+def tok_18(spark, d):
+    v = bpe.Vocabulary(MERGES, ["<|pad|>"], 300)
+    return bpe.vocabulary_table(spark, v).select("id", F.hex("bytes").alias("bytes"), "is_special")

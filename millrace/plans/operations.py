@@ -242,3 +242,29 @@ def plan_2(spark, d):
 @query("plan_3", "SELECT o_orderkey, greatest(1, round_even(524288 / ((o_custkey + 1) * 1024), 0))::BIGINT AS accum FROM orders")
 def plan_3(spark, d):
     return table(spark, d, "orders").select("o_orderkey", planning.accumulation(F.lit(524288), (F.col("o_custkey") + 1) * 1024).alias("accum"))
+
+
+@query("ckpt_2", "SELECT doc_id, strlen(text)::BIGINT AS size, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL")
+def ckpt_2(spark, d):
+    """Size and hash of contents, as a manifest has them."""
+    files = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return ck.manifest_files(files).withColumnRenamed("path", "doc_id")
+
+
+@query("ckpt_9", f"WITH {_OK} SELECT name, step FROM cat JOIN ok USING (name) WHERE ok AND step < 29 ORDER BY step DESC LIMIT 1")
+def ckpt_9(spark, d):
+    """What is fetched from a mirror that has the checkpoints before step 29."""
+    return ck.latest(catalog(spark).where("step < 29"), verdicts(spark), None).select("name", "step")
+
+
+@query("sch_3", "SELECT s AS step, round(0.02 * (CASE WHEN s < 100 THEN (s + 1) / 100 ELSE 1 END), 6)::DOUBLE AS lr FROM range(700) AS t(s)")
+def sch_3(spark, d):
+    """The rate of a second group, in the ratio of the first."""
+    main = planning.learning_rate(F.col("id"), 6e-4, 1000, 100)
+    return spark.range(700).select(F.col("id").alias("step"), F.round(main * (0.02 / 6e-4), 6).alias("lr"))
+
+
+@query("plan_4", "SELECT s AS step, s + greatest(1, floor(0.2 * 1000))::BIGINT AS max_steps FROM range(500) AS t(s)")
+def plan_4(spark, d):
+    """An early finish at each step: the decay begins there."""
+    return spark.range(500).select(F.col("id").alias("step"), (F.col("id") + max(1, int(0.2 * 1000))).alias("max_steps"))

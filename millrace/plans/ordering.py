@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import shuffle
 from millrace.operators import mixture, windows
+from millrace.plans import corpus
 from millrace.plans.registry import query
 from millrace.runtime import table
 
@@ -121,3 +122,70 @@ def mix_5(spark, d):
 @query("mix_7", "SELECT s AS step, CASE WHEN s / 200 < 0.7 THEN 0 WHEN s / 200 < 0.9 THEN 1 ELSE 2 END::INT AS stage FROM range(260) AS t(s)")
 def mix_7(spark, d):
     return spark.range(260).select(F.col("id").alias("step"), mixture.stage_of(F.col("id") / 200, [0.7, 0.9, 1.0]).cast("int").alias("stage"))
+
+
+@query("perm_1", f"SELECT message_id, ({_mix('message_id')} & 9223372036854775807::UBIGINT)::BIGINT AS x FROM messages")
+def perm_1(spark, d):
+    """The finaliser of each id, its lower 63 bits."""
+
+    @F.pandas_udf("bigint")
+    def run(x):
+        import numpy as np
+        import pandas as pd
+
+        return pd.Series((shuffle._mix_all(x.to_numpy().astype(np.uint64)) & np.uint64((1 << 63) - 1)).astype(np.int64))
+
+    return table(spark, d, "messages").select("message_id", run("message_id").alias("x"))
+
+
+@query("perm_2", "SELECT n, greatest(1, ceil(ceil(log2(n)) / 2))::INT AS half FROM range(2, 3000) AS t(n)")
+def perm_2(spark, d):
+    return spark.createDataFrame([(n, shuffle.half_width(n)) for n in range(2, 3000)], "n bigint, half int")
+
+
+@query("load_1", f"WITH RECURSIVE s AS (SELECT i AS idx, {_SEED.replace('e + 1', '4')} AS seed FROM range(127) AS t(i)), {_perm(127, 's')} SELECT idx AS k, out AS seq_idx FROM perm")
+def load_1(spark, d):
+    """The whole order of epoch 3."""
+    return spark.range(127).select(F.col("id").alias("k"), shuffle.permute_epochs(F.col("id"), F.lit(3), 127, 1337).alias("seq_idx"))
+
+
+@query("load_3", "SELECT s AS step, r AS rank, (s % 15) * 8 + r * 4 AS first_place FROM range(50) AS t(s), range(2) AS u(r)")
+def load_3(spark, d):
+    plan = windows.batch_plan(spark, 127, range(50), 4, 2, 1337).where("slot = 0")
+    return plan.select("step", "rank", (F.col("cursor") + F.col("rank") * 4).alias("first_place"))
+
+
+@query("load_6", "SELECT s AS step, s // 15 AS epoch, ((s % 15) + 1) * 8 AS cursor, (s + 1) * 4096 AS tokens_seen, 1337::INT AS seed, true AS exact FROM range(50) AS t(s)")
+def load_6(spark, d):
+    """The state after each step, with one worker."""
+    done = windows.batch_plan(spark, 127, range(50), 4, 2, 1337).select("step", "epoch", (F.col("cursor") + 8).alias("cursor")).distinct()
+    return done.select("step", "epoch", "cursor", ((F.col("step") + 1) * 8 * 512).alias("tokens_seen"), F.lit(1337).alias("seed"), F.lit(True).alias("exact"))
+
+
+LATER = {"code_repos": 0.8, "web_crawl": 0.2}
+
+
+@query("mix_6", f"WITH {_DRAW}, dl AS (SELECT k, CASE WHEN u < 0.8 THEN 'code_repos' ELSE 'web_crawl' END AS domain FROM u) SELECT k, CASE WHEN k < 14000 THEN dr.domain ELSE dl.domain END AS domain FROM dr JOIN dl USING (k)")
+def mix_6(spark, d):
+    """Other weights from draw 14,000 on."""
+    k = F.col("id")
+    stage = mixture.stage_of(k / 20_000, [0.7, 1.0])
+    return spark.range(20_000).select(k.alias("k"), F.when(stage == 0, mixture.domain_of(k, WEIGHTS)).otherwise(mixture.domain_of(k, LATER)).alias("domain"))
+
+
+@query("mix_8", f"WITH {_DRAW} SELECT domain, count(*) AS batches, (count(*) * 4096)::BIGINT AS tokens_seen, max(k) AS last_draw FROM dr GROUP BY domain")
+def mix_8(spark, d):
+    """The state of each domain's loader after all draws."""
+    by = mixture.draws(spark, 20_000, WEIGHTS).groupBy("domain")
+    return by.agg(F.count("*").alias("batches"), (F.count("*") * 4096).alias("tokens_seen"), F.max("k").alias("last_draw"))
+
+
+_W3 = corpus._STREAM + f", w AS (SELECT pos // {corpus.L} AS seq_idx, pos, tok FROM toks UNION ALL SELECT pos // {corpus.L} - 1, pos, tok FROM toks WHERE pos % {corpus.L} = 0 AND pos > 0), w3 AS (SELECT seq_idx, arg_min(tok, pos) AS first, sum(tok)::BIGINT AS id_sum FROM w GROUP BY seq_idx HAVING count(*) = {corpus.L + 1})"
+
+
+@query("win_5", _PLAN.replace("WITH RECURSIVE ", f"WITH RECURSIVE {_W3}, pl AS (WITH RECURSIVE ", 1) + ") SELECT step, rank, slot, pl.seq_idx, first, id_sum FROM pl JOIN w3 ON w3.seq_idx = pl.seq_idx")
+def win_5(spark, d):
+    """The windows of a plan over the first 127, gathered."""
+    rows = corpus.byte_ids(corpus.docs(spark, d)).join(corpus.measured(spark, d).select("doc_id", "before_len"), "doc_id")
+    got = windows.gather(windows.batch_plan(spark, 127, range(50), 4, 2, 1337), windows.windows(rows, corpus.L))
+    return got.select("step", "rank", "slot", "seq_idx", F.element_at("tokens", 1).alias("first"), F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t).alias("id_sum"))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +18,31 @@ BROADCAST_ROWS = 500_000
 _written: list[tuple[SparkSession, str]] = []
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Put this package where the executors' Python finds it, once per application, by way of the shared folder."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    path = f"{shared_dir(spark).rstrip('/')}/{root.name}-{app}.zip"
+    hp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = hp.getFileSystem(spark._jsc.hadoopConfiguration()).create(hp, True)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; the first one read also ships the package to the executors."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -56,6 +83,15 @@ def drop_written() -> None:
 atexit.register(drop_written)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores if it has fewer, as a table in one small file has; otherwise as it is.
+
+    For scans that are followed by much work a row. A large table has more splits than cores, and is never shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to hold at most `rows` rows; otherwise df as it is, to be shuffled.
 

@@ -106,3 +106,33 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """(ord, name, n_tokens, n_docs, dtype) of an index file."""
     shards = spark.read.json(path, multiLine=True).select(F.posexplode("shards").alias("ord", "s"))
     return shards.select("ord", "s.name", "s.n_tokens", "s.n_docs", "s.dtype")
+
+
+def discover(spark: SparkSession, folder: str) -> list[str]:
+    """Shard names in the order of the folder's index, or sorted if it has none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(path))
+    if "index.json" in names:
+        return [r.name for r in read_index(spark, f"{folder}/index.json").orderBy("ord").collect()]
+    return [n for n in names if n.endswith(".bin")]
+
+
+def write_index(spark: SparkSession, folder: str, shards: DataFrame, vocab_size: int, extra: dict | None = None) -> None:
+    """Write index.json for index rows (a row per shard) beside the shards, under a temporary name that is then renamed."""
+    rows = [r.asDict() for r in shards.orderBy("name").collect()]
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(Path(f"{folder}/index.json.tmp"), True)
+    out.write(bytearray(index_json(rows, vocab_size, extra).encode()))
+    out.close()
+    fs.delete(Path(f"{folder}/index.json"), False)
+    fs.rename(Path(f"{folder}/index.json.tmp"), Path(f"{folder}/index.json"))
+
+
+def mirror(spark: SparkSession, folder: str, target: str) -> None:
+    """Copy a folder to another file system that Hadoop knows."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(target)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)

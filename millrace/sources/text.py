@@ -13,15 +13,24 @@ from pyspark.sql import functions as F
 SCHEMA = "path string, pos bigint, text string"
 
 
-def parquet_texts(spark: SparkSession, path: str, text_key: str = "text") -> DataFrame:
+def parquet_texts(spark: SparkSession, path: str | list[str], text_key: str = "text") -> DataFrame:
     """One column of Parquet files, read alone; null and empty texts are dropped. pos is the row's place in the scan of its file."""
-    rows = spark.read.parquet(path).select(F.col(f"`{text_key}`").cast("string").alias("text"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("pos"))
+    rows = spark.read.parquet(*([path] if isinstance(path, str) else path)).select(F.col(f"`{text_key}`").cast("string").alias("text"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("pos"))
     return rows.where("text is not null and text <> ''").select("path", "pos", "text")
 
 
+def strict_json(raw: Column) -> Column:
+    """A JSON value as a variant, null if the text is anything else. Spark's parser stops after a first value, so what follows it
+    is told by two wrappings that can't both be closed early."""
+    listed = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"a":'), raw, F.lit("}")))
+    single = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(listed.isNotNull() & member.isNotNull() & single, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def _value_text(raw: Column, text_key: str) -> Column:
     """The text of a JSON line: the key's value of an object, or the value itself as Python would print it."""
-    v = F.try_parse_json(raw)
+    v = strict_json(raw)
     kind = F.schema_of_variant(v)
     member = F.try_variant_get(v, f"$['{text_key}']", "string")
     falsy = F.schema_of_variant(F.try_variant_get(v, f"$['{text_key}']", "variant")).isin("VOID") | member.isin("", "0", "0.0", "false")
@@ -43,7 +52,7 @@ def decode_bytes(content: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
-def whole_texts(spark: SparkSession, path: str) -> DataFrame:
+def whole_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A file is a document, even an empty one; gzip by extension, invalid UTF-8 replaced."""
     def gunzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
@@ -55,7 +64,13 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
                 out.append(data.decode("utf_8", "replace").replace("\r\n", "\n").replace("\r", "\n"))
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([0] * len(out), pa.int64()), pa.array(out, pa.string())], names=["path", "pos", "text"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(gunzip, SCHEMA)
+    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(gunzip, SCHEMA)
+    empty = []  # Spark's scans leave out files without a byte
+    for p in [path] if isinstance(path, str) else path:
+        hp = spark._jvm.org.apache.hadoop.fs.Path(p)
+        listed = hp.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hp) or []
+        empty += [(f.getPath().toString(), 0, "") for f in listed if f.isFile() and not f.getLen()]
+    return found.unionByName(spark.createDataFrame(empty, SCHEMA)) if empty else found
 
 
 def blank_line_parts(docs: DataFrame, keep: list[str] = (), text_col: str = "text") -> DataFrame:
@@ -105,10 +120,10 @@ def read_corpus(spark: SparkSession, uri: str, text_key: str = "text", split_bla
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         if fs.getFileStatus(path).isDirectory() and not uri.rstrip("/").endswith(".parquet"):
             names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isFile())
-            names = [n for n in names if not n.endswith(SKIPPED)]
+            names = [n for n in names if not n.endswith(SKIPPED) and not n.startswith(("_", "."))]
             docs = None
             for group in ("parquet", "json", "text"):
-                own = [f"{uri.rstrip('/')}/{n}" for n in names if _kind(n) == group]
+                own = [p for n in names if _kind(p := f"{uri.rstrip('/')}/{n}") == group]
                 if own:
                     part = _read_kind(spark, own, group, text_key)
                     docs = part if docs is None else docs.unionByName(part)
@@ -142,3 +157,20 @@ def skip_and_take(docs: DataFrame, skip: int, take: int, ord_col: str = "ord") -
 def character_budget(positioned_docs: DataFrame, most: int, len_col: str = "len") -> DataFrame:
     """The longest prefix of at most `most` characters; stops before the document that would exceed it."""
     return positioned_docs.where(F.col(f"before_{len_col}") + F.col(len_col) <= most)
+
+
+def json_rows(spark: SparkSession, path: str, schema: str, limit: int = 0) -> DataFrame:
+    """JSON lines of a known schema; the limit counts lines, blank ones too, and a malformed line is an error."""
+    raw = spark.read.text(path).withColumn("pos", F.monotonically_increasing_id())
+    raw = raw.orderBy("pos").limit(limit) if limit else raw
+    return raw.where("trim(value) <> ''").select("pos", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("pos", "r.*")
+
+
+def metric_log(spark: SparkSession, path: str) -> DataFrame:
+    """A metric log: JSON lines, in which NaN and Infinity may stand bare."""
+    return spark.read.option("allowNonNumericNumbers", True).json(path)
+
+
+def manifest(text: Column) -> Column:
+    """A manifest, or null where it is missing or malformed."""
+    return strict_json(text)
