@@ -8,8 +8,8 @@ decodes, must also make the text clearly likelier as clean text.
 
 from __future__ import annotations
 
+import codecs
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.runtime import spread
+
 #: The training sample: at most so many documents, and sentences of each; both are bounds on what the driver reads.
-SAMPLE_DOCS, SAMPLE_SENTENCES = 3000, 3
+SAMPLE_DOCS, SAMPLE_SENTENCES = 2000, 3
 #: Buckets of the hashed bigrams, smoothing, and the nats by which a garbled reading must be likelier.
 BUCKETS, ALPHA, MARGIN = 1 << 13, 0.2, 6.0
 #: So many of the likeliest chains are tried on a sentence.
@@ -68,28 +70,22 @@ def _table(codec: str) -> list[str]:
     return out
 
 
-_READ = {c: _table(c) for c in {*READ_AS, *(x for p in ONE_BYTE for x in p), *LOST}}
-_BYTE = {c: {ch: k for k, ch in reversed(list(enumerate(t)))} for c, t in _READ.items()}
+_READ = {c: "".join(_table(c)) for c in {*READ_AS, *(x for p in ONE_BYTE for x in p), *LOST}}
+_BYTE = {c: codecs.charmap_build(t) for c, t in _READ.items()}
 
 
 def to_bytes(text: str, codec: str) -> bytes | None:
-    if codec == "utf_8":
-        try:
-            return text.encode()
-        except UnicodeEncodeError:
-            return None
-    get = _BYTE[codec].get
-    out = [get(ch) for ch in text]
-    return None if None in out else bytes(out)
+    try:
+        return text.encode() if codec == "utf_8" else codecs.charmap_encode(text, "strict", _BYTE[codec])[0]
+    except UnicodeEncodeError:
+        return None
 
 
 def from_bytes(data: bytes, codec: str) -> str | None:
-    if codec == "utf_8":
-        try:
-            return data.decode()
-        except UnicodeDecodeError:
-            return None
-    return "".join(map(_READ[codec].__getitem__, data))
+    try:
+        return data.decode() if codec == "utf_8" else codecs.charmap_decode(data, "strict", _READ[codec])[0]
+    except UnicodeDecodeError:
+        return None
 
 
 class Chain:
@@ -156,18 +152,18 @@ def chunks(part: str) -> list[str]:
     return [w for w in _GAP.split(part) if not w.isascii() and w != "�" and not (len(w) < 24 and _SHOWN.match(w))]
 
 
-def _bigrams(word: str) -> np.ndarray:
-    b = np.frombuffer(b" " + word.encode("utf_8", "surrogatepass") + b" ", np.uint8).astype(np.uint32)
-    return ((b[:-1] * np.uint32(0x9E3779B1) ^ b[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - 13)) & np.uint32(BUCKETS - 1)
+def _bigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the bigrams of all words, each with a blank before and after, and where each word's begin."""
+    data = [w.encode("utf_8", "surrogatepass") for w in words]
+    b = np.frombuffer(b" " + b" ".join(data) + b" ", np.uint8).astype(np.uint32)
+    hashed = (b[:-1] * np.uint32(0x9E3779B1)) ^ (b[1:] * np.uint32(0x85EBCA77))
+    sizes = np.fromiter(map(len, data), np.int64, len(data)) + 1
+    return (hashed >> np.uint32(32 - 13)) & np.uint32(BUCKETS - 1), np.cumsum(sizes) - sizes
 
 
 def _count(texts: list[list[str]]) -> np.ndarray:
-    often = Counter(w for t in texts for w in t)
-    if not often:
-        return np.zeros(BUCKETS)
-    grams = [_bigrams(w) for w in often]
-    weights = np.repeat(np.fromiter(often.values(), float, len(often)), [len(g) for g in grams])
-    return np.bincount(np.concatenate(grams), weights, BUCKETS)
+    words = [w for t in texts for w in t]
+    return np.bincount(_bigrams(words)[0], minlength=BUCKETS).astype(float) if words else np.zeros(BUCKETS)
 
 
 class Classifier:
@@ -191,7 +187,7 @@ class Classifier:
 
     def of(self, word: str) -> np.ndarray:
         """Log-likelihood of a chunk in each class."""
-        return self.log[_bigrams(word)].sum(axis=0)
+        return self.log[_bigrams([word])[0]].sum(axis=0)
 
     def score(self, texts: list[list[str]]) -> np.ndarray:
         """Log-likelihood of each list of chunks in each class; a chunk that recurs is looked at once."""
@@ -201,15 +197,11 @@ class Classifier:
         out = np.zeros((len(texts), self.log.shape[1]), np.float32)
         if not at:
             return out
-        grams = [_bigrams(w) for w in number]
-        starts = np.concatenate([[0], np.cumsum([len(g) for g in grams])[:-1]])
-        flat = np.concatenate(grams)
-        each = np.empty((len(grams), out.shape[1]), np.float32)
-        step = 20_000  # words at a time
-        for lo in range(0, len(grams), step):
-            hi = min(len(grams), lo + step)
-            end = starts[hi] if hi < len(grams) else len(flat)
-            each[lo:hi] = np.add.reduceat(self.log[flat[starts[lo] : end]], starts[lo:hi] - starts[lo], axis=0)
+        words = list(number)
+        each = np.empty((len(words), out.shape[1]), np.float32)
+        for lo in range(0, len(words), 20_000):  # words at a time
+            grams, starts = _bigrams(words[lo : lo + 20_000])
+            each[lo : lo + len(starts)] = np.add.reduceat(self.log[grams], starts, axis=0)
         some = np.flatnonzero(sizes)
         out[some] = np.add.reduceat(each[np.array(at)], np.concatenate([[0], np.cumsum(sizes[some])[:-1]]), axis=0)
         return out
@@ -275,7 +267,7 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str) -> Classifier:
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
     n = docs.count()
     if n > SAMPLE_DOCS:
-        texts = texts.where(F.expr(f"pmod(xxhash64(text), 1000000) < {max(1, int(2e6 * SAMPLE_DOCS / n))}"))
+        texts = texts.where(F.expr(f"pmod(xxhash64(text), 1000000) < {max(1, int(1.2e6 * SAMPLE_DOCS / n))}"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -301,6 +293,7 @@ def repair(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", foun
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(spark, docs, text_col))
     src = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(r"text rlike '[^\\x00-\\x7F]'")
+    src = spread(src)
     kind = src.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.words import words
-from millrace.runtime import cut, small
+from millrace.runtime import cut, small, spread
 
 #: Words in a row that make a leak, and words in a shingle.
 RUN, SHINGLE = 10, 5
@@ -163,7 +163,7 @@ def _leaks_of(docs: DataFrame, windows: DataFrame, doc_id: str, text_col: str, r
                 [b.column("doc").take(pa.array(at, pa.int64())), pa.array(out, pa.list_(pa.string()))], names=["doc", "words"]
             )
 
-    found = cut(src.mapInArrow(scan, f"doc {kind}, words array<string>"))
+    found = cut(spread(src).mapInArrow(scan, f"doc {kind}, words array<string>"))
     shingles = found.select(
         "doc", "words", F.posexplode(F.expr(f"transform(sequence(0, size(words) - {SHINGLE}), i -> array_join(slice(words, i + 1, {SHINGLE}), ' '))")).alias("pos", "shingle")
     )

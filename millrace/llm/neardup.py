@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.runtime import cut, small
+from millrace.runtime import cut, small, spread
 
 #: A pair of likeness s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 0.989 at 0.70, 0.996 at 0.72, 0.9991 at 0.75.
 ROWS, BANDS = 6, 36
@@ -177,7 +177,7 @@ class NearDuplicates:
     def __init__(self, rows: DataFrame, threshold: float = 0.7, least_words: int = 20):
         base = rows.where("id is not null and grp is not null and content is not null").where(F.length("content") >= 2 * least_words - 1)
         base = base.select("id", F.xxhash64(F.col("grp").cast("string"), "content").alias("digest"), F.xxhash64(F.col("grp").cast("string")).alias("grp"), "content")
-        banded = base.select("digest", "grp", "content").mapInArrow(_banded(least_words), "key bigint, digest bigint, s0 bigint")
+        banded = spread(base.select("digest", "grp", "content")).mapInArrow(_banded(least_words), "key bigint, digest bigint, s0 bigint")
         need = fewest_agreements(threshold)
         a, b = banded.alias("a"), banded.alias("b")
         pairs = cut(

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.runtime import spread
+
 #: Folder of the public vocabulary files, and the file used unless the caller names another.
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
@@ -48,4 +50,4 @@ def token_sizes(docs: DataFrame, id_col: str, text_col: str, keep: list[str] = (
                 [*b.columns[:-1], pa.array(sizes, pa.int64())], names=[*b.schema.names[:-1], "n_tokens"]
             )
 
-    return narrow.mapInArrow(count, out_schema)
+    return spread(narrow).mapInArrow(count, out_schema)
