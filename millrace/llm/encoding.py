@@ -46,6 +46,8 @@ _SHOWN = re.compile(r"^[(\[\"'“„«`‘]+[^A-Za-z0-9]{1,12}[)\]\"'”“»`
 #: Characters that proper text has beside letters, and those it has after a letter or before a number.
 _TYPOGRAPHY = frozenset("\xa0\xad\u2009\u200a\u202f…–—‘’‚“”„«»‹›•·µ¿¡")
 _SIGNS = frozenset("©®™°±²³¶§†‡¼½¾×÷€£¥¢")
+#: Letters of two alphabets side by side: no restored text.
+_TWO_SCRIPTS = re.compile(r"[A-Za-zÀ-ɏ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ɏ]")
 _LOST_IN_WORD = re.compile("[^\\W_]�|�[^\\W_]")
 
 
@@ -171,6 +173,7 @@ class Classifier:
 
     def __init__(self, sample: list[str]):
         self.chains = chains()
+        sample = sample + [s.upper() for s in sample[::8]]  # headings in capitals are rarer than the sample shows
         self.log = self._fit(sample)
         if sample:  # the sample itself may hold garbled sentences: leave those out and fit again
             own = [chunks(s) for s in sample]
@@ -235,8 +238,9 @@ class Classifier:
             if None in new.values():
                 continue
             telling = {w: r for w, r in new.items() if _tells(w, r)}
-            gain = sum(self.of(r)[0] - self.of(w)[0] for w, r in telling.items())
-            if telling and gain > 1.5 * MARGIN:
+            # Also without case, as capitals are rare enough to look garbled.
+            gain = min(sum(self.of(f(r))[0] - self.of(f(w))[0] for w, r in telling.items()) for f in (str, str.lower))
+            if telling and gain > 1.5 * MARGIN and not any(map(_TWO_SCRIPTS.search, telling.values())):
                 return c.name, {w: r for w, r in new.items() if r != w}
         return None
 

@@ -63,7 +63,7 @@ def test_lost_characters_are_found_but_not_restored(model):
     assert [b for _, b in found.values()] == [{}]
 
 
-@pytest.mark.parametrize("text", [*SENTENCES, "If you see “Ã©” in a shard, decode it again.", "The reader puts � where bytes are invalid;", "plain ASCII", "", None])
+@pytest.mark.parametrize("text", [*SENTENCES, *[s.upper() for s in SENTENCES], "If you see “Ã©” in a shard, decode it again.", "The reader puts � where bytes are invalid;", "plain ASCII", "", None])
 def test_sound_texts(model, text):
     assert model.look([text]) == [{}]
 
