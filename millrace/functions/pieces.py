@@ -24,5 +24,5 @@ def piece_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def prune_rare(counts: DataFrame, min_frequency: int = 2, above: int = 100_000) -> DataFrame:
     """Drop pieces rarer than min_frequency, but only if there are more than `above` different ones."""
-    many = counts.agg((F.count("*") > above).alias("many"))  # one row
-    return counts.join(F.broadcast(many)).where(~F.col("many") | (F.col("freq") >= min_frequency)).drop("many")
+    few = counts.agg((F.count("*") <= above).alias("few")).scalar()
+    return counts.where(few | (F.col("freq") >= min_frequency))

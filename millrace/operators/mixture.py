@@ -45,9 +45,9 @@ def local_steps(drawn: DataFrame) -> DataFrame:
 def realised(drawn: DataFrame, weights: dict[str, float]) -> DataFrame:
     """(domain, share) of the draws, 0 where a domain had none."""
     names = drawn.sparkSession.createDataFrame([(n,) for n in weights], "domain string")
-    total = drawn.agg(F.count("*").alias("n"))
+    total = drawn.agg(F.count("*").alias("n")).scalar()
     got = drawn.groupBy("domain").agg(F.count("*").alias("c"))
-    return names.join(F.broadcast(got), "domain", "left").join(F.broadcast(total)).select("domain", F.round(F.coalesce("c", F.lit(0)) / F.col("n"), 6).alias("share"))
+    return names.join(F.broadcast(got), "domain", "left").select("domain", F.round(F.coalesce("c", F.lit(0)) / total, 6).alias("share"))
 
 
 def stage_of(progress: Column, until: list[float]) -> Column:

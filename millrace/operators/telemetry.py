@@ -98,6 +98,6 @@ def last_losses(log: DataFrame, run: str, order_by: Column) -> DataFrame:
 
 def against_baseline(finals: DataFrame, run: str, baseline: str) -> DataFrame:
     """finals with delta: the signed difference of final_val to the baseline's, or - where either is missing."""
-    base = finals.where(F.col(run) == baseline).agg(F.max("final_val").alias("__base"))  # one row
+    base = finals.where(F.col(run) == baseline).agg(F.max("final_val")).scalar()
     d = F.col("final_val") - F.col("__base")
-    return finals.join(F.broadcast(base)).withColumn("delta", F.when(d.isNull(), "-").otherwise(F.format_string("%+.4f", F.round(d, 4)))).drop("__base")
+    return finals.withColumn("__base", base).withColumn("delta", F.when(d.isNull(), "-").otherwise(F.format_string("%+.4f", F.round(d, 4)))).drop("__base")

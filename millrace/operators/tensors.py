@@ -135,8 +135,9 @@ def load_variation(load: DataFrame) -> DataFrame:
 
 def bias_update(load: DataFrame, rate: float) -> DataFrame:
     """(class, delta): rate up for experts below the mean load, down for those above, nothing without load."""
-    mean = load.agg(F.avg("load").alias("__m"), F.sum("load").alias("__t"))  # one row
-    return load.join(F.broadcast(mean)).select("class", F.when(F.col("__t") > 0, rate * F.signum(F.col("__m") - F.col("load"))).otherwise(0.0).alias("delta"))
+    mean, total = load.agg(F.avg("load")).scalar(), load.agg(F.sum("load")).scalar()
+    rows = load.withColumn("__m", mean).withColumn("__t", total)
+    return rows.select("class", F.when(F.col("__t") > 0, rate * F.signum(F.col("__m") - F.col("load"))).otherwise(0.0).alias("delta"))
 
 
 def combined(routes: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -149,9 +150,9 @@ def router_losses(logits: DataFrame, routes: DataFrame, n_experts: int) -> DataF
     z = log_sum_exp(logits).agg(F.avg(F.col("lse") * F.col("lse")).alias("zloss"))
     prob = logits.groupBy("class").agg(F.avg(1 / (1 + F.exp(-F.col("logit")))).alias("prob"))
     load = expert_load(routes, n_experts)
-    total = load.agg(F.greatest(F.sum("load"), F.lit(1)).alias("total"))
-    aux = load.join(F.broadcast(total)).join(prob, "class").agg((n_experts * F.sum(F.col("load") / F.col("total") * F.col("prob"))).alias("aux"))
-    return z.join(F.broadcast(aux))
+    sums = load.join(prob, "class").agg(F.sum(F.col("load") * F.col("prob")).alias("s"))
+    total = load.agg(F.greatest(F.sum("load"), F.lit(1))).scalar()
+    return z.withColumn("aux", n_experts * sums.scalar() / total)
 
 
 def norms(values: DataFrame, group: str, value: str) -> DataFrame:

@@ -295,8 +295,8 @@ def win_4(spark, d):
     f = cut(positioned(rows, ["shard"], ["n"]).select("shard", "n", F.col("before_n").alias("off")))
     blocks = f.select("*", F.explode(F.expr("sequence(cast(ceil(off / 5000) as bigint), (off + n - 1) div 5000)")).alias("i"))
     blocks = blocks.where("i * 5000 >= off and i * 5000 < off + n")
-    most = f.agg(F.expr("sum(n) div 5000").alias("m"))
-    return blocks.join(F.broadcast(most), F.col("i") < F.col("m")).select((F.col("i") * 5000).alias("pos"), "shard", (F.col("i") * 5000 - F.col("off")).alias("inside"))
+    most = f.agg(F.expr("sum(n) div 5000")).scalar()
+    return blocks.where(F.col("i") < most).select((F.col("i") * 5000).alias("pos"), "shard", (F.col("i") * 5000 - F.col("off")).alias("inside"))
 
 
 @query("src_19", f"WITH {_STREAM} SELECT (pos // 10000)::BIGINT AS chunk, count(*)::INT AS n, sum(tok)::BIGINT AS id_sum FROM toks GROUP BY 1")
