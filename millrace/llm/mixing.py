@@ -38,7 +38,7 @@ def shares_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     )
     return (
         want.join(have, "source", "left")
-        .join(F.broadcast(total))  # one row
+        .withColumn("total", total.scalar())
         .withColumn("expected", F.expr("least(target_share * total / source_tokens, double(max_repeats))"))
     )
 

@@ -27,7 +27,7 @@ ROWS, BANDS = 6, 36
 #: Bits in a batch of the signature, batches, and the posterior probability under which a candidate is dropped.
 BATCH, BATCHES, MISS = 64, 4, 1e-3
 #: Groups of at most so many exact copies give all their pairs, larger ones a star around the smallest id;
-#: links between two groups likewise up to the square of it.
+#: two linked groups give all their pairs up to the square of it, else the pair of their smallest ids.
 COPIES = 64
 
 WORD = re.compile(r"[^\W_]+")
@@ -209,25 +209,27 @@ class NearDuplicates:
         """(id_a, id_b), id_a < id_b: linked rows. All pairs of copies and between classes as far as COPIES allows.
 
         In a larger class of copies each member is paired with the smallest id alone, and if two linked classes have more
-        than COPIES^2 pairs, each member of either is paired with the smallest id of the other: no link between texts is lost.
+        than COPIES^2 pairs, their smallest ids are paired: no link between texts is lost.
         """
-        stats = self.copied.select("digest", "copies", "first")
-        m = self.members.join(small(stats), "digest", "left").select(
-            "digest", "id", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("first", F.col("id")).alias("first")
-        )
-        long_enough = self.texts.select("digest").join(stats.select("digest"), "digest", "left_semi")
-        own = m.where("copies > 1").join(small(cut(long_enough)), "digest", "left_semi")
-        x, y = own.alias("x"), own.alias("y")
-        within = x.join(y, F.expr(f"x.digest = y.digest and x.id < y.id and (x.copies <= {COPIES} or x.id = x.first)"))
-        within = within.select(F.col("x.id").alias("p"), F.col("y.id").alias("q"))
-        side = lambda s: m.select(*[F.col(c).alias(f"{s}_{c}") for c in m.columns])
-        across = (
-            self.links.join(side("a"), F.col("a") == F.col("a_digest"))
-            .join(side("b"), F.col("b") == F.col("b_digest"))
-            .where(f"a_copies * b_copies <= {COPIES * COPIES} or a_id = a_first or b_id = b_first")
-            .select(F.col("a_id").alias("p"), F.col("b_id").alias("q"))
-        )
-        return within.union(across).where("p <> q").select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")).distinct()
+        long_enough = cut(self.copied.join(self.texts.select("digest"), "digest", "left_semi").select("digest", "copies", "first"))
+        own = self.members.join(small(long_enough), "digest")
+        few = own.where(F.col("copies") <= COPIES).select("digest", "id")
+        x, y = few.alias("x"), few.alias("y")
+        within = x.join(y, F.expr("x.digest = y.digest and x.id < y.id")).select(F.col("x.id").alias("p"), F.col("y.id").alias("q"))
+        stars = own.where((F.col("copies") > COPIES) & (F.col("id") != F.col("first"))).select(F.col("first").alias("p"), F.col("id").alias("q"))
+        # The classes that are linked: how many copies they have, and the smallest id.
+        ends = cut(self.links.select(F.explode(F.array("a", "b")).alias("digest")).distinct())
+        rows = cut(self.members.join(small(ends), "digest", "left_semi"))
+        size = cut(rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first")))
+        side = lambda s: small(size.select(F.col("digest").alias(s), F.col("n").alias(f"n_{s}"), F.col("first").alias(f"first_{s}")))
+        links = self.links.join(side("a"), "a").join(side("b"), "b")
+        full = F.col("n_a") * F.col("n_b") <= COPIES * COPIES
+        one = rows.select(F.col("digest").alias("a"), F.col("id").alias("p"))
+        other = rows.select(F.col("digest").alias("b"), F.col("id").alias("q"))
+        across = links.where(full).select("a", "b").join(one, "a").join(other, "b").select("p", "q")
+        tips = links.where(~full).select(F.col("first_a").alias("p"), F.col("first_b").alias("q"))
+        every = within.union(stars).union(across).union(tips)
+        return every.where("p <> q").select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")).distinct()
 
     def groups(self) -> DataFrame:
         """(id, group_id, links): every row with a partner, the smallest id of its group, and how many other classes its own is linked to."""

@@ -77,12 +77,13 @@ def pack(sizes: DataFrame, profiles: DataFrame, id_col: str = "doc_id") -> DataF
         r[0]: r[1]
         for r in profiles.where("profile is not null and capacity > 0").groupBy("profile").agg(F.max("capacity")).collect()
     }
-    prof = spark.createDataFrame([(k, int(v)) for k, v in sorted(caps.items())], "profile string, capacity bigint")
+    each = [F.struct(F.lit(k).alias("profile"), F.lit(int(v)).cast("bigint").alias("capacity")) for k, v in sorted(caps.items())]
+    profile = F.array(*each) if each else F.array().cast("array<struct<profile:string,capacity:bigint>>")
     item = F.col(f"`{id_col}`")
     pieces = (
         sizes.where("n_tokens > 0")
-        .select(item.alias("id"), "n_tokens")
-        .crossJoin(F.broadcast(prof))  # one row per profile of the configuration
+        .select(item.alias("id"), "n_tokens", F.explode(profile).alias("c"))
+        .select("id", "n_tokens", "c.profile", "c.capacity")
         .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(n_tokens - 1) div capacity"))))
         .withColumn("token_start", F.expr("piece * capacity"))
         .withColumn("len", F.expr("least(capacity, n_tokens - token_start)"))

@@ -68,8 +68,7 @@ def test_large_groups_of_copies_lose_no_link(spark):
     rows = [(k, "u", t) for k in range(n)] + [(1000 + k, "u", t + " more") for k in range(n)] + [(5000, "u", " ".join(f"z{k}" for k in range(30)))]
     nd, got = run(spark, rows)
     assert {(0, k) for k in range(1, n)} <= set(got) and {(1000, 1000 + k) for k in range(1, n)} <= set(got)
-    assert {(0, 1000 + k) for k in range(n)} <= set(got) and {(k, 1000) for k in range(n)} <= set(got)
-    assert len(got) == 4 * n - 3  # stars, not all pairs
+    assert (0, 1000) in got and len(got) == 2 * n - 1  # stars and one link, not all pairs
     groups = nd.groups().collect()
     assert {g.group_id for g in groups} == {0} and len(groups) == 2 * n and {g.links for g in groups} == {1}
 
