@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.runtime import cut
+
 #: Layout of the header and codes of the two widths.
 MAGIC, VERSION, HEADER_BYTES = b"SLMTOK\x00\x00", 1, 1024
 LAYOUT = struct.Struct("<8s5Q")
@@ -52,33 +56,58 @@ def shard_tokens(data: bytes) -> np.ndarray:
 def write_shards(tokens: DataFrame, path: str, vocab_size: int) -> DataFrame:
     """Write tokens (grp, ord, ids) as shard_%05d.bin with .docs sidecars; gives the index rows (name, n_tokens, n_docs, dtype).
 
-    A shard is written by one task through Hadoop's file system, under a temporary name that is then renamed; its size is the roll size.
+    Executors write the shards, in streams of Arrow batches in order, to any file system that Arrow knows. A file gets its name when it is
+    complete, so a task that is run again only replaces it. Empty documents are ignored, an id outside the vocabulary is an error.
     """
-    spark = tokens.sparkSession
-    dtype = dtype_name(vocab_size)
+    dtype = WIDTHS[0 if dtype_name(vocab_size) == "uint16" else 1]
+    live = tokens.where(F.size("ids") > 0)
+    counts = live.groupBy("grp").agg(F.sum(F.size("ids")).cast("bigint").alias("n_tokens"), F.count("*").alias("n_docs"))
+    rows = live.join(counts, "grp").select("grp", "ord", "ids", "n_tokens", "n_docs").repartition("grp").sortWithinPartitions("grp", "ord")
+    base = re.sub("^(?:file:)?(?=/)", "file://", re.sub("^file:///", "/", path.rstrip("/")))
 
-    def encode(key, pdf):
-        import pandas as pd
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
 
-        pdf = pdf.sort_values("ord")
-        data, starts = shard_bytes([list(x) for x in pdf["ids"]], vocab_size)
-        n = (len(data) - HEADER_BYTES) // (2 if dtype == "uint16" else 4)
-        return pd.DataFrame({"grp": [key[0]], "data": [data], "starts": [starts], "n_tokens": [n], "n_docs": [len(starts) // 8]})
+        fs, root = FileSystem.from_uri(base)
+        fs.create_dir(root, recursive=True)
+        now, out, starts, done, total = None, None, [], [], 0
 
-    blobs = tokens.groupBy("grp").applyInPandas(encode, "grp bigint, data binary, starts binary, n_tokens bigint, n_docs bigint")
-    blobs.write.mode("overwrite").parquet(f"{path.rstrip('/')}/_blobs")
-    done = spark.read.parquet(f"{path.rstrip('/')}/_blobs")
-    Path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in done.orderBy("grp").toLocalIterator():  # a shard at a time
-        for name, blob in ((f"shard_{r.grp:05d}.bin", r.data), (f"shard_{r.grp:05d}.docs", r.starts)):
-            out = fs.create(Path(f"{path}/{name}.tmp"), True)
-            out.write(bytearray(blob))
+        def finish() -> None:
             out.close()
-            fs.rename(Path(f"{path}/{name}.tmp"), Path(f"{path}/{name}"))
-    fs.delete(Path(f"{path.rstrip('/')}/_blobs"), True)
-    rows = tokens.where(F.size("ids") > 0).groupBy("grp").agg(F.sum(F.size("ids")).alias("n_tokens"), F.count("*").alias("n_docs"))
-    return rows.select(F.format_string("shard_%05d.bin", "grp").alias("name"), "n_tokens", "n_docs", F.lit(dtype).alias("dtype"))
+            name = f"{root}/shard_{now:05d}"
+            with fs.open_output_stream(f"{name}.docs.tmp{tag}") as side:
+                side.write(np.asarray(starts, "<u8").tobytes())
+            fs.move(f"{name}.docs.tmp{tag}", f"{name}.docs")
+            fs.move(f"{name}.bin.tmp{tag}", f"{name}.bin")
+
+        for b in batches:
+            sizes = b.column("ids").value_lengths().to_numpy()
+            flat = b.column("ids").flatten().to_numpy(zero_copy_only=False)
+            if len(flat) and (flat.min() < 0 or flat.max() >= vocab_size):
+                raise ValueError("a token id is outside the vocabulary")
+            ends = np.cumsum(sizes)
+            grp = b.column("grp").to_numpy()
+            for lo in [0, *(np.flatnonzero(grp[1:] != grp[:-1]) + 1)] if len(grp) else []:
+                hi = int(np.searchsorted(grp, grp[lo], "right"))
+                if grp[lo] != now:
+                    if out is not None:
+                        finish()
+                    now, starts, total, tag = int(grp[lo]), [], 0, uuid.uuid4().hex
+                    n, d = b.column("n_tokens")[lo].as_py(), b.column("n_docs")[lo].as_py()
+                    done.append((now, n, d))
+                    out = fs.open_output_stream(f"{root}/shard_{now:05d}.bin.tmp{tag}")
+                    out.write(pack_header(n, vocab_size, d))
+                begin = ends[lo - 1] if lo else 0
+                starts += (total + ends[lo:hi] - sizes[lo:hi] - begin).tolist()
+                out.write(flat[begin : ends[hi - 1]].astype(dtype).tobytes())
+                total += int(ends[hi - 1] - begin)
+        if out is not None:
+            finish()
+        cols = list(zip(*done)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["grp", "n_tokens", "n_docs"])
+
+    index = cut(rows.mapInArrow(write, "grp bigint, n_tokens bigint, n_docs bigint"))
+    return index.select(F.format_string("shard_%05d.bin", "grp").alias("name"), "n_tokens", "n_docs", F.lit(dtype_name(vocab_size)).alias("dtype"))
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
