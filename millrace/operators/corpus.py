@@ -50,15 +50,10 @@ def corpus_totals(rows: DataFrame) -> DataFrame:
 
 def rolled(rows: DataFrame, shard_tokens: int, fraction: float) -> DataFrame:
     """(split, shard, n_docs, n_tokens): whole documents rolled into shards, which end with the document that reaches shard_tokens."""
-    out = None
-    for split in ("train", "val") if fraction else ("train",):
-        own = rows.where(split_name(F.col("ord"), fraction) == split).select("ord", "len")
-        own = positioned(own.withColumnRenamed("ord", "doc"), ["doc"], ["len"])
-        groups = own.select("ord", "len").join(restarting_groups(own, shard_tokens, "roll"), "ord")
-        part = groups.groupBy("grp").agg(F.count("*").alias("n_docs"), F.sum("len").alias("n_tokens"))
-        part = part.select(F.lit(split).alias("split"), F.col("grp").alias("shard"), "n_docs", "n_tokens")
-        out = part if out is None else out.unionByName(part)
-    return out
+    own = rows.select(split_name(F.col("ord"), fraction).alias("split"), F.col("ord").alias("doc"), "len")
+    own = positioned(own, ["split", "doc"], ["len"])
+    groups = own.select("split", "ord", "len").join(restarting_groups(own, shard_tokens, "roll", "split"), ["split", "ord"])
+    return groups.groupBy("split", F.col("grp").alias("shard")).agg(F.count("*").alias("n_docs"), F.sum("len").alias("n_tokens"))
 
 
 def prepare(docs: DataFrame, v: bpe.Vocabulary, train_dir: str, val_dir: str | None = None, shard_tokens: int = 100_000_000, fraction: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> dict:

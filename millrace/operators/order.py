@@ -54,8 +54,8 @@ def _entry(p: np.ndarray, c: np.ndarray, carry: np.ndarray | int, after: bool) -
 def restarting_groups(rows: DataFrame, size: int, rule: str, key: str | None = None) -> DataFrame:
     """(<key>, ord, grp): groups of consecutive rows by total length, grp from 0.
 
-    rows: positioned() rows with ord, part, len and before_len, lengths of 0 or more; if key is given, part, ord and before_len are those of each
-    key's own rows. rule "roll": a group ends after the row with which it reaches `size`. rule "pack": a group ends before the row with which it
+    rows: positioned() rows with ord, part, len and before_len, lengths of 0 or more; if key is given, groups begin anew with each
+    of its values, and it comes first in the order. rule "roll": a group ends after the row with which it reaches `size`. rule "pack": a group ends before the row with which it
     would exceed `size`; a longer row is a group of its own. Each partition works out what it does with any group that may
     be open at its start (few rows: those within `size` of it); one pass over these summaries, a row per partition, finds
     what really is open, and each partition then numbers its rows.
