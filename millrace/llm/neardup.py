@@ -3,8 +3,8 @@
 Likeness is that of bags of words, so a word's k-th occurrence is a token of its own and minhash estimates the likeness.
 BANDS keys of ROWS minima each bring candidates together; signatures of one bit per minimum are compared in batches of
 BATCH bits, and after each batch a pair is dropped if the posterior probability that its likeness reaches the
-threshold is below MISS. The first batch travels with the keys, so most candidates end inside the join; the
-others are computed for the texts that still have a partner. What survives is verified exactly on its words.
+threshold is below MISS. The first two batches and the number of words travel with the keys, so most candidates end inside the join;
+the other batches are computed for the texts that still have a partner. What survives is verified exactly on its words.
 Exact copies are one class from the start, named by a 64-bit hash of speaker and text.
 """
 
@@ -25,13 +25,16 @@ from millrace.runtime import cut, small, spread
 #: A pair of likeness s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 0.989 at 0.70, 0.996 at 0.72, 0.9991 at 0.75.
 ROWS, BANDS = 6, 36
 #: Bits in a batch of the signature, batches, and the posterior probability under which a candidate is dropped.
-BATCH, BATCHES, MISS = 64, 4, 1e-3
+BATCH, BATCHES, MISS = 64, 6, 1e-3
+#: Batches that travel with the keys.
+CARRIED = 2
 #: Groups of at most so many exact copies give all their pairs, larger ones a star around the smallest id;
 #: two linked groups give all their pairs up to the square of it, else the pair of their smallest ids.
 COPIES = 64
 
 WORD = re.compile(r"[^\W_]+")
-_CHUNK = 1500
+#: Texts, and words, that are hashed at once.
+_CHUNK, _CHUNK_WORDS = 1500, 200_000
 
 
 def fewest_agreements(threshold: float, miss: float = MISS, batch: int = BATCH, batches: int = BATCHES) -> list[int]:
@@ -102,7 +105,7 @@ def band_keys(m: np.ndarray, salt: np.ndarray) -> np.ndarray:
 
 def _texts(b: pa.RecordBatch, least: int) -> Iterator[tuple[list[int], list[list[str]]]]:
     """Rows and words of the batch's different texts of at least `least` words, in chunks."""
-    seen, rows, texts = set(), [], []
+    seen, rows, texts, size = set(), [], [], 0
     digests = b.column("digest").to_pylist()
     for k, t in enumerate(b.column("content").to_pylist()):
         if digests[k] in seen:
@@ -112,9 +115,10 @@ def _texts(b: pa.RecordBatch, least: int) -> Iterator[tuple[list[int], list[list
         if len(w) >= least:
             rows.append(k)
             texts.append(w)
-            if len(rows) >= _CHUNK:
+            size += len(w)
+            if len(rows) >= _CHUNK or size >= _CHUNK_WORDS:
                 yield rows, texts
-                rows, texts = [], []
+                rows, texts, size = [], [], 0
     if rows:
         yield rows, texts
 
@@ -127,10 +131,10 @@ def _banded(least: int):
                 tokens, starts = bag_tokens(texts)
                 m = minima(tokens, starts, 0, BANDS * ROWS)
                 keys = band_keys(m, group[rows])
-                s = bits(minima(tokens, starts, BANDS * ROWS, BATCH))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), pa.array(np.repeat(digest[rows], BANDS)), pa.array(np.repeat(s, BANDS))], names=["key", "digest", "s0"]
-                )
+                words = np.fromiter(map(len, texts), np.int32, len(texts))
+                carried = [bits(minima(tokens, starts, BANDS * ROWS + BATCH * k, BATCH)) for k in range(CARRIED)]
+                each = [np.repeat(c, BANDS) for c in (digest[rows], words, *carried)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *map(pa.array, each)], names=["key", "digest", "n", *[f"s{k}" for k in range(CARRIED)]])
 
     return run
 
@@ -156,15 +160,34 @@ def bag_likeness(a: list[str], b: list[str]) -> float:
 
 def _exact(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[Counter, int]] = {}
+
+        def bag(text: str) -> tuple[Counter, int]:
+            got = known.get(text)
+            if got is None:
+                if len(known) >= 4096:
+                    known.clear()
+                words = WORD.findall(text.lower())
+                got = known[text] = (Counter(words), len(words))
+            return got
+
         for b in batches:
-            ta, tb = b.column("ta").to_pylist(), b.column("tb").to_pylist()
-            like = [bag_likeness(WORD.findall(x.lower()), WORD.findall(y.lower())) for x, y in zip(ta, tb)]
+            like = []
+            for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist()):
+                (p, m), (q, n) = sorted((bag(x), bag(y)), key=lambda z: len(z[0]))
+                common = sum(min(c, q[w]) for w, c in p.items() if w in q)
+                like.append(common / (m + n - common))
             at = pa.array([k for k, s in enumerate(like) if s >= threshold], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at), pa.array(like, pa.float64()).take(at)], names=["a", "b", "likeness"])
 
     return run
 
 
+def _differing(a: str, b: str, last: int) -> str:
+    """SQL of the number of differing bits in batches 0 to last of two signatures."""
+    return "(" + " + ".join(f"bit_count({a}s{k} ^ {b}s{k})" for k in range(last + 1)) + ")"
+
+
 class NearDuplicates:
     """The classes of equal texts of `rows`, and the links between classes of likeness at least `threshold`.
 
@@ -177,11 +200,14 @@ class NearDuplicates:
     def __init__(self, rows: DataFrame, threshold: float = 0.7, least_words: int = 20):
         base = rows.where("id is not null and grp is not null and content is not null").where(F.length("content") >= 2 * least_words - 1)
         base = base.select("id", F.xxhash64(F.col("grp").cast("string"), "content").alias("digest"), F.xxhash64(F.col("grp").cast("string")).alias("grp"), "content")
-        banded = spread(base.select("digest", "grp", "content")).mapInArrow(_banded(least_words), "key bigint, digest bigint, s0 bigint")
+        schema = "key bigint, digest bigint, n int, " + ", ".join(f"s{k} bigint" for k in range(CARRIED))
+        banded = spread(base.select("digest", "grp", "content")).mapInArrow(_banded(least_words), schema)
         need = fewest_agreements(threshold)
         a, b = banded.alias("a"), banded.alias("b")
+        likely = " and ".join(f"{_differing('a.', 'b.', k)} <= {BATCH * (k + 1) - need[k]}" for k in range(CARRIED))
+        sized = "least({0}n, {1}n) >= %r * greatest({0}n, {1}n)" % threshold
         pairs = cut(
-            a.join(b, F.expr(f"a.key = b.key and a.digest < b.digest and bit_count(a.s0 ^ b.s0) <= {BATCH - need[0]}"))
+            a.join(b, F.expr(f"a.key = b.key and a.digest < b.digest and {sized.format('a.', 'b.')} and {likely}"))
             .select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b"))
             .distinct()
         )
@@ -193,11 +219,8 @@ class NearDuplicates:
         sig = self.texts.drop("content")
         kept = pairs.join(small(sig.select(*[F.col(c).alias(f"a_{c}") for c in sig.columns])), F.col("a") == F.col("a_digest"))
         kept = kept.join(small(sig.select(*[F.col(c).alias(f"b_{c}") for c in sig.columns])), F.col("b") == F.col("b_digest"))
-        differ = "0"
-        kept = kept.where(F.expr(f"least(a_n, b_n) >= {threshold} * greatest(a_n, b_n)"))
-        for k, m in enumerate(need):  # one batch of the signature after the other
-            differ += f" + bit_count(a_s{k} ^ b_s{k})"
-            kept = kept.where(F.expr(f"{differ} <= {BATCH * (k + 1) - m}"))
+        for k in range(CARRIED, BATCHES):  # one batch of the signature after the other
+            kept = kept.where(F.expr(f"{_differing('a_', 'b_', k)} <= {BATCH * (k + 1) - need[k]}"))
         kept = kept.select("a", "b")
         text = self.texts.select("digest", "content")
         both = kept.join(text.select(F.col("digest").alias("a"), F.col("content").alias("ta")), "a").join(
