@@ -67,7 +67,7 @@ def pack(sizes: DataFrame, profiles: DataFrame, id_col: str = "doc_id") -> DataF
     """(profile, capacity, container_id, <id>, piece, token_start, n_tokens): every document of `sizes` in every profile.
 
     sizes: (<id>, n_tokens), one row per item, materialised. profiles: (profile, capacity), a small configuration table,
-    read by the driver. Items of 0 or null tokens take no place and are left out; an item above the capacity is cut
+    read by the driver. Items of 0 or null tokens take no space and are spread over the containers by hash; an item above the capacity is cut
     into pieces of the capacity and one rest, numbered from 0; all other items are whole, as piece 0. Repeated ids are
     items of their own. Profiles with a null name or a null or non-positive capacity are left out, a repeated
     name counts once, with its largest capacity. Containers are numbered from 0 in each profile.
@@ -97,6 +97,7 @@ def pack(sizes: DataFrame, profiles: DataFrame, id_col: str = "doc_id") -> DataF
     for p, size, n in counts.groupBy("profile", "len").agg(F.sum("n")).collect():  # at most `capacity` rows a profile
         histogram.setdefault(p, {})[size] = n
     plan = [(p, *b) for p, h in histogram.items() for b in plan_blocks(h, caps[p])]
+    opened = {p: max([1, *(b[4] + -(-(b[3] - b[2]) // b[5]) for b in plan if b[0] == p)]) for p in caps}
     blocks = spark.createDataFrame(plan, PLAN_SCHEMA)
     within = W.partitionBy("profile", "len", "salt").orderBy("id", "piece")
     ranked = (
@@ -104,7 +105,7 @@ def pack(sizes: DataFrame, profiles: DataFrame, id_col: str = "doc_id") -> DataF
         .join(offsets.drop("n"), ["profile", "len", "salt"])  # the window already has this partitioning
         .withColumn("rank", F.col("rn") + F.col("offset"))
     )
-    return ranked.join(
+    placed = ranked.join(
         F.broadcast(blocks),
         (ranked.profile == blocks.profile) & (ranked.len == blocks.len) & (ranked["rank"] >= blocks.rank_lo) & (ranked["rank"] < blocks.rank_hi),
     ).select(
@@ -116,6 +117,12 @@ def pack(sizes: DataFrame, profiles: DataFrame, id_col: str = "doc_id") -> DataF
         "token_start",
         ranked.len.alias("n_tokens"),
     )
+    nothing = F.lit(0).cast("bigint")
+    count = F.create_map(*[F.lit(x) for p, n in opened.items() for x in (p, n)]) if opened else F.lit(None).cast("map<string,int>")
+    empty = sizes.where("coalesce(n_tokens, 0) <= 0").select(item.alias("id"), F.explode(profile).alias("c"))
+    anywhere = F.pmod(F.xxhash64("id"), F.element_at(count, F.col("c.profile")).cast("bigint"))
+    rest = empty.select("c.profile", "c.capacity", anywhere.alias("container_id"), F.col("id").alias(id_col), nothing.alias("piece"), nothing.alias("token_start"), nothing.alias("n_tokens"))
+    return placed.unionByName(rest)
 
 
 def fill_report(packed: DataFrame) -> DataFrame:

@@ -33,7 +33,9 @@ def test_every_item_once_and_no_container_overfull(spark):
 
 def test_nulls_zero_repeats_and_bad_profiles(spark):
     rows = pack(spark, [(1, None), (2, 0), (None, 3), (4, 4), (4, 4)], [("a", 10), ("a", 8), ("n", None), (None, 9), ("z", 0)])
-    assert sorted((r.profile, r.capacity, r.doc_id or 0, r.n_tokens) for r in rows) == [("a", 10, 0, 3), ("a", 10, 4, 4), ("a", 10, 4, 4)]
+    assert sorted((r.profile, r.capacity, r.doc_id or 0, r.n_tokens) for r in rows) == [("a", 10, 0, 3), ("a", 10, 1, 0), ("a", 10, 2, 0), ("a", 10, 4, 4), ("a", 10, 4, 4)]
+    assert {r.container_id for r in rows if not r.n_tokens} <= {r.container_id for r in rows if r.n_tokens}
+    assert [(r.container_id, r.n_tokens) for r in pack(spark, [(1, 0)], [("a", 10)])] == [(0, 0)]
     assert pack(spark, []) == [] and pack(spark, [(1, 1)], []) == []
 
 
