@@ -233,7 +233,10 @@ def snk_4(spark, d):
     return by.select("split", "n_shards", "n_tokens", F.array_join(F.col("l.s"), ",").alias("shards"))
 
 
-@query("src_16")
+@query("src_16", f"""WITH RECURSIVE {ORD}, s AS MATERIALIZED (SELECT ord AS k, (n_bytes + 1)::BIGINT AS len, 256 + list_sum(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::INT)) AS x FROM o),
+r AS (SELECT k, len, x, 0::BIGINT AS shard, len AS run FROM s WHERE k = 1
+UNION ALL SELECT s.k, s.len, s.x, r.shard + (r.run >= {SHARD * 4})::BIGINT, CASE WHEN r.run >= {SHARD * 4} THEN s.len ELSE r.run + s.len END FROM r JOIN s ON s.k = r.k + 1)
+SELECT printf('shard_%05d.bin', shard) AS shard, sum(len)::INT AS n_tokens, count(*)::INT AS n_docs, sum(x)::BIGINT AS id_sum FROM r GROUP BY shard""")
 def src_16(spark, d):
     """Documents as byte tokens, written as binary shards and read back: (shard, n_tokens, n_docs, id_sum)."""
     from millrace.operators.order import restarting_groups
@@ -241,7 +244,7 @@ def src_16(spark, d):
     rows = positioned(docs(spark, d).select("doc_id", (F.octet_length("text") + 1).cast("bigint").alias("len")), ["doc_id"], ["len"])
     grp = rows.select("doc_id", "ord").join(restarting_groups(rows, SHARD * 4, "roll"), "ord")
     ids = byte_ids(docs(spark, d)).join(grp, "doc_id").select("grp", "ord", "ids")
-    path = f"{shared_dir(spark).rstrip('/')}/millrace-shards-{spark.sparkContext.applicationId}"
+    path = _folder(spark, "shards")
     shards.write_shards(ids, path, 257)
     return shards.read_shards(spark, path).select("shard", F.size("ids").alias("n_tokens"), F.size("doc_starts").alias("n_docs"), _sum().alias("id_sum"))
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.runtime import cut
@@ -61,8 +62,10 @@ def write_shards(tokens: DataFrame, path: str, vocab_size: int) -> DataFrame:
     """
     dtype = WIDTHS[0 if dtype_name(vocab_size) == "uint16" else 1]
     live = tokens.where(F.size("ids") > 0)
-    counts = live.groupBy("grp").agg(F.sum(F.size("ids")).cast("bigint").alias("n_tokens"), F.count("*").alias("n_docs"))
-    rows = live.join(counts, "grp").select("grp", "ord", "ids", "n_tokens", "n_docs").repartition("grp").sortWithinPartitions("grp", "ord")
+    # The windows also keep each shard in one task: a bare repartition may be dropped, and a join's partitions split, by the planner.
+    whole, inside = W.partitionBy("grp"), W.partitionBy("grp").orderBy("ord")
+    rows = live.select("grp", "ord", "ids", F.sum(F.size("ids").cast("bigint")).over(whole).alias("n_tokens"), F.count("*").over(whole).alias("n_docs"))
+    rows = rows.withColumn("k", F.row_number().over(inside)).where("k > 0").select("grp", "ids", "n_tokens", "n_docs")
     base = re.sub("^(?:file:)?(?=/)", "file://", re.sub("^file:///", "/", path.rstrip("/")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
