@@ -179,10 +179,10 @@ def tok_15(spark, d):
     return parts.select("example_id", F.md5(F.array_join(F.col("s.h"), "")).alias("digest"))
 
 
-@query("tok_17", _encoded_sql("SELECT t.doc_id, round(strlen(text) / greatest(n, 1), 6) AS ratio FROM t JOIN docs ON t.doc_id = docs.doc_id"))
+@query("tok_17", _encoded_sql("SELECT t.doc_id, strlen(text) / greatest(n, 1) AS ratio FROM t JOIN docs ON t.doc_id = docs.doc_id"))
 def tok_17(spark, d):
     both = encoded(spark, d).select("doc_id", F.size("ids").alias("n")).join(docs(spark, d).select("doc_id", "text"), "doc_id")
-    return both.select("doc_id", F.round(bpe.compression(F.col("text"), F.col("n")), 6).alias("ratio"))
+    return both.select("doc_id", bpe.compression(F.col("text"), F.col("n")).alias("ratio"))
 
 
 @query("prep_1", _encoded_sql("SELECT t.doc_id, n + 1 AS n_tokens, strlen(text)::BIGINT AS n_bytes FROM t JOIN docs ON t.doc_id = docs.doc_id"))

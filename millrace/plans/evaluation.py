@@ -100,9 +100,9 @@ def eval_12(spark, d):
     return ev.span_scores(scores(spark, d), ["run", "item_id"]).withColumn("logprob", F.round("logprob", 6))
 
 
-@query("eval_13", f"WITH {_VALID} SELECT run, item_id, choice_index, round(logprob / greatest(n_chars, 1), 6) AS per_char, round(logprob / greatest(n_tokens, 1), 6) AS per_token FROM v")
+@query("eval_13", f"WITH {_VALID} SELECT run, item_id, choice_index, logprob / greatest(n_chars, 1) AS per_char, logprob / greatest(n_tokens, 1) AS per_token FROM v")
 def eval_13(spark, d):
-    unit = lambda c: F.round(ev.per_unit(F.col("logprob"), F.col(c)), 6)
+    unit = lambda c: ev.per_unit(F.col("logprob"), F.col(c))
     return scores(spark, d).select("run", "item_id", "choice_index", unit("n_chars").alias("per_char"), unit("n_tokens").alias("per_token"))
 
 
