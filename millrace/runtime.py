@@ -86,10 +86,14 @@ atexit.register(drop_written)
 def spread(df: DataFrame) -> DataFrame:
     """df in as many partitions as there are cores if it has fewer, as a table in one small file has; otherwise as it is.
 
-    For scans that are followed by much work a row. A large table has more splits than cores, and is never shuffled by this.
+    For scans that are followed by much work a row. A large table has more splits than cores, and is never shuffled by this. A plan
+    with exchanges is left alone, as its partitions are known only once it has run.
     """
+    run = df._jdf.queryExecution()
+    if run.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if run.toRdd().getNumPartitions() < cores else df
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
