@@ -26,6 +26,8 @@ from millrace.runtime import cut, small, spread
 RUN, SHINGLE = 10, 5
 #: Shingles of items that one pass over the documents looks for; more items take more passes.
 BLOCK = 4_000_000
+#: Windows of items (about 200 bytes each) that may be broadcast to the stretches; more are shuffled.
+PREFIX_ROWS = 100_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -177,7 +179,7 @@ def _leaks_of(docs: DataFrame, windows: DataFrame, doc_id: str, text_col: str, r
         .select("item_id", "window", F.col("rare.shingle").alias("shingle"), F.col("rare.offset").alias("offset"))
     )
     return (
-        shingles.join(small(prefix), "shingle")
+        shingles.join(small(prefix, PREFIX_ROWS), "shingle")
         .where((F.col("pos") >= F.col("offset")) & (F.col("pos") - F.col("offset") + run <= F.size("words")))
         .where(F.expr(f"slice(words, pos - offset + 1, {run}) = window"))
         .select("doc", "item_id")
