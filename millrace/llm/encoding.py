@@ -43,8 +43,9 @@ _GAP = re.compile(r"[ \t\n\r\f\v]+")
 _SENTENCE = re.compile(r"(?<=[.!?;:])[ \t]+")
 #: Characters shown as an example: no letter or digit of ASCII, between marks of quotation.
 _SHOWN = re.compile(r"^[(\[\"'“„«`‘]+[^A-Za-z0-9]{1,12}[)\]\"'”“»`’]+[.,;:!?]*$")
-#: Characters that proper text has beside letters, and those it has after a letter or before a number.
+#: Characters that proper text has beside letters, signs it has after a letter or before a number, and those of them that don't follow a letter.
 _TYPOGRAPHY = frozenset("\xa0\xad\u2009\u200a\u202f…–—‘’‚“”„«»‹›•·µ¿¡")
+_NEVER_AFTER = frozenset("±¶§¼½¾÷£¥¢")
 _SIGNS = frozenset("©®™°±²³¶§†‡¼½¾×÷€£¥¢")
 #: Letters of two alphabets side by side: no restored text.
 _TWO_SCRIPTS = re.compile(r"[A-Za-zÀ-ɏ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ɏ]")
@@ -56,7 +57,7 @@ def _tells(garbled: str, restored: str) -> bool:
     if all("\u2500" <= x <= "\u259f" or x.isascii() for x in garbled):
         return False
     return any(
-        x != y and y.isalpha() and x not in _TYPOGRAPHY and (x not in _SIGNS or garbled[i + 1 : i + 2].isalpha())
+        x != y and y.isalpha() and x not in _TYPOGRAPHY and (x not in _SIGNS or garbled[i + 1 : i + 2].isalpha() or x in _NEVER_AFTER and garbled[i - 1 : i].isalpha())
         for i, (x, y) in enumerate(zip(garbled, restored))
     )
 
@@ -240,7 +241,7 @@ class Classifier:
             telling = {w: r for w, r in new.items() if _tells(w, r)}
             # Also without case, as capitals are rare enough to look garbled.
             gain = min(sum(self.of(f(r))[0] - self.of(f(w))[0] for w, r in telling.items()) for f in (str, str.lower))
-            if telling and gain > 1.5 * MARGIN and not any(map(_TWO_SCRIPTS.search, telling.values())):
+            if telling and gain > MARGIN and not any(map(_TWO_SCRIPTS.search, telling.values())):
                 return c.name, {w: r for w, r in new.items() if r != w}
         return None
 
