@@ -16,11 +16,12 @@ def sequence_count(n_tokens: int, length: int) -> int:
     return n
 
 
-def windows(docs: DataFrame, length: int) -> DataFrame:
+def windows(docs: DataFrame, length: int, vocab_size: int | None = None) -> DataFrame:
     """(seq_idx, tokens): windows of length + 1 tokens, each beginning with the last token of the one before.
 
     docs: (ids array<int>, before_len), ids laid end to end from before_len on. A document gives one slice to each window it lies in,
     so no token is a row of its own and what is gathered for a window are its slices. The incomplete last window is dropped.
+    Given a vocab_size that allows it, slices are shuffled as 16-bit numbers.
     """
     first = F.expr(f"cast(greatest(0, floor((before_len - 1) / {length})) as bigint)")
     last = F.expr(f"cast(floor((before_len + size(ids) - 1) / {length}) as bigint)")
@@ -28,9 +29,11 @@ def windows(docs: DataFrame, length: int) -> DataFrame:
     lo = F.expr(f"greatest(before_len, seq_idx * {length})")
     hi = F.expr(f"least(before_len + size(ids), seq_idx * {length} + {length} + 1)")
     part = cuts.withColumn("lo", lo).withColumn("hi", hi).where("hi > lo")
-    part = part.select("seq_idx", F.struct("lo", F.expr("slice(ids, int(lo - before_len) + 1, int(hi - lo))").alias("t")).alias("s"))
+    taken = F.expr("slice(ids, int(lo - before_len) + 1, int(hi - lo))")
+    narrow = vocab_size is not None and vocab_size <= 1 << 15
+    part = part.select("seq_idx", F.struct("lo", (taken.cast("array<smallint>") if narrow else taken).alias("t")).alias("s"))
     joined = part.groupBy("seq_idx").agg(F.array_sort(F.collect_list("s")).alias("s"))  # at most length + 1 tokens
-    return joined.select("seq_idx", F.flatten(F.col("s.t")).alias("tokens")).where(F.size("tokens") == length + 1)
+    return joined.select("seq_idx", F.flatten(F.col("s.t")).cast("array<int>").alias("tokens")).where(F.size("tokens") == length + 1)
 
 
 def chunks(docs: DataFrame, size: int) -> DataFrame:

@@ -189,3 +189,69 @@ def win_5(spark, d):
     rows = corpus.byte_ids(corpus.docs(spark, d)).join(corpus.measured(spark, d).select("doc_id", "before_len"), "doc_id")
     got = windows.gather(windows.batch_plan(spark, 127, range(50), 4, 2, 1337), windows.windows(rows, corpus.L))
     return got.select("step", "rank", "slot", "seq_idx", F.element_at("tokens", 1).alias("first"), F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t).alias("id_sum"))
+
+
+# The same over every window of the corpus. The recursive SQL of the permutation is too slow for these; tests hold them against a loop.
+EPOCHS, BATCH, WORLD, BASE_SEED = 2, 4, 2, 1337
+
+
+def corpus_windows(spark, d) -> int:
+    """How many windows the documents' tokens make (win_2)."""
+    return corpus.win_2(spark, d).head()[0]
+
+
+def whole_plan(spark, d):
+    """The plan of whole epochs over all windows; an epoch drops only what is less than a step."""
+    n = corpus_windows(spark, d)
+    return windows.batch_plan(spark, n, range(EPOCHS * (n // (BATCH * WORLD))), BATCH, WORLD, BASE_SEED)
+
+
+@query("perm_5_all")
+def perm_5_all(spark, d):
+    n = corpus_windows(spark, d)
+    return spark.range(n).select(F.col("id").alias("idx"), shuffle.permute(F.col("id"), n, shuffle.epoch_seed(BASE_SEED, 0)).alias("out"))
+
+
+@query("perm_6_all")
+def perm_6_all(spark, d):
+    """A slice from the middle of the order, worked out without the rest; the domain is all windows."""
+    n = corpus_windows(spark, d)
+    return spark.range(n * 3 // 10, n * 4 // 10).select(F.col("id").alias("idx"), shuffle.permute(F.col("id"), n, 5).alias("out"))
+
+
+@query("load_1_all")
+def load_1_all(spark, d):
+    n = corpus_windows(spark, d)
+    return spark.range(n).select(F.col("id").alias("k"), shuffle.permute_epochs(F.col("id"), F.lit(3), n, BASE_SEED).alias("seq_idx"))
+
+
+@query("load_2_all")
+def load_2_all(spark, d):
+    return whole_plan(spark, d).select("step", "epoch", "cursor").distinct()
+
+
+@query("load_3_all")
+def load_3_all(spark, d):
+    plan = whole_plan(spark, d).where("slot = 0")
+    return plan.select("step", "rank", (F.col("cursor") + F.col("rank") * BATCH).alias("first_place"))
+
+
+@query("load_4_all")
+def load_4_all(spark, d):
+    return whole_plan(spark, d)
+
+
+@query("load_6_all")
+def load_6_all(spark, d):
+    per = BATCH * WORLD
+    done = whole_plan(spark, d).select("step", "epoch", (F.col("cursor") + per).alias("cursor")).distinct()
+    return done.select("step", "epoch", "cursor", ((F.col("step") + 1) * per * corpus.L).alias("tokens_seen"), F.lit(BASE_SEED).alias("seed"), F.lit(True).alias("exact"))
+
+
+@query("win_5_all")
+def win_5_all(spark, d):
+    """All windows of the corpus, gathered in the order of whole epochs; texts meet their places before they become four bytes a token."""
+    placed = corpus.docs(spark, d).join(corpus.measured(spark, d).select("doc_id", "before_len"), "doc_id")
+    rows = corpus.byte_ids(placed.select(F.struct("doc_id", "before_len").alias("at"), "text"), "at").select("ids", "at.before_len")
+    got = windows.gather(whole_plan(spark, d), windows.windows(rows, corpus.L, 257))
+    return got.select("step", "rank", "slot", "seq_idx", F.element_at("tokens", 1).alias("first"), F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t).alias("id_sum"))
