@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -83,29 +84,37 @@ def _train_here(words: list[tuple[str, int]], n_merges: int) -> list[tuple[int,
     count: dict[str, int] = defaultdict(int)
     where: dict[str, set[int]] = defaultdict(set)
 
-    def tally(k: int, sign: int) -> None:
+    def tally(k: int, sign: int, touched: set[str]) -> None:
         w = text[k]
         for p in map("".join, zip(w, w[1:])):
             count[p] += sign * freq[k]
+            touched.add(p)
             if sign > 0:
                 where[p].add(k)
 
     for k in range(len(text)):
-        tally(k, 1)
+        tally(k, 1, set())
+    heap = [(-c, p) for p, c in count.items()]  # also holds counts that are no longer true, which are passed over
+    heapify(heap)
     merges: list[tuple[int, int, int]] = []
-    while len(merges) < n_merges and count:
-        most = max(count.values())
-        if most <= 0:
-            break
-        pair = min(p for p, c in count.items() if c == most)
+    while len(merges) < n_merges and heap:
+        c, pair = heappop(heap)
+        if c >= 0 or count.get(pair) != -c:
+            continue
         new = BYTES + len(merges)
         merges.append((ord(pair[0]) - BASE, ord(pair[1]) - BASE, new))
+        touched: set[str] = set()
         for k in where.pop(pair):
             if pair in text[k]:
-                tally(k, -1)
+                tally(k, -1, touched)
                 text[k] = text[k].replace(pair, chr(BASE + new))
-                tally(k, 1)
-        count = defaultdict(int, {p: c for p, c in count.items() if c > 0})
+                tally(k, 1, touched)
+        for p in touched:
+            if count[p] > 0:
+                heappush(heap, (-count[p], p))
+            else:
+                del count[p]
+                where.pop(p, None)
     return merges
 
 

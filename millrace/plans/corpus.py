@@ -359,3 +359,45 @@ def snk_9(spark, d):
 def tok_18(spark, d):
     v = bpe.Vocabulary(MERGES, ["<|pad|>"], 300)
     return bpe.vocabulary_table(spark, v).select("id", F.hex("bytes").alias("bytes"), "is_special")
+
+
+# Training and encoding with a vocabulary of production size. A merge is a query of its own in SQL, so these have none; tests hold them against loops.
+VOCAB_SIZE = 32_768
+
+
+def learned(spark, d):
+    """The vocabulary learned from all documents, the reference's default size and special."""
+    counts = prune_rare(cut(piece_counts(docs(spark, d))))
+    return bpe.Vocabulary(bpe.train(counts, VOCAB_SIZE - bpe.BYTES - 1), ["<|endoftext|>"], VOCAB_SIZE)
+
+
+@query("tok_7_full")
+def tok_7_full(spark, d):
+    return bpe.merges_table(spark, learned(spark, d))
+
+
+@query("tok_11_full")
+def tok_11_full(spark, d):
+    distinct = piece_counts(docs(spark, d)).select("piece")
+    return bpe.encode_pieces(distinct, learned(spark, d)).select("piece", F.size("ids").alias("n"))
+
+
+def lengths(spark, d, v):
+    """(doc_id, n_bytes, n, id_sum) of all documents, encoded; a document's bytes travel with its id."""
+    at = F.struct("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes")).alias("at")
+    return bpe.encode(docs(spark, d).select(at, "text"), v, "at").select("at.*", F.size("ids").cast("bigint").alias("n"), _sum().alias("id_sum"))
+
+
+@query("tok_12_full")
+def tok_12_full(spark, d):
+    return lengths(spark, d, learned(spark, d)).select("doc_id", F.col("n").alias("n_tokens"), "id_sum")
+
+
+@query("tok_17_full")
+def tok_17_full(spark, d):
+    return lengths(spark, d, learned(spark, d)).select("doc_id", (F.col("n_bytes") / F.greatest("n", F.lit(1))).alias("ratio"))
+
+
+@query("prep_1_full")
+def prep_1_full(spark, d):
+    return lengths(spark, d, learned(spark, d)).select("doc_id", (F.col("n") + 1).alias("n_tokens"), "n_bytes")

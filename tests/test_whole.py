@@ -1,10 +1,15 @@
 """Queries that have no SQL, against loops over the whole table."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
+import regex
 
 import __spark_entry__ as entry
-from millrace.functions import shuffle
+from millrace.functions import bpe, shuffle
+from millrace.functions.pieces import PATTERN
+from tests.test_functions import naive_training
 
 QUERIES = entry.queries()
 TEXTS = [(k, None if k % 50 == 7 else ("wörd %d, " % k) * (k % 60)) for k in range(700)]
@@ -41,3 +46,30 @@ def test_plans_and_gathers_every_window(spark, folder):
     assert sorted(QUERIES["load_6_all"](spark, folder).collect()) == [(s, s // steps, (s % steps + 1) * 8, (s + 1) * 4096, 1337, True) for s in range(2 * steps)]
     for name, seed, a, b in (("perm_5_all", shuffle.epoch_seed(1337, 0), 0, n), ("perm_6_all", 5, n * 3 // 10, n * 4 // 10), ("load_1_all", shuffle.epoch_seed(1337, 3), 0, n)):
         assert sorted(QUERIES[name](spark, folder).collect()) == [*enumerate(shuffle.permuted(np.arange(n), n, seed).tolist())][a:b]
+
+
+@pytest.fixture(scope="module")
+def by_hand():
+    """(merges, ids of each piece, pieces of each document), learned and applied by loops."""
+    one = regex.compile(PATTERN)
+    pieces = {k: one.findall(text) for k, text in TEXTS if text}
+    merges = naive_training(Counter(p for ps in pieces.values() for p in ps), 32_768 - 257)
+    ids = {}
+    for p in {p for ps in pieces.values() for p in ps}:
+        s = "".join(chr(bpe.BASE + b) for b in p.encode())
+        for a, b, new in merges:
+            s = s.replace(chr(bpe.BASE + a) + chr(bpe.BASE + b), chr(bpe.BASE + new))
+        ids[p] = [ord(c) - bpe.BASE for c in s]
+    return merges, ids, pieces
+
+
+def test_learns_and_encodes_with_all_merges(spark, folder, by_hand):
+    merges, ids, pieces = by_hand
+    assert len(merges) > 500
+    assert sorted(QUERIES["tok_7_full"](spark, folder).collect()) == [(r, *m) for r, m in enumerate(merges)]
+    assert dict(map(tuple, QUERIES["tok_11_full"](spark, folder).collect())) == {p: len(x) for p, x in ids.items()}
+    flat = {k: [i for p in ps for i in ids[p]] for k, ps in pieces.items()}
+    size = {k: len(text.encode()) for k, text in TEXTS if text}
+    assert sorted(QUERIES["tok_12_full"](spark, folder).collect()) == [(k, len(x), sum(x)) for k, x in sorted(flat.items())]
+    assert sorted(QUERIES["tok_17_full"](spark, folder).collect()) == [(k, size[k] / len(x)) for k, x in sorted(flat.items())]
+    assert sorted(QUERIES["prep_1_full"](spark, folder).collect()) == [(k, len(x) + 1, size[k]) for k, x in sorted(flat.items())]
