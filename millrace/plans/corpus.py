@@ -401,3 +401,64 @@ def tok_17_full(spark, d):
 @query("prep_1_full")
 def prep_1_full(spark, d):
     return lengths(spark, d, learned(spark, d)).select("doc_id", (F.col("n") + 1).alias("n_tokens"), "n_bytes")
+
+
+def encoded_lengths(spark, d):
+    """measured() rows with the lengths that the learned vocabulary gives."""
+    rows = lengths(spark, d, learned(spark, d)).select("doc_id", "n_bytes", (F.col("n") + 1).alias("len"))
+    return positioned(rows, ["doc_id"], ["len"])
+
+
+def encoded_stream(spark, d):
+    """(doc_id, ids, ord, before_len, part, len): all documents, encoded with the learned vocabulary and ended, laid end to end."""
+    v = learned(spark, d)
+    enc = cut(bpe.encode(docs(spark, d), v).withColumn("ids", F.concat("ids", F.array(F.lit(v.end_id())))))
+    return enc.join(positioned(enc.select("doc_id", F.size("ids").cast("bigint").alias("len")), ["doc_id"], ["len"]), "doc_id")
+
+
+@query("prep_4_full")
+def prep_4_full(spark, d):
+    return encoded_lengths(spark, d).select("doc_id", "len", corpus.split_name(F.col("ord"), VAL).alias("split"))
+
+
+@query("prep_5_full")
+def prep_5_full(spark, d):
+    return corpus.corpus_totals(encoded_lengths(spark, d))
+
+
+@query("prep_6_full")
+def prep_6_full(spark, d):
+    return corpus.split_totals(encoded_lengths(spark, d), VAL)
+
+
+@query("prep_7_full")
+def prep_7_full(spark, d):
+    """The whole preparation, with its shards read back: (split, shard, n_tokens, n_docs, id_sum)."""
+    path = _folder(spark, "corpus")
+    corpus.prepare(table(spark, d, "documents").select("doc_id", "text"), learned(spark, d), f"{path}/train", f"{path}/val", SHARD * 25, VAL)
+    back = [shards.read_shards(spark, f"{path}/{x}").withColumn("split", F.lit(x)) for x in ("train", "val")]
+    return back[0].unionByName(back[1]).select("split", "shard", F.size("ids").alias("n_tokens"), F.size("doc_starts").alias("n_docs"), _sum().alias("id_sum"))
+
+
+@query("snk_5_full")
+def snk_5_full(spark, d):
+    return corpus.rolled(encoded_lengths(spark, d), SHARD, VAL)
+
+
+@query("win_1_full")
+def win_1_full(spark, d):
+    rows = corpus.rolled(encoded_lengths(spark, d), SHARD, VAL).where("split = 'train'").select("shard", F.col("n_tokens").alias("n"))
+    return positioned(rows, ["shard"], ["n"]).select("shard", "n", F.col("before_n").alias("start"))
+
+
+@query("win_3_full")
+def win_3_full(spark, d):
+    w = windows.windows(encoded_stream(spark, d), L, VOCAB_SIZE)
+    check = F.expr("aggregate(zip_with(tokens, sequence(1, size(tokens)), (t, i) -> bigint(t) * i), 0L, (x, y) -> x + y)")
+    return w.select("seq_idx", F.element_at("tokens", 1).alias("first"), F.element_at("tokens", -1).alias("last"), check.alias("checksum"))
+
+
+@query("src_19_full")
+def src_19_full(spark, d):
+    total = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t)
+    return windows.chunks(encoded_stream(spark, d), 10_000).select("chunk", F.size("tokens").alias("n"), total.alias("id_sum"))

@@ -9,7 +9,9 @@ import regex
 import __spark_entry__ as entry
 from millrace.functions import bpe, shuffle
 from millrace.functions.pieces import PATTERN
+from millrace.plans import corpus
 from tests.test_functions import naive_training
+from tests.test_operators import sequential
 
 QUERIES = entry.queries()
 TEXTS = [(k, None if k % 50 == 7 else ("wörd %d, " % k) * (k % 60)) for k in range(700)]
@@ -73,3 +75,33 @@ def test_learns_and_encodes_with_all_merges(spark, folder, by_hand):
     assert sorted(QUERIES["tok_12_full"](spark, folder).collect()) == [(k, len(x), sum(x)) for k, x in sorted(flat.items())]
     assert sorted(QUERIES["tok_17_full"](spark, folder).collect()) == [(k, size[k] / len(x)) for k, x in sorted(flat.items())]
     assert sorted(QUERIES["prep_1_full"](spark, folder).collect()) == [(k, len(x) + 1, size[k]) for k, x in sorted(flat.items())]
+
+
+def test_prepares_with_the_learned_vocabulary(spark, folder, by_hand, monkeypatch):
+    monkeypatch.setattr(corpus, "SHARD", 300)  # several shards of so few tokens
+    _, ids, pieces = by_hand
+    docs = [(k, [i for p in ps for i in ids[p]] + [32_767], len(TEXTS[k][1].encode())) for k, ps in sorted(pieces.items())]
+    split = lambda ord: "train" if ord % 14 else "val"
+    parts = {s: [x for n, x in enumerate(docs, 1) if split(n) == s] for s in ("train", "val")}
+
+    def shards(size):
+        for s, rows in parts.items():
+            groups = sequential([len(x) for _, x, _ in rows], size, "roll")
+            for g in sorted(set(groups)):
+                own = [x for (_, x, _), h in zip(rows, groups) if h == g]
+                yield s, g, len(own), sum(map(len, own)), sum(map(sum, own))
+
+    got = lambda name: sorted(map(tuple, QUERIES[name](spark, folder).collect()))
+    assert got("prep_4_full") == [(k, len(x), split(n)) for n, (k, x, _) in enumerate(docs, 1)]
+    tokens, size = sum(len(x) for _, x, _ in docs), sum(b for *_, b in docs)
+    assert got("prep_5_full") == [(len(docs), tokens, size, round(size / tokens, 6))] and size > 1.5 * tokens
+    assert got("prep_6_full") == [(s, len(p), sum(len(x) for _, x, _ in p), sum(b for *_, b in p)) for s, p in parts.items()]
+    assert got("prep_7_full") == [(s, f"shard_{g:05d}.bin", t, n, i) for s, g, n, t, i in shards(7500)]
+    small = [*shards(300)]
+    assert len(small) > 20 and got("snk_5_full") == [x[:4] for x in small]
+    train = [(g, t) for s, g, _, t, _ in small if s == "train"]
+    assert got("win_1_full") == [(g, t, sum(u for _, u in train[:g])) for g, t in train]
+    toks = [i for _, x, _ in docs for i in x]
+    cuts = [toks[512 * k : 512 * k + 513] for k in range((len(toks) - 1) // 512)]
+    assert got("win_3_full") == [(k, w[0], w[-1], sum(i * t for i, t in enumerate(w, 1))) for k, w in enumerate(cuts)]
+    assert got("src_19_full") == [(k, len(toks[a : a + 10_000]), sum(toks[a : a + 10_000])) for k, a in enumerate(range(0, len(toks), 10_000))]
