@@ -231,8 +231,9 @@ class NearDuplicates:
     def pairs(self) -> DataFrame:
         """(id_a, id_b), id_a < id_b: linked rows. All pairs of copies and between classes as far as COPIES allows.
 
-        In a larger class of copies each member is paired with the smallest id alone, and if two linked classes have more
-        than COPIES^2 pairs, their smallest ids are paired: no link between texts is lost.
+        In a larger class of copies each member is paired with the smallest id alone. If two linked classes have more than COPIES^2
+        pairs, each member of either is paired with the other's smallest id, so that every row keeps its link; if both are
+        larger than COPIES only their smallest ids are: no link between texts is lost.
         """
         long_enough = cut(self.copied.join(self.texts.select("digest"), "digest", "left_semi").select("digest", "copies", "first"))
         own = self.members.join(small(long_enough), "digest")
@@ -251,7 +252,10 @@ class NearDuplicates:
         other = rows.select(F.col("digest").alias("b"), F.col("id").alias("q"))
         across = links.where(full).select("a", "b").join(one, "a").join(other, "b").select("p", "q")
         tips = links.where(~full).select(F.col("first_a").alias("p"), F.col("first_b").alias("q"))
-        every = within.union(stars).union(across).union(tips)
+        uneven = cut(links.where(~full & (F.least("n_a", "n_b") <= COPIES)).select("a", "b", "first_a", "first_b"))
+        to_b = uneven.select("a", F.col("first_b").alias("q")).join(one, "a").select("p", "q")
+        to_a = uneven.select("b", F.col("first_a").alias("p")).join(other, "b").select("p", "q")
+        every = within.union(stars).union(across).union(tips).union(to_b).union(to_a)
         return every.where("p <> q").select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")).distinct()
 
     def groups(self) -> DataFrame:

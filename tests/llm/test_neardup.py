@@ -73,6 +73,15 @@ def test_large_groups_of_copies_lose_no_link(spark):
     assert {g.group_id for g in groups} == {0} and len(groups) == 2 * n and {g.links for g in groups} == {1}
 
 
+def test_every_copy_keeps_its_link_to_an_edited_text(spark):
+    n = neardup.COPIES**2 // 2 + 10  # more than COPIES^2 pairs with two edited texts alike
+    t = " ".join(f"t{k}" for k in range(30))
+    rows = [(k, "u", t) for k in range(n)] + [(9000, "u", t + " more"), (9001, "u", t + " more")]
+    _, got = run(spark, rows)
+    assert {(k, 9000) for k in range(n)} <= set(got) and (0, 9001) in got and (9000, 9001) in got
+    assert len(got) == (n - 1) + n + 2 and len(set(got)) == len(got)
+
+
 def test_groups_are_connected_components(spark):
     edges = [(1, 2), (2, 3), (7, 8), (9, 10), (10, 11), (11, 12), (12, 13), (13, 9), (20, 30), (30, 25), (25, 24), (24, 50)]
     got = dict(map(tuple, neardup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
