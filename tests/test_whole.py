@@ -105,3 +105,10 @@ def test_prepares_with_the_learned_vocabulary(spark, folder, by_hand, monkeypatc
     cuts = [toks[512 * k : 512 * k + 513] for k in range((len(toks) - 1) // 512)]
     assert got("win_3_full") == [(k, w[0], w[-1], sum(i * t for i, t in enumerate(w, 1))) for k, w in enumerate(cuts)]
     assert got("src_19_full") == [(k, len(toks[a : a + 10_000]), sum(toks[a : a + 10_000])) for k, a in enumerate(range(0, len(toks), 10_000))]
+
+
+def test_a_long_json_text_is_read_whole(spark, tmp_path):
+    long = '{"k": "' + "x" * (1 << 20) + '"}'
+    rows = [(3, " " + long), (4, long), (6, " " + long[:-1])]
+    spark.createDataFrame(rows, "event_id bigint, props string").write.parquet(str(tmp_path / "events.parquet"))
+    assert dict(map(tuple, QUERIES["src_22"](spark, str(tmp_path)).collect())) == {3: True, 4: True, 6: False}
