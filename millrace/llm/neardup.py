@@ -5,11 +5,17 @@ BANDS keys of ROWS minima each bring candidates together; signatures of one bit
 BATCH bits, and after each batch a pair is dropped if the posterior probability that its likeness reaches the
 threshold is below MISS. The first two batches and the number of words travel with the keys, so most candidates end inside the join;
 the other batches are computed for the texts that still have a partner. What survives is verified exactly on its words.
-Exact copies are one class from the start, named by a 64-bit hash of speaker and text.
+Exact copies are one text from the start, named by a 64-bit hash of speaker and text.
+
+One minus the likeness of bags is a metric. So texts within half the allowed distance of a common centre are all linked with each other and
+form a family without being compared among themselves. Where more than RUN texts share a band key, each is compared with that key's head
+alone, and with a centre: the bag of the words that at least half of a sample of the head's texts have. Texts of different
+families are then compared pairwise. A key that is frequent within a task is thinned out before the shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,9 +24,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.runtime import cut, small, spread
+from millrace.runtime import cut, spread
 
 #: A pair of likeness s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 0.989 at 0.70, 0.996 at 0.72, 0.9991 at 0.75.
 ROWS, BANDS = 6, 36
@@ -28,9 +35,14 @@ ROWS, BANDS = 6, 36
 BATCH, BATCHES, MISS = 64, 6, 1e-3
 #: Batches that travel with the keys.
 CARRIED = 2
-#: Groups of at most so many exact copies give all their pairs, larger ones a star around the smallest id;
-#: two linked groups give all their pairs up to the square of it, else the pair of their smallest ids.
-COPIES = 64
+#: Texts that share a band key are compared with each other up to so many, beyond it with the key's head first.
+RUN = 64
+#: Texts of a head that its centre is taken from.
+SAMPLE = 64
+#: Keys that a task remembers as frequent.
+FREQUENT = 100_000
+#: Rows up to which a class is written out as all its pairs, see NearDuplicates.pairs().
+EXPAND = 1000
 
 WORD = re.compile(r"[^\W_]+")
 #: Texts, and words, that are hashed at once.
@@ -123,22 +135,114 @@ def _texts(b: pa.RecordBatch, least: int) -> Iterator[tuple[list[int], list[list
         yield rows, texts
 
 
-def _banded(least: int):
+def _banded(least: int, longest: int | None):
+    """Rows (key, digest, n, s0, s1) of each text's bands.
+
+    If a key recurs more than `longest` times in a chunk, its further rows in this task become (random key, digest, -1, head, key): they needn't
+    meet the others to be compared with the head.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent: dict[int, int] = {}
         for b in batches:
             digest, group = b.column("digest").to_numpy(), b.column("grp").to_numpy()
             for rows, texts in _texts(b, least):
                 tokens, starts = bag_tokens(texts)
                 m = minima(tokens, starts, 0, BANDS * ROWS)
-                keys = band_keys(m, group[rows])
+                key = band_keys(m, group[rows]).ravel()
                 words = np.fromiter(map(len, texts), np.int32, len(texts))
                 carried = [bits(minima(tokens, starts, BANDS * ROWS + BATCH * k, BATCH)) for k in range(CARRIED)]
-                each = [np.repeat(c, BANDS) for c in (digest[rows], words, *carried)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *map(pa.array, each)], names=["key", "digest", "n", *[f"s{k}" for k in range(CARRIED)]])
+                own, n, s0, s1 = (np.repeat(c, BANDS) for c in (digest[rows], words, *carried))
+                if longest is not None:
+                    at, head = _thinned(key, own, frequent, longest)
+                    s0[at], s1[at], n[at] = head, key[at], -1
+                    key[at] = _mix(own[at].view(np.uint64) ^ key[at].view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, own, n, s0, s1)], names=["key", "digest", "n", "s0", "s1"])
 
     return run
 
 
+def _thinned(key: np.ndarray, digest: np.ndarray, frequent: dict[int, int], longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a chunk only need to meet a head, and which; `frequent` remembers the heads of frequent keys, and is extended."""
+    known = np.fromiter((k in frequent for k in key.tolist()), bool, len(key)) if frequent else np.zeros(len(key), bool)
+    values, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+    new = np.flatnonzero((count > longest + 1)[inverse] & ~known)
+    late = np.zeros(len(key), bool)
+    if len(new):
+        order = new[np.lexsort((digest[new], key[new]))]
+        first = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        if len(frequent) > FREQUENT:
+            frequent.clear()
+            known[:] = False
+        frequent.update(zip(key[order][first].tolist(), digest[order][first].tolist()))
+        place = np.arange(len(order))
+        late[order[place - np.maximum.accumulate(np.where(first, place, 0)) > longest]] = True  # one more than `longest` stay, so the key's run is a long one
+    at = np.flatnonzero(known | late)
+    return at, np.fromiter((frequent[k] for k in key[at].tolist()), np.int64, len(at))
+
+
+def _likely(n, s, i: np.ndarray, j: np.ndarray, threshold: float, most: list[int]) -> np.ndarray:
+    """Whether rows i and j agree in size and in the carried batches of bits."""
+    ok = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])
+    differ = np.zeros(len(i), np.int64)
+    for x, limit in zip(s, most):
+        differ = differ + np.bitwise_count((x[i] ^ x[j]).view(np.uint64))
+        ok &= differ <= limit
+    return ok
+
+
+def _meet(threshold: float, most: list[int], longest: int):
+    """(a, b, hot) from rows sorted by (key, digest): likely pairs of short runs of a key; of long runs each row with the head, and the key as hot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, long_key, long_head = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64, np.int64)], None, 0
+        for cols in [*_columns(batches), None]:
+            out: list[tuple] = []
+            now = left if cols is None else [np.concatenate(x) for x in zip(left, cols)]
+            key, digest, n = now[:3]
+            if not len(key):
+                continue
+            if (away := n < 0).any():  # has its head already
+                out.append((digest[away], now[3][away], now[4][away]))
+            stay = ~away
+            if long_key is not None:
+                tail = stay & (key == long_key)
+                out.append((digest[tail], np.full(int(tail.sum()), long_head), key[tail]))
+                stay &= ~tail
+            stay[1:] &= ~((key[1:] == key[:-1]) & (digest[1:] == digest[:-1]) & (n[:-1] >= 0))  # a text's copies give equal rows
+            now = [x[stay] for x in now]
+            key, digest, n = now[:3]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            size = np.diff(np.append(start, len(key)))
+            for k in np.flatnonzero(size > longest).tolist():
+                lo, hi = int(start[k]), int(start[k] + size[k])
+                out.append((digest[lo + 1 : hi], np.full(hi - lo - 1, digest[lo]), key[lo + 1 : hi]))
+            last = len(size) - 1
+            if last >= 0 and size[last] > longest:
+                long_key, long_head = key[-1], digest[start[last]]
+            whole = len(key) if cols is None or last < 0 or size[last] > longest else int(start[last])  # a short last run may go on
+            left = [x[whole:] for x in now]
+            i = np.flatnonzero(np.repeat(size <= longest, size)[:whole])
+            for step in range(1, longest):
+                i = i[i + step < whole]
+                i = i[key[i] == key[i + step]]
+                if not len(i):
+                    break
+                good = i[_likely(n, now[3:], i, i + step, threshold, most)]
+                out.append((digest[good], digest[good + step], None))
+            for a, b, hot in out:
+                if len(a):
+                    h = pa.nulls(len(a), pa.int64()) if hot is None else pa.array(hot)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b) if hot is None else a), pa.array(np.maximum(a, b) if hot is None else b), h], names=["a", "b", "hot"])
+
+    return run
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    for b in batches:
+        yield [b.column(k).to_numpy() for k in range(5)]
+
+
 def _signed(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["digest", "n", *[f"s{k}" for k in range(BATCHES)], "content"]
@@ -183,89 +287,177 @@ def _exact(threshold: float):
     return run
 
 
+def _centre(texts: pd.DataFrame) -> pd.DataFrame:
+    """(head, centre, content): each word as often as at least half of the texts have it."""
+    count: dict[str, list[int]] = {}
+    for t in texts["content"]:
+        for w, c in Counter(WORD.findall(t.lower())).items():
+            count.setdefault(w, []).append(c)
+    need = -(-len(texts) // 2)
+    words = [w for w in sorted(count) if len(count[w]) >= need for _ in range(sorted(count[w])[-need])]
+    content = " ".join(words)
+    digest = int.from_bytes(hashlib.blake2b(content.encode("utf_8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return pd.DataFrame({"head": [texts["head"].iloc[0]], "centre": [digest], "content": [content]})
+
+
 def _differing(a: str, b: str, last: int) -> str:
     """SQL of the number of differing bits in batches 0 to last of two signatures."""
     return "(" + " + ".join(f"bit_count({a}s{k} ^ {b}s{k})" for k in range(last + 1)) + ")"
 
 
+BANDED = "key bigint, digest bigint, n int, " + ", ".join(f"s{k} bigint" for k in range(CARRIED))
+
+
 class NearDuplicates:
-    """The classes of equal texts of `rows`, and the links between classes of likeness at least `threshold`.
+    """The families of texts of `rows`, and the links between texts of different families, of likeness at least `threshold`.
 
     rows: (id, grp, content); only texts of one grp (any type) are compared. Null ids, groups and contents, and texts of
     fewer than `least_words` words, are left out; a row delivered several times counts once. Words are lower-cased runs
     of letters and digits, likeness is common words over words in either, counted as often as they occur.
-    `links` is (a, b, likeness) of class digests with a < b, `members` (digest, id).
+    `members` is (digest, id); `family` (digest, family), the texts that share a family with others, or None if no key is frequent: all texts of a family
+    are linked with each other; `links` is (a, b, likeness) of digests of different families, a < b.
     """
 
-    def __init__(self, rows: DataFrame, threshold: float = 0.7, least_words: int = 20):
+    def __init__(self, rows: DataFrame, threshold: float = 0.7, least_words: int = 20, longest_run: int = RUN):
         base = rows.where("id is not null and grp is not null and content is not null").where(F.length("content") >= 2 * least_words - 1)
         base = base.select("id", F.xxhash64(F.col("grp").cast("string"), "content").alias("digest"), F.xxhash64(F.col("grp").cast("string")).alias("grp"), "content")
-        schema = "key bigint, digest bigint, n int, " + ", ".join(f"s{k} bigint" for k in range(CARRIED))
-        banded = spread(base.select("digest", "grp", "content")).mapInArrow(_banded(least_words), schema)
-        need = fewest_agreements(threshold)
-        a, b = banded.alias("a"), banded.alias("b")
-        likely = " and ".join(f"{_differing('a.', 'b.', k)} <= {BATCH * (k + 1) - need[k]}" for k in range(CARRIED))
-        sized = "least({0}n, {1}n) >= %r * greatest({0}n, {1}n)" % threshold
-        pairs = cut(
-            a.join(b, F.expr(f"a.key = b.key and a.digest < b.digest and {sized.format('a.', 'b.')} and {likely}"))
-            .select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b"))
-            .distinct()
-        )
+        self.threshold, self.least, self.need = threshold, least_words, fewest_agreements(threshold)
+        banded = spread(base.select("digest", "grp", "content")).mapInArrow(_banded(least_words, longest_run), BANDED)
+        most = [BATCH * (k + 1) - self.need[k] for k in range(CARRIED)]
+        sorted_keys = banded.repartition("key").sortWithinPartitions("key", "digest")
+        self.met = cut(sorted_keys.mapInArrow(_meet(threshold, most, longest_run), "a bigint, b bigint, hot bigint"))
         self.members = cut(base.select("digest", "id").distinct())
         self.copied = cut(self.members.groupBy("digest").agg(F.count("*").alias("copies"), F.min("id").alias("first")).where("copies > 1"))
-        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("digest")).union(self.copied.select("digest")).distinct())
+        wanted = self.met.select(F.explode(F.array("a", "b")).alias("digest")).union(self.copied.select("digest")).distinct()
         schema = "digest bigint, n int, " + ", ".join(f"s{k} bigint" for k in range(BATCHES)) + ", content string"
-        self.texts = cut(base.select("digest", "content").join(small(wanted), "digest", "left_semi").mapInArrow(_signed(least_words), schema).dropDuplicates(["digest"]))
+        self.texts = cut(base.select("digest", "content").join(wanted, "digest", "left_semi").mapInArrow(_signed(least_words), schema).dropDuplicates(["digest"]))
+        pairs = self.met.where("hot is null").select("a", "b").distinct()
+        self.family = None
+        if not (hot := self.met.where("hot is not null")).isEmpty():
+            self.family = cut(self._families(hot))
+            pairs = cut(self._apart(pairs.union(self._between(base, hot))))
         sig = self.texts.drop("content")
-        kept = pairs.join(small(sig.select(*[F.col(c).alias(f"a_{c}") for c in sig.columns])), F.col("a") == F.col("a_digest"))
-        kept = kept.join(small(sig.select(*[F.col(c).alias(f"b_{c}") for c in sig.columns])), F.col("b") == F.col("b_digest"))
+        kept = pairs.join(sig.select(*[F.col(c).alias(f"a_{c}") for c in sig.columns]), F.col("a") == F.col("a_digest"))
+        kept = kept.join(sig.select(*[F.col(c).alias(f"b_{c}") for c in sig.columns]), F.col("b") == F.col("b_digest"))
         for k in range(CARRIED, BATCHES):  # one batch of the signature after the other
-            kept = kept.where(F.expr(f"{_differing('a_', 'b_', k)} <= {BATCH * (k + 1) - need[k]}"))
-        kept = kept.select("a", "b")
+            kept = kept.where(F.expr(f"{_differing('a_', 'b_', k)} <= {BATCH * (k + 1) - self.need[k]}"))
+        self.links = cut(self._verified(kept.select("a", "b"), threshold))
+
+    def _verified(self, pairs: DataFrame, threshold: float, other: DataFrame | None = None) -> DataFrame:
+        """The pairs (a, b) of that likeness, a and b being digests of texts, or b of `other` (digest, content)."""
         text = self.texts.select("digest", "content")
-        both = kept.join(text.select(F.col("digest").alias("a"), F.col("content").alias("ta")), "a").join(
-            text.select(F.col("digest").alias("b"), F.col("content").alias("tb")), "b"
+        both = pairs.join(text.select(F.col("digest").alias("a"), F.col("content").alias("ta")), "a").join(
+            (text if other is None else other).select(F.col("digest").alias("b"), F.col("content").alias("tb")), "b"
         )
-        self.links = cut(both.select("a", "b", "ta", "tb").mapInArrow(_exact(threshold), "a bigint, b bigint, likeness double"))
+        return both.select("a", "b", "ta", "tb").mapInArrow(_exact(threshold), "a bigint, b bigint, likeness double")
 
-    def pairs(self) -> DataFrame:
-        """(id_a, id_b), id_a < id_b: linked rows. All pairs of copies and between classes as far as COPIES allows.
+    def _families(self, hot: DataFrame) -> DataFrame:
+        """(digest, family): texts of frequent keys within half the allowed distance of a centre, each with the centre that has most texts.
 
-        In a larger class of copies each member is paired with the smallest id alone. If two linked classes have more than COPIES^2
-        pairs, each member of either is paired with the other's smallest id, so that every row keeps its link; if both are
-        larger than COPIES only their smallest ids are: no link between texts is lost.
+        A text whose centres are all weak is also compared with the one that most texts of its centre have chosen.
+        """
+        half = 1 - (1 - self.threshold) / 2 + 1e-9
+        at = self._verified(hot.select("a", "b").where("a <> b").distinct(), self.threshold).select("a", "b")
+        at = cut(at.union(hot.select("b", "b").distinct()).toDF("a", "head"))
+        some = at.withColumn("k", F.row_number().over(W.partitionBy("head").orderBy(F.xxhash64("a", "head")))).where(F.col("k") <= SAMPLE)
+        told = some.join(self.texts.select(F.col("digest").alias("a"), "content"), "a").select("head", "content")
+        made = cut(told.groupBy("head").applyInPandas(_centre, "head bigint, centre bigint, content string"))
+        centres = cut(made.select(F.col("centre").alias("digest"), "content").dropDuplicates(["digest"]))
+        tried = at.join(made.select("head", F.col("centre").alias("b")), "head").select("a", "b").distinct()
+        near = cut(self._verified(tried, half, centres).select("a", "b"))
+        rank = near.groupBy("b").agg(F.struct(F.count("*").alias("n"), F.min("b").alias("b")).alias("rank"))
+        chosen = cut(near.join(rank, "b").groupBy("a").agg(F.max("rank").alias("rank")).select("a", F.col("rank.b").alias("own")))
+        other = near.join(chosen, "a").groupBy("b", "own").agg(F.count("*").alias("n")).groupBy("b").agg(F.max_by("own", F.struct("n", "own")).alias("better"))
+        moved = chosen.join(other.withColumnRenamed("b", "own"), "own").where("own <> better").select("a", F.col("better").alias("b"))
+        moved = self._verified(moved, half, centres).select("a", F.col("b").alias("better"))
+        got = cut(chosen.join(moved, "a", "left").select(F.col("a").alias("digest"), F.coalesce("better", "own").alias("family")))
+        return got.join(got.groupBy("family").agg(F.count("*").alias("n")).where("n > 1").select("family"), "family").select("digest", "family")
+
+    def _family_of(self, rows: DataFrame, digest: str, name: str) -> DataFrame:
+        if self.family is None:
+            return rows.withColumn(name, F.col(digest))
+        f = self.family.select(F.col("digest").alias(digest), F.col("family").alias("__f"))
+        return rows.join(f, digest, "left").withColumn(name, F.coalesce("__f", digest)).drop("__f")
+
+    def _between(self, base: DataFrame, hot: DataFrame) -> DataFrame:
+        """Likely pairs of texts that share a frequent key and are of different families; families meet by key before their texts do."""
+        digests = cut(hot.select(F.explode(F.array("a", "b")).alias("digest")).distinct())
+        own = base.select("digest", "grp", "content").join(digests, "digest", "left_semi").dropDuplicates(["digest"])
+        rows = own.mapInArrow(_banded(self.least, None), BANDED).join(hot.select(F.col("hot").alias("key")).distinct(), "key", "left_semi")
+        rows = cut(self._family_of(rows, "digest", "family"))
+        of = rows.select("key", "family").distinct()
+        mixed = of.groupBy("key").agg(F.min("family").alias("x"), F.max("family").alias("y")).where("x < y").select("key")
+        of = cut(of.join(mixed, "key"))
+        two = of.select("key", F.col("family").alias("fa")).join(of.select("key", F.col("family").alias("fb")), "key").where("fa < fb")
+        side = lambda x: rows.select("key", F.col("family").alias(f"f{x}"), F.col("digest").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "s0", "s1")])
+        likely = " and ".join(f"{_differing('a_', 'b_', k)} <= {BATCH * (k + 1) - self.need[k]}" for k in range(CARRIED))
+        met = two.join(side("a"), ["key", "fa"]).join(side("b"), ["key", "fb"]).where(f"least(a_n, b_n) >= {self.threshold!r} * greatest(a_n, b_n) and {likely}")
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def _apart(self, pairs: DataFrame) -> DataFrame:
+        rows = self._family_of(self._family_of(pairs.distinct(), "a", "fa"), "b", "fb")
+        return rows.where("fa <> fb").select("a", "b")
+
+    def classes(self) -> DataFrame:
+        """(id, text_id, class_id, class_rows, links): every row that is linked to another.
+
+        text_id is the smallest id of the rows of the same text, class_id that of the rows of its family, of which there are class_rows, and
+        links the number of texts of other families that the text is linked to. With text_links() this gives every pair: two rows are linked if they
+        have the same class_id or if their texts are linked.
+        """
+        long_enough = self.texts.select("digest")
+        rows = self._family_of(self.members.join(long_enough, "digest", "left_semi"), "digest", "family")
+        degree = self.links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("links"))
+        text = rows.groupBy("digest").agg(F.min("id").alias("text_id"))
+        family = rows.groupBy("family").agg(F.min("id").alias("class_id"), F.count("*").alias("class_rows"))
+        got = rows.join(text, "digest").join(family, "family").join(degree, "digest", "left")
+        got = got.where("class_rows > 1 or links is not null")
+        return got.select("id", "text_id", "class_id", "class_rows", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+    def text_links(self) -> DataFrame:
+        """(text_a, text_b, likeness): linked texts of different families, each named by the smallest id of its rows; text_a < text_b."""
+        first = self.members.groupBy("digest").agg(F.min("id").alias("first"))
+        both = self.links.join(first.select(F.col("digest").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("digest").alias("b"), F.col("first").alias("y")), "b")
+        return both.select(F.least("x", "y").alias("text_a"), F.greatest("x", "y").alias("text_b"), "likeness")
+
+    def pairs(self, expand: int = EXPAND) -> DataFrame:
+        """(id_a, id_b), id_a < id_b: linked rows; all of them, unless classes (families with their copies) exceed `expand` rows.
+
+        In a larger class each row is paired with the smallest id alone; of two linked texts with more than expand^2 pairs of
+        rows, each row is paired with the other text's smallest id. No text loses a link by that, and classes() with text_links() give all pairs at any size.
         """
-        long_enough = cut(self.copied.join(self.texts.select("digest"), "digest", "left_semi").select("digest", "copies", "first"))
-        own = self.members.join(small(long_enough), "digest")
-        few = own.where(F.col("copies") <= COPIES).select("digest", "id")
+        rows = self._family_of(self.members.join(self.texts.select("digest"), "digest", "left_semi"), "digest", "family")
+        size = rows.groupBy("family").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+        own = cut(rows.join(size, "family").select("family", "id", "n", "first"))
+        few = own.where(F.col("n") <= expand).select("family", "id")
         x, y = few.alias("x"), few.alias("y")
-        within = x.join(y, F.expr("x.digest = y.digest and x.id < y.id")).select(F.col("x.id").alias("p"), F.col("y.id").alias("q"))
-        stars = own.where((F.col("copies") > COPIES) & (F.col("id") != F.col("first"))).select(F.col("first").alias("p"), F.col("id").alias("q"))
-        # The classes that are linked: how many copies they have, and the smallest id.
-        ends = cut(self.links.select(F.explode(F.array("a", "b")).alias("digest")).distinct())
-        rows = cut(self.members.join(small(ends), "digest", "left_semi"))
+        within = x.join(y, F.expr("x.family = y.family and x.id < y.id")).select(F.col("x.id").alias("p"), F.col("y.id").alias("q"))
+        stars = own.where((F.col("n") > expand) & (F.col("id") != F.col("first"))).select(F.col("first").alias("p"), F.col("id").alias("q"))
+        # The texts that are linked: how many rows they have, and the smallest id.
+        ends = self.links.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+        rows = cut(self.members.join(ends, "digest", "left_semi"))
         size = cut(rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first")))
-        side = lambda s: small(size.select(F.col("digest").alias(s), F.col("n").alias(f"n_{s}"), F.col("first").alias(f"first_{s}")))
-        links = self.links.join(side("a"), "a").join(side("b"), "b")
-        full = F.col("n_a") * F.col("n_b") <= COPIES * COPIES
+        side = lambda s: size.select(F.col("digest").alias(s), F.col("n").alias(f"n_{s}"), F.col("first").alias(f"first_{s}"))
+        links = cut(self.links.join(side("a"), "a").join(side("b"), "b"))
+        full = F.col("n_a") * F.col("n_b") <= expand * expand
         one = rows.select(F.col("digest").alias("a"), F.col("id").alias("p"))
         other = rows.select(F.col("digest").alias("b"), F.col("id").alias("q"))
         across = links.where(full).select("a", "b").join(one, "a").join(other, "b").select("p", "q")
-        tips = links.where(~full).select(F.col("first_a").alias("p"), F.col("first_b").alias("q"))
-        uneven = cut(links.where(~full & (F.least("n_a", "n_b") <= COPIES)).select("a", "b", "first_a", "first_b"))
-        to_b = uneven.select("a", F.col("first_b").alias("q")).join(one, "a").select("p", "q")
-        to_a = uneven.select("b", F.col("first_a").alias("p")).join(other, "b").select("p", "q")
-        every = within.union(stars).union(across).union(tips).union(to_b).union(to_a)
+        many = links.where(~full)
+        to_b = many.select("a", F.col("first_b").alias("q")).join(one, "a").select("p", "q")
+        to_a = many.select("b", F.col("first_a").alias("p")).join(other, "b").select("p", "q")
+        every = within.union(stars).union(across).union(to_b).union(to_a)
         return every.where("p <> q").select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")).distinct()
 
     def groups(self) -> DataFrame:
-        """(id, group_id, links): every row with a partner, the smallest id of its group, and how many other classes its own is linked to."""
-        stars = self.copied.select("digest").join(self.texts.select("digest"), "digest", "left_semi")
-        comp = components(self.links.select("a", "b"))
+        """(id, group_id, links): every row with a partner, the smallest id of its group, and how many texts of other families its own is linked to."""
+        edges = self.links.select("a", "b") if self.family is None else self.links.select("a", "b").union(self.family.select("digest", "family"))
+        alone = self.copied.select("digest").join(self.texts.select("digest"), "digest", "left_semi")
+        comp = components(edges)
         degree = self.links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("links"))
-        classes = comp.select(F.col("node").alias("digest"), "component").unionByName(stars.select("digest", F.col("digest").alias("component")))
-        classes = classes.groupBy("digest").agg(F.min("component").alias("component")).join(degree, "digest", "left")
-        rows = cut(self.members.join(classes, "digest"))
+        texts = comp.select(F.col("node").alias("digest"), "component").unionByName(alone.select("digest", F.col("digest").alias("component")))
+        texts = texts.groupBy("digest").agg(F.min("component").alias("component")).join(degree, "digest", "left")
+        rows = cut(self.members.join(texts, "digest"))
         first = rows.groupBy("component").agg(F.min("id").alias("group_id"))
         return rows.join(first, "component").select("id", "group_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 

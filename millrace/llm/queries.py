@@ -44,6 +44,16 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return _near_duplicates(spark, d).groups().withColumnRenamed("id", "message_id")
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """(message_id, text_id, class_id, class_rows, links); with p3_links it gives every pair, however large a class is."""
+    return _near_duplicates(spark, d).classes().withColumnRenamed("id", "message_id")
+
+
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    """(text_a, text_b, likeness): linked texts of different classes, by the smallest message_id of each."""
+    return _near_duplicates(spark, d).text_links()
+
+
 def _split(spark: SparkSession, d: str, verdict_only: bool) -> DataFrame:
     return splitting.split_examples(table(spark, d, "examples"), table(spark, d, "window_profiles"), table(spark, d, "vocab"), verdict_only)
 
@@ -94,6 +104,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_defects": p2_defects,
         "p3_found": p3_found,
         "p3_groups": p3_groups,
+        "p3_classes": p3_classes,
+        "p3_links": p3_links,
         "p4_found": p4_found,
         "p4_pieces": p4_pieces,
         "p5_containers": p5_containers,
