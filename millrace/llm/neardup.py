@@ -10,7 +10,8 @@ Exact copies are one text from the start, named by a 64-bit hash of speaker and
 One minus the likeness of bags is a metric. So texts within half the allowed distance of a common centre are all linked with each other and
 form a family without being compared among themselves. Where more than RUN texts share a band key, each is compared with that key's head
 alone, and with a centre: the bag of the words that at least half of a sample of the head's texts have. Texts of different
-families are then compared pairwise. A key that is frequent within a task is thinned out before the shuffle.
+families are then compared pairwise. A key that is frequent within a task is thinned out before the shuffle. Up to WHOLE texts that share a key but
+are mostly unlike each other are compared by their signatures at once.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ BATCH, BATCHES, MISS = 64, 6, 1e-3
 CARRIED = 2
 #: Texts that share a band key are compared with each other up to so many, beyond it with the key's head first.
 RUN = 64
+#: Longer runs than RUN are still compared whole up to this, unless half of their texts differ from the head in no more than ALIKE carried bits.
+WHOLE, ALIKE = 4096, 16
 #: Texts of a head that its centre is taken from.
 SAMPLE = 64
 #: Keys that a task remembers as frequent.
@@ -139,7 +142,7 @@ def _banded(least: int, longest: int | None):
     """Rows (key, digest, n, s0, s1) of each text's bands.
 
     If a key recurs more than `longest` times in a chunk, its further rows in this task become (random key, digest, -1, head, key): they needn't
-    meet the others to be compared with the head.
+    meet the others to be compared with the head. The head's own row has n = -2, so that the key is known to be frequent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +157,8 @@ def _banded(least: int, longest: int | None):
                 carried = [bits(minima(tokens, starts, BANDS * ROWS + BATCH * k, BATCH)) for k in range(CARRIED)]
                 own, n, s0, s1 = (np.repeat(c, BANDS) for c in (digest[rows], words, *carried))
                 if longest is not None:
-                    at, head = _thinned(key, own, frequent, longest)
+                    at, head, marked = _thinned(key, own, frequent, longest)
+                    n[marked] = -2
                     s0[at], s1[at], n[at] = head, key[at], -1
                     key[at] = _mix(own[at].view(np.uint64) ^ key[at].view(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, own, n, s0, s1)], names=["key", "digest", "n", "s0", "s1"])
@@ -162,23 +166,24 @@ def _banded(least: int, longest: int | None):
     return run
 
 
-def _thinned(key: np.ndarray, digest: np.ndarray, frequent: dict[int, int], longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows of a chunk only need to meet a head, and which; `frequent` remembers the heads of frequent keys, and is extended."""
+def _thinned(key: np.ndarray, digest: np.ndarray, frequent: dict[int, int], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows of a chunk only need to meet a head, which head, and the rows of new heads; `frequent` remembers the heads of frequent keys, and is extended."""
     known = np.fromiter((k in frequent for k in key.tolist()), bool, len(key)) if frequent else np.zeros(len(key), bool)
     values, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
     new = np.flatnonzero((count > longest + 1)[inverse] & ~known)
-    late = np.zeros(len(key), bool)
+    late, marked = np.zeros(len(key), bool), new[:0]
     if len(new):
         order = new[np.lexsort((digest[new], key[new]))]
         first = np.concatenate([[True], key[order][1:] != key[order][:-1]])
         if len(frequent) > FREQUENT:
             frequent.clear()
             known[:] = False
+        marked = order[first]
         frequent.update(zip(key[order][first].tolist(), digest[order][first].tolist()))
         place = np.arange(len(order))
-        late[order[place - np.maximum.accumulate(np.where(first, place, 0)) > longest]] = True  # one more than `longest` stay, so the key's run is a long one
+        late[order[place - np.maximum.accumulate(np.where(first, place, 0)) > 0]] = True
     at = np.flatnonzero(known | late)
-    return at, np.fromiter((frequent[k] for k in key[at].tolist()), np.int64, len(at))
+    return at, np.fromiter((frequent[k] for k in key[at].tolist()), np.int64, len(at)), marked
 
 
 def _likely(n, s, i: np.ndarray, j: np.ndarray, threshold: float, most: list[int]) -> np.ndarray:
@@ -191,53 +196,73 @@ def _likely(n, s, i: np.ndarray, j: np.ndarray, threshold: float, most: list[int
     return ok
 
 
-def _meet(threshold: float, most: list[int], longest: int):
-    """(a, b, hot) from rows sorted by (key, digest): likely pairs of short runs of a key; of long runs each row with the head, and the key as hot."""
+def _meet(threshold: float, most: list[int], longest: int, whole: int = WHOLE):
+    """(a, b, hot) from rows sorted by key: likely pairs of a key's texts; of frequent keys each text with the head, and the key as hot."""
+
+    def pairs(now: list[np.ndarray], i: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, digest, n = now[:3]
+        for step in range(1, whole):
+            i = i[i + step < len(key)]
+            i = i[key[i] == key[i + step]]
+            if not len(i):
+                return
+            good = i[_likely(n, now[3:], i, i + step, threshold, most)]
+            if len(good):
+                a, b = digest[good], digest[good + step]
+                yield _met(np.minimum(a, b), np.maximum(a, b), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, long_key, long_head = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64, np.int64)], None, 0
         for cols in [*_columns(batches), None]:
-            out: list[tuple] = []
             now = left if cols is None else [np.concatenate(x) for x in zip(left, cols)]
             key, digest, n = now[:3]
             if not len(key):
                 continue
-            if (away := n < 0).any():  # has its head already
-                out.append((digest[away], now[3][away], now[4][away]))
+            if (away := n == -1).any():  # has its head already
+                yield _met(digest[away], now[3][away], now[4][away])
             stay = ~away
-            if long_key is not None:
-                tail = stay & (key == long_key)
-                out.append((digest[tail], np.full(int(tail.sum()), long_head), key[tail]))
+            if long_key is not None and (tail := stay & (key == long_key)).any():
+                yield _met(digest[tail], np.full(int(tail.sum()), long_head), key[tail])
                 stay &= ~tail
-            stay[1:] &= ~((key[1:] == key[:-1]) & (digest[1:] == digest[:-1]) & (n[:-1] >= 0))  # a text's copies give equal rows
-            now = [x[stay] for x in now]
+            now = _several([x[stay] for x in now])
             key, digest, n = now[:3]
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
             size = np.diff(np.append(start, len(key)))
-            for k in np.flatnonzero(size > longest).tolist():
+            hot = np.zeros(len(size), bool)
+            for k in np.flatnonzero((size > longest) | (np.minimum.reduceat(n, start) == -2 if len(start) else False)).tolist():
                 lo, hi = int(start[k]), int(start[k] + size[k])
-                out.append((digest[lo + 1 : hi], np.full(hi - lo - 1, digest[lo]), key[lo + 1 : hi]))
+                differ = sum(np.bitwise_count((x[lo:hi] ^ x[lo]).view(np.uint64)).astype(int) for x in now[3:])
+                hot[k] = n[lo:hi].min() == -2 or hi - lo > whole or 2 * int((differ <= ALIKE).sum()) >= hi - lo
+                if hot[k]:
+                    yield _met(digest[lo:hi], np.full(hi - lo, digest[lo]), key[lo:hi])
             last = len(size) - 1
-            if last >= 0 and size[last] > longest:
+            if last >= 0 and hot[last]:
                 long_key, long_head = key[-1], digest[start[last]]
-            whole = len(key) if cols is None or last < 0 or size[last] > longest else int(start[last])  # a short last run may go on
-            left = [x[whole:] for x in now]
-            i = np.flatnonzero(np.repeat(size <= longest, size)[:whole])
-            for step in range(1, longest):
-                i = i[i + step < whole]
-                i = i[key[i] == key[i + step]]
-                if not len(i):
-                    break
-                good = i[_likely(n, now[3:], i, i + step, threshold, most)]
-                out.append((digest[good], digest[good + step], None))
-            for a, b, hot in out:
-                if len(a):
-                    h = pa.nulls(len(a), pa.int64()) if hot is None else pa.array(hot)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b) if hot is None else a), pa.array(np.maximum(a, b) if hot is None else b), h], names=["a", "b", "hot"])
+            done = len(key) if cols is None or last < 0 or hot[last] else int(start[last])  # the last run may go on
+            left = [x[done:] for x in now]
+            yield from pairs([x[:done] for x in now], np.flatnonzero(np.repeat(~hot, size)[:done]))
 
     return run
 
 
+def _several(now: list[np.ndarray]) -> list[np.ndarray]:
+    """The rows of the keys that have several and of the last key, by key and digest, each text once."""
+    key = now[0]
+    if not len(key):
+        return now
+    first = np.append(True, key[1:] != key[:-1])
+    at = np.flatnonzero(~(first & np.append(first[1:], False)))
+    at = at[np.lexsort((now[2][at], now[1][at], key[at]))]
+    key, digest = now[0][at], now[1][at]
+    new = np.append(True, (key[1:] != key[:-1]) | (digest[1:] != digest[:-1]))
+    return [x[at[new]] for x in now]
+
+
+def _met(a: np.ndarray, b: np.ndarray, hot: np.ndarray | None) -> pa.RecordBatch:
+    h = pa.nulls(len(a), pa.int64()) if hot is None else pa.array(hot)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), h], names=["a", "b", "hot"])
+
+
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     for b in batches:
         yield [b.column(k).to_numpy() for k in range(5)]
@@ -318,14 +343,14 @@ class NearDuplicates:
     are linked with each other; `links` is (a, b, likeness) of digests of different families, a < b.
     """
 
-    def __init__(self, rows: DataFrame, threshold: float = 0.7, least_words: int = 20, longest_run: int = RUN):
+    def __init__(self, rows: DataFrame, threshold: float = 0.7, least_words: int = 20, longest_run: int = RUN, whole_run: int = WHOLE):
         base = rows.where("id is not null and grp is not null and content is not null").where(F.length("content") >= 2 * least_words - 1)
         base = base.select("id", F.xxhash64(F.col("grp").cast("string"), "content").alias("digest"), F.xxhash64(F.col("grp").cast("string")).alias("grp"), "content")
         self.threshold, self.least, self.need = threshold, least_words, fewest_agreements(threshold)
         banded = spread(base.select("digest", "grp", "content")).mapInArrow(_banded(least_words, longest_run), BANDED)
         most = [BATCH * (k + 1) - self.need[k] for k in range(CARRIED)]
-        sorted_keys = banded.repartition("key").sortWithinPartitions("key", "digest")
-        self.met = cut(sorted_keys.mapInArrow(_meet(threshold, most, longest_run), "a bigint, b bigint, hot bigint"))
+        sorted_keys = banded.repartition("key").sortWithinPartitions("key")  # one long number, so by radix
+        self.met = cut(sorted_keys.mapInArrow(_meet(threshold, most, longest_run, whole_run), "a bigint, b bigint, hot bigint"))
         self.members = cut(base.select("digest", "id").distinct())
         self.copied = cut(self.members.groupBy("digest").agg(F.count("*").alias("copies"), F.min("id").alias("first")).where("copies > 1"))
         wanted = self.met.select(F.explode(F.array("a", "b")).alias("digest")).union(self.copied.select("digest")).distinct()
@@ -341,13 +366,13 @@ class NearDuplicates:
         kept = kept.join(sig.select(*[F.col(c).alias(f"b_{c}") for c in sig.columns]), F.col("b") == F.col("b_digest"))
         for k in range(CARRIED, BATCHES):  # one batch of the signature after the other
             kept = kept.where(F.expr(f"{_differing('a_', 'b_', k)} <= {BATCH * (k + 1) - self.need[k]}"))
-        self.links = cut(self._verified(kept.select("a", "b"), threshold))
+        self.links = cut(self._verified(kept.select("a", "b"), threshold, self.texts))
 
-    def _verified(self, pairs: DataFrame, threshold: float, other: DataFrame | None = None) -> DataFrame:
-        """The pairs (a, b) of that likeness, a and b being digests of texts, or b of `other` (digest, content)."""
-        text = self.texts.select("digest", "content")
-        both = pairs.join(text.select(F.col("digest").alias("a"), F.col("content").alias("ta")), "a").join(
-            (text if other is None else other).select(F.col("digest").alias("b"), F.col("content").alias("tb")), "b"
+    @staticmethod
+    def _verified(pairs: DataFrame, threshold: float, texts: DataFrame, others: DataFrame | None = None) -> DataFrame:
+        """The pairs (a, b) of that likeness: digests of `texts` (digest, content), b of `others` if given."""
+        both = pairs.join(texts.select(F.col("digest").alias("a"), F.col("content").alias("ta")), "a").join(
+            (texts if others is None else others).select(F.col("digest").alias("b"), F.col("content").alias("tb")), "b"
         )
         return both.select("a", "b", "ta", "tb").mapInArrow(_exact(threshold), "a bigint, b bigint, likeness double")
 
@@ -357,19 +382,21 @@ class NearDuplicates:
         A text whose centres are all weak is also compared with the one that most texts of its centre have chosen.
         """
         half = 1 - (1 - self.threshold) / 2 + 1e-9
-        at = self._verified(hot.select("a", "b").where("a <> b").distinct(), self.threshold).select("a", "b")
+        digests = hot.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+        texts = cut(self.texts.select("digest", "content").join(digests, "digest", "left_semi"))
+        at = self._verified(hot.select("a", "b").where("a <> b").distinct(), self.threshold, texts).select("a", "b")
         at = cut(at.union(hot.select("b", "b").distinct()).toDF("a", "head"))
         some = at.withColumn("k", F.row_number().over(W.partitionBy("head").orderBy(F.xxhash64("a", "head")))).where(F.col("k") <= SAMPLE)
-        told = some.join(self.texts.select(F.col("digest").alias("a"), "content"), "a").select("head", "content")
+        told = some.join(texts.select(F.col("digest").alias("a"), "content"), "a").select("head", "content")
         made = cut(told.groupBy("head").applyInPandas(_centre, "head bigint, centre bigint, content string"))
         centres = cut(made.select(F.col("centre").alias("digest"), "content").dropDuplicates(["digest"]))
         tried = at.join(made.select("head", F.col("centre").alias("b")), "head").select("a", "b").distinct()
-        near = cut(self._verified(tried, half, centres).select("a", "b"))
+        near = cut(self._verified(tried, half, texts, centres).select("a", "b"))
         rank = near.groupBy("b").agg(F.struct(F.count("*").alias("n"), F.min("b").alias("b")).alias("rank"))
         chosen = cut(near.join(rank, "b").groupBy("a").agg(F.max("rank").alias("rank")).select("a", F.col("rank.b").alias("own")))
         other = near.join(chosen, "a").groupBy("b", "own").agg(F.count("*").alias("n")).groupBy("b").agg(F.max_by("own", F.struct("n", "own")).alias("better"))
         moved = chosen.join(other.withColumnRenamed("b", "own"), "own").where("own <> better").select("a", F.col("better").alias("b"))
-        moved = self._verified(moved, half, centres).select("a", F.col("b").alias("better"))
+        moved = self._verified(moved, half, texts, centres).select("a", F.col("b").alias("better"))
         got = cut(chosen.join(moved, "a", "left").select(F.col("a").alias("digest"), F.coalesce("better", "own").alias("family")))
         return got.join(got.groupBy("family").agg(F.count("*").alias("n")).where("n > 1").select("family"), "family").select("digest", "family")
 

@@ -114,8 +114,8 @@ def test_long_runs_of_a_band_key_lose_no_link(spark):
     mixed = [w if k % 4 else f"t2000x{k}" for k, w in enumerate(next(templates(rng, 1, 0, 0))[2].split())]
     rows += [(3000 + k, "u", " ".join(mixed[:39] + [f"m{k}"])) for k in range(40)] + [(3100, "v", rows[0][2])]
     want = set(brute(rows))
-    for run in (4, 16):
-        nd = neardup.NearDuplicates(spark.createDataFrame([(i, g, t, "x") for i, g, t in rows], COLS), longest_run=run)
+    for run, whole in ((4, 8), (16, 4096)):
+        nd = neardup.NearDuplicates(spark.createDataFrame([(i, g, t, "x") for i, g, t in rows], COLS), longest_run=run, whole_run=whole)
         got = set(map(tuple, nd.pairs().collect()))
         assert nd.family is not None and nd.family.count() > 50
         assert not got - want and len(got) >= 0.98 * len(want) and rebuilt(nd) == got
