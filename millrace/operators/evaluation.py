@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import bpe
 from millrace.operators.order import positioned
 
 
@@ -59,6 +60,18 @@ def encoded_lengths(n_context: Column, n_continuation: Column, max_len: int) ->
     return n, F.least(F.greatest(n_continuation, F.lit(1)), n - 1)
 
 
+def encoded_requests(rows: DataFrame, v: bpe.Vocabulary, max_len: int, keys: tuple[str, ...] = ("item_id", "choice_index")) -> DataFrame:
+    """(*keys, ids, n_cont) of requests: context and continuation encoded, an empty one being an end token, of which the last max_len ids are kept."""
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("text")) for k, c in enumerate(("context", "continuation"))])
+    both = rows.select(F.struct(*keys).alias("key"), F.explode(sides).alias("s")).select(F.struct("key", "s.side").alias("at"), F.coalesce("s.text", F.lit("")).alias("text"))
+    got = bpe.encode(both, v, "at").withColumn("ids", F.when(F.size("ids") > 0, F.col("ids")).otherwise(F.array(F.lit(v.end_id()))))
+    side = lambda k: F.max(F.when(F.col("at.side") == k, F.col("ids")))  # noqa: E731  one row a side
+    whole = got.groupBy(F.col("at.key").alias("key")).agg(side(0).alias("a"), side(1).alias("b"))
+    ids = F.concat("a", "b")
+    kept = whole.select("key.*", F.slice(ids, F.greatest(F.lit(1), F.size(ids) - max_len + 1), F.lit(max_len)).alias("ids"), F.size("b").alias("__n"))
+    return kept.select(*keys, "ids", F.least("__n", F.size("ids") - 1).alias("n_cont"))
+
+
 def length_batches(rows: DataFrame, n_col: str, keys: list[str], size: int) -> DataFrame:
     """rows with batch: the longest first, of equal length by keys, size rows to a batch."""
     at = positioned(rows.select(*keys, (-F.col(n_col)).alias("neg")), ["neg", *keys])
@@ -116,6 +129,13 @@ def perplexity(scores: DataFrame, bytes_per_token: float = 0.0) -> DataFrame:
     return (out.withColumn("bpb", F.round(F.col("nll") / F.log(F.lit(2.0)) / bytes_per_token, 6)) if bytes_per_token > 0 else out).drop("nll")
 
 
+def validation(batches: DataFrame, bytes_per_token: float | None = None) -> DataFrame:
+    """(run, loss, ppl, bpb) of (run, rank, ce): the plain mean over each rank's batches, averaged over ranks; without bytes per token they count as 1."""
+    loss = batches.groupBy("run", "rank").agg(F.avg("ce").alias("ce")).groupBy("run").agg(F.avg("ce").alias("l"))
+    bits = F.col("l") / F.log(F.lit(2.0)) / (bytes_per_token or 1.0)
+    return loss.select("run", F.round("l", 6).alias("loss"), F.round(F.exp(F.least("l", F.lit(20.0))), 4).alias("ppl"), F.round(bits, 6).alias("bpb"))
+
+
 def report(acc: DataFrame, metric: str) -> DataFrame:
     """(run, ord, line): a table in markdown, tasks by name and their plain average at the end."""
     pct = lambda c: F.format_string("%.2f", F.round(100 * c, 2))

@@ -1,35 +1,55 @@
-"""Schedules, sizes and costs as expressions, and layered configuration."""
+"""Schedules, sizes and costs as expressions."""
 
 from __future__ import annotations
 
-import ast
 import math
-from collections.abc import Iterable
-from pathlib import Path
-from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.settings import deep_merge, load_layers, overrides  # noqa: F401  configuration lives there
+
+
+#: What is left of a rate, by how much of its way down it has gone.
+SHAPES = {
+    "1-sqrt": lambda gone: 1 - F.sqrt(gone),
+    "linear": lambda gone: 1 - gone,
+    "cosine": lambda gone: (1 + F.cos(math.pi * gone)) / 2,
+}
+
 
 def learning_rate(step: Column, base: float, max_steps: int, warmup: int = 0, min_ratio: float = 0.1, schedule: str = "wsd", decay_steps: int = 0, shape: str = "1-sqrt") -> Column:
-    """Learning rate at a 0-based step: linear warmup, then the schedule; an unknown one is an error."""
-    low = base * min_ratio
-    t = F.least(F.lit(1.0), (step - warmup) / max(1, max_steps - warmup))
-    if schedule == "constant":
-        main = F.lit(float(base))
-    elif schedule == "cosine":
-        main = low + 0.5 * (base - low) * (1 + F.cos(math.pi * t))
-    elif schedule == "linear":
-        main = base + (low - base) * t
-    elif schedule == "wsd":
-        d = decay_steps or max(1, int(0.2 * max_steps))
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (step - (max_steps - d)) / d))
-        left = {"linear": 1 - t, "cosine": 0.5 * (1 + F.cos(math.pi * t))}.get(shape, 1 - F.sqrt(t))
-        main = low + (base - low) * left
-    else:
+    """Learning rate at a 0-based step: linear warmup, then down from base to base * min_ratio; an unknown schedule is an error.
+
+    cosine and linear go down from the warmup on, wsd over the last decay_steps (a fifth of max_steps) in the given shape (an unknown one
+    is 1-sqrt), constant never.
+    """
+    fall = decay_steps or max(1, int(0.2 * max_steps))
+    spans = {"constant": None, "cosine": (warmup, max(1, max_steps - warmup)), "linear": (warmup, max(1, max_steps - warmup)), "wsd": (max_steps - fall, fall)}
+    if schedule not in spans:
         raise ValueError(f"unknown schedule {schedule!r}")
-    return F.when(step < warmup, base * (step + 1) / warmup).otherwise(main) if warmup else main
+    left = F.lit(1.0)
+    if spans[schedule]:
+        begin, length = spans[schedule]
+        gone = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (step - begin) / length))
+        left = SHAPES.get(shape if schedule == "wsd" else schedule, SHAPES["1-sqrt"])(gone)
+    rate = base * (min_ratio + (1 - min_ratio) * left)
+    return F.when(step < warmup, base * (step + 1) / warmup).otherwise(rate) if warmup else rate
+
+
+def group_rate(rate: Column, base: float, own_base: float) -> Column:
+    """The rate of a parameter group with a base of its own, which keeps the ratio to the first group's."""
+    return rate * (own_base / base)
+
+
+def budget_steps(tokens: Column, per_step: int) -> Column:
+    """Whole steps in a budget of tokens, at least one."""
+    return F.greatest(F.lit(1).cast("bigint"), F.floor(tokens / per_step).cast("bigint"))
+
+
+def early_finish(step: Column, max_steps: int, decay_share: float = 0.2, decay_steps: int = 0) -> Column:
+    """The number of steps with which the decay begins at `step`."""
+    return step + (decay_steps or max(1, int(decay_share * max_steps)))
 
 
 def batch_scaled(lr: Column, batch: Column, reference_batch: Column) -> Column:
@@ -37,42 +57,73 @@ def batch_scaled(lr: Column, batch: Column, reference_batch: Column) -> Column:
     return lr * F.sqrt(batch / reference_batch)
 
 
+#: What a configuration may leave out, with the value that stands for it: of types and depths, and of what switches something off.
+OPTIONAL = {"attn_type": "'gqa'", "q_lora_rank": "0", "kv_lora_rank": "0", "qk_rope_head_dim": "0", "qk_nope_head_dim": "0", "v_head_dim": "0", "mtp_depth": "0"}
+
+
+def derived(configs: DataFrame) -> DataFrame:
+    """configs with what they leave out: head and feed-forward widths, the ranks and head sizes of latent attention, active experts and their width."""
+    have = set(configs.columns)
+    full = configs.select("*", *[F.expr(v).cast("string" if c == "attn_type" else "int").alias(c) for c, v in OPTIONAL.items() if c not in have])
+    multiple = "coalesce(ffn_multiple_of, 128)" if "ffn_multiple_of" in have else "128"
+    steps = [
+        ("d_head", "coalesce(d_head, d_model div n_head)"),
+        ("ffn_hidden", f"coalesce(ffn_hidden, {multiple} * ceil(floor(8 * d_model / 3) / {multiple}))"),
+        *[(c, f"if(attn_type = 'mla', if(coalesce({c}, 0) > 0, {c}, {v}), coalesce({c}, 0))") for c, v in [
+            ("kv_lora_rank", "greatest(64, d_model div 4)"), ("qk_rope_head_dim", "greatest(16, d_head div 2)"), ("qk_nope_head_dim", "d_head"), ("v_head_dim", "d_head")]],
+        ("n_experts_active", "if(moe, if(coalesce(n_experts_active, 0) > 0, n_experts_active, greatest(1, n_experts div 8)), n_experts_active)"),
+        ("expert_hidden", f"if(moe, coalesce(expert_hidden, greatest({multiple}, {multiple} * bround(ffn_hidden / {multiple} / 2))), expert_hidden)"),
+    ]
+    for name, rule in steps:
+        full = full.withColumn(name, F.expr(f"int({rule})"))
+    return full
+
+
 def layers(configs: DataFrame) -> DataFrame:
     """A row per layer of each configuration: layer, and whether it has experts, no rotary embedding, and sees the whole context."""
     i = F.col("layer")
-    every = F.greatest(F.col("moe_layer_freq"), F.lit(1))
+    every = lambda c: (F.col(c) > 0) & ((i + 1) % F.greatest(F.col(c), F.lit(1)) == 0)
     return configs.where("n_layer > 0").withColumn("layer", F.explode(F.expr("sequence(0, n_layer - 1)"))).select(
-        *[F.col(c) for c in configs.columns], "layer",
-        (F.col("moe") & (i >= F.col("moe_first_dense")) & ((i - F.col("moe_first_dense")) % every == 0)).alias("is_expert"),
-        ((F.col("nope_every") > 0) & ((i + 1) % F.greatest("nope_every", F.lit(1)) == 0)).alias("is_nope"),
-        ((F.col("sliding_window") <= 0) | ((F.col("global_attn_every") > 0) & ((i + 1) % F.greatest("global_attn_every", F.lit(1)) == 0))).alias("is_global"),
+        *[F.col(c) for c in configs.columns], "layer", _has_experts(i).alias("is_expert"), every("nope_every").alias("is_nope"),
+        ((F.col("sliding_window") <= 0) | every("global_attn_every")).alias("is_global"),
     )
 
 
+def _has_experts(layer: Column) -> Column:
+    behind = layer - F.col("moe_first_dense")
+    return F.col("moe") & (behind >= 0) & (behind % F.greatest(F.col("moe_layer_freq"), F.lit(1)) == 0)
+
+
 def parameter_counts(configs: DataFrame) -> DataFrame:
-    """(name, attention, blocks, total, active, flops): parameters of grouped-query models, and training FLOPs per token.
+    """(name, attention, blocks, mtp, total, active, flops): parameters of grouped-query and latent-attention models, and training FLOPs per token.
 
-    FLOPs are six per weight a token meets, the output head and the routers included, and those of the attention scores.
+    A multi-token head is a block after the last layer with two more gains and a projection of both its inputs; it isn't active. FLOPs are six per
+    weight a token meets, the output head (again for each multi-token head) and the routers included, and those of the attention scores.
     """
-    d, hd = F.col("d_model"), F.col("d_head")
-    attention = (2 * d * F.col("n_head") * hd + 2 * d * F.col("n_kv_head") * hd).cast("bigint")
-    gains = F.when(F.col("qk_norm"), 2 * hd).otherwise(0)
-    expert = 3 * d * F.col("expert_hidden")
-    dense = 3 * d * F.col("ffn_hidden")
-    total = F.when(F.col("is_expert"), expert * (F.col("n_experts") + F.col("n_shared")) + d * F.col("n_experts")).otherwise(dense)
-    active = F.when(F.col("is_expert"), expert * (F.col("n_experts_active") + F.col("n_shared"))).otherwise(dense)
-    rows = layers(configs).select("name", "layer", attention.alias("attention"), gains.alias("gains"), total.alias("t"), active.alias("a"), d.alias("d"), "is_expert", "n_experts",
-                                  (F.col("vocab_size") * d).cast("bigint").alias("emb"), "tied", (12 * F.col("n_head") * hd * F.col("max_seq_len")).cast("bigint").alias("scores"))
-    by = rows.groupBy("name").agg(
-        F.max("attention").alias("w"), F.max("gains").alias("g"), F.count("*").alias("n"), F.sum(F.col("t")).alias("t"), F.sum("a").alias("a"), F.max("d").alias("d"), F.max("emb").alias("emb"),
-        F.bool_and("tied").alias("tied"), F.max("scores").alias("scores"), F.sum(F.when(F.col("is_expert"), F.col("n_experts") * F.col("d")).otherwise(0)).alias("routers"),
-    )
-    block = F.col("n") * (F.col("w") + F.col("g") + 2 * F.col("d"))
-    head = F.when(F.col("tied"), 0).otherwise(F.col("emb"))
-    met = F.col("n") * F.col("w") + F.col("a") + F.col("routers") + F.col("emb")
-    return by.select("name", (F.col("w") + F.col("g")).cast("bigint").alias("attention"), (block + F.col("t")).cast("bigint").alias("blocks"),
-                     (F.col("emb") + block + F.col("t") + F.col("d") + head).cast("bigint").alias("total"), (F.col("emb") + block + F.col("a") + F.col("d") + head).cast("bigint").alias("active"),
-                     (6 * met + F.col("n") * F.col("scores")).cast("bigint").alias("flops"))
+    c = derived(configs).withColumn("layer", F.explode(F.expr("sequence(0, n_layer + mtp_depth - 1)"))).withColumn("head", F.expr("layer >= n_layer"))
+    c = c.withColumn("ex", _has_experts(F.col("layer")))
+    for name, rule in [
+        ("query", "if(q_lora_rank > 0, q_lora_rank * (d + heads * qk), d * heads * qk)"),
+        ("gains", "if(attn_type = 'mla', kv_lora_rank + q_lora_rank, if(qk_norm, 2 * d_head, 0))"),
+        ("weights", "if(attn_type = 'mla', query + d * (kv_lora_rank + qk_rope_head_dim) + kv_lora_rank * heads * (qk_nope_head_dim + v_head_dim) + heads * v_head_dim * d, 2 * d * d_head * (heads + n_kv_head))"),
+        ("expert", "3 * d * expert_hidden"), ("router", "if(ex, d * n_experts, 0)"),
+        ("held", "if(ex, expert * (n_experts + n_shared), 3 * d * ffn_hidden) + router"),
+        ("used", "if(ex, expert * (n_experts_active + n_shared), 3 * d * ffn_hidden)"),
+        ("emb", "vocab_size * d"), ("scores", "12 * heads * d_head * max_seq_len"),
+    ]:
+        if name == "query":
+            c = c.select("*", F.col("d_model").cast("bigint").alias("d"), F.col("n_head").cast("bigint").alias("heads"), F.expr("qk_nope_head_dim + qk_rope_head_dim").alias("qk"))
+        c = c.withColumn(name, F.expr(f"bigint({rule})"))
+    block = "weights + gains + 2 * d"
+    by = c.groupBy("name").agg(
+        F.expr("max(weights + gains)").alias("attention"),
+        F.expr(f"sum(if(head, 0, {block} + held))").alias("blocks"),
+        F.expr(f"sum(if(head, {block} + held + 2 * d + 2 * d * d, 0))").alias("mtp"),
+        F.expr(f"sum(if(head, 0, {block} + used))").alias("touched"),
+        F.expr("max(emb * if(tied, 1, 2) + d)").alias("outside"),
+        F.expr("sum(6 * (weights + used + router + if(head, 2 * d * d + emb, 0)) + scores) + max(6 * emb)").alias("flops"),
+    )
+    return by.select("name", "attention", "blocks", "mtp", F.expr("blocks + mtp + outside").alias("total"), F.expr("touched + outside").alias("active"), "flops")
 
 
 def fitted_steps(spark, next_step: int, elapsed: float, budget: float, margin: float, per_step: float, decay_share: float = 0.2, decay_steps: int = 0) -> DataFrame:
@@ -87,50 +138,3 @@ def fitted_steps(spark, next_step: int, elapsed: float, budget: float, margin: f
 def accumulation(global_tokens: Column, per_micro: Column) -> Column:
     """Micro-steps per step: rounded half to even, at least one."""
     return F.greatest(F.lit(1), F.bround(global_tokens / per_micro).cast("bigint"))
-
-
-def deep_merge(base: dict, over: dict) -> dict:
-    """Nested maps merged; over wins, also where only one side is a map."""
-    merged = base.copy()
-    for key, value in over.items():
-        both = isinstance(value, dict) and isinstance(merged.get(key), dict)
-        merged[key] = deep_merge(merged[key], value) if both else value
-    return merged
-
-
-def literal(text: str) -> Any:
-    """A Python literal, or the text itself."""
-    try:
-        return ast.literal_eval(text)
-    except (ValueError, SyntaxError):
-        return text
-
-
-def overrides(pairs: Iterable[str]) -> dict:
-    """Nested maps of a.b=value settings, with or without -- in front."""
-    tree: dict = {}
-    for pair in pairs:
-        path, sign, value = pair.removeprefix("--").partition("=")
-        if not sign:
-            raise ValueError(f"an override must be key=value: {pair!r}")
-        *outer, leaf = path.split(".")
-        here = tree
-        for part in outer:
-            here = here.setdefault(part, {})
-        here[leaf] = literal(value)
-    return tree
-
-
-def load_layers(path: str, _open: tuple[str, ...] = ()) -> dict:
-    """A YAML file on top of those it names in _base_, relative to itself; a file that includes itself is an error."""
-    import yaml
-
-    p = Path(path).resolve()
-    if str(p) in _open:
-        raise ValueError(f"{p} includes itself")
-    own = yaml.safe_load(p.read_text()) or {}
-    bases = own.pop("_base_", [])
-    tree: dict = {}
-    for b in [bases] if isinstance(bases, str) else bases:
-        tree = deep_merge(tree, load_layers(str(p.parent / b), (*_open, str(p))))
-    return deep_merge(tree, own)

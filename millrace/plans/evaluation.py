@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import bpe
 from millrace.operators import corpus
 from millrace.operators import evaluation as ev
+from millrace.operators import tasks
 from millrace.plans.registry import query
 from millrace.runtime import table
 
@@ -20,14 +22,16 @@ def _rstrip(c: str) -> str:
     return f"regexp_replace({c}, '{_WS}+$', '')"
 
 
-ITEMS = "it AS (SELECT DISTINCT item_id, context, choices, gold, task FROM eval_items WHERE context IS NOT NULL AND len(choices) > 0)"
+ITEMS = "it AS (SELECT DISTINCT item_id, coalesce(context, '') AS context, choices, gold, task FROM eval_items WHERE len(choices) > 0)"
 
 
 def items(spark, d):
-    return table(spark, d, "eval_items").where("context is not null and size(choices) > 0").select("item_id", "context", "choices", "gold", "task").distinct()
+    """Items with choices; a null context is empty."""
+    rows = table(spark, d, "eval_items").where("size(choices) > 0")
+    return rows.select("item_id", F.coalesce("context", F.lit("")).alias("context"), "choices", "gold", "task").distinct()
 
 
-@query("eval_2", f"WITH {ITEMS} SELECT item_id, task, task || ': ' || context || ' ' || upper(substr(choices[-1], 1, 1)) || lower(substr(choices[-1], 2)) AS context, array_to_string(list_transform(choices, lambda c: ' ' || {_strip('c')}), '|') AS choices FROM it")
+@query("eval_2", f"WITH {ITEMS} SELECT item_id, task, coalesce(task, '') || ': ' || context || ' ' || upper(substr(choices[-1], 1, 1)) || lower(substr(choices[-1], 2)) AS context, array_to_string(list_transform(choices, lambda c: ' ' || {_strip('c')}), '|') AS choices FROM it")
 def eval_2(spark, d):
     last = F.element_at("choices", -1)
     ctx = ev.completion(F.col("task"), F.col("context"), last, F.col("context"))
@@ -41,24 +45,24 @@ def eval_3(spark, d):
     return corpus.usable(table(spark, d, "documents")).select("doc_id", F.md5(context).alias("context"), choice.alias("choice"))
 
 
-@query("eval_4", f"WITH {ITEMS} SELECT item_id, task, gold, CASE WHEN gold < len(choices) THEN gold ELSE 0 END::INT AS found FROM it WHERE gold IS NOT NULL")
+@query("eval_4", f"WITH {ITEMS} SELECT item_id, task, gold, CASE WHEN gold < len(choices) THEN gold ELSE 0 END::INT AS found FROM it")
 def eval_4(spark, d):
     labels = F.transform(F.sequence(F.lit(1), F.size("choices")), lambda i: F.substr(F.lit("ABCDEFGHIJ"), i, F.lit(1)))
     key = F.substr(F.lit("ABCDEFGHIJ"), F.col("gold") + 1, F.lit(1))
-    return items(spark, d).where("gold is not null").select("item_id", "task", "gold", ev.gold_of(labels, key).alias("found"))
+    return items(spark, d).select("item_id", "task", "gold", ev.gold_of(labels, key).alias("found"))
 
 
-@query("eval_7", f"WITH {ITEMS} SELECT item_id, task, {_rstrip('context')} AS context, ' ' || choices[1] || ' end_| ' || choices[-1] || ' end_' AS choices FROM it WHERE NOT contains(context, '_')")
+@query("eval_7", f"""WITH {ITEMS}, s AS (SELECT item_id, task, choices, context || ' _ end_' AS s FROM it), p AS (SELECT *, position('_' IN s) AS p FROM s)
+SELECT item_id, task, {_rstrip('left(s, p - 1)')} AS context, ' ' || choices[1] || substr(s, p + 1) || '| ' || choices[-1] || substr(s, p + 1) AS choices FROM p""")
 def eval_7(spark, d):
-    rows = items(spark, d).where("not contains(context, '_')")
-    context, choices = ev.fill_blank(F.concat("context", F.lit(" _ end_")), [F.element_at("choices", 1), F.element_at("choices", -1)])
-    return rows.select("item_id", "task", context.alias("context"), F.array_join(choices, "|").alias("choices"))
+    raw = items(spark, d).select("item_id", "task", F.concat("context", F.lit(" _ end_")).alias("sentence"), F.element_at("choices", 1).alias("option1"), F.element_at("choices", -1).alias("option2"), F.lit("1").alias("answer"))
+    return tasks.load("winogrande", raw).select("item_id", "task", "context", F.array_join("choices", "|").alias("choices"))
 
 
-@query("eval_6", f"WITH {ITEMS} SELECT item_id, task, context, ' ' || choices[1] || '| ' || choices[2] AS choices FROM it WHERE len(choices) >= 2")
+@query("eval_6", f"WITH {ITEMS} SELECT item_id, task, context, ' ' || choices[1] || '| ' || choices[-1] AS choices, coalesce(gold, 0)::INT AS gold FROM it")
 def eval_6(spark, d):
-    pair = F.transform(F.slice("choices", 1, 2), lambda c: F.concat(F.lit(" "), c))
-    return items(spark, d).where("size(choices) >= 2").select("item_id", "task", "context", F.array_join(pair, "|").alias("choices"))
+    raw = items(spark, d).select("item_id", "task", F.col("context").alias("goal"), F.element_at("choices", 1).alias("sol1"), F.element_at("choices", -1).alias("sol2"), F.coalesce("gold", F.lit(0)).cast("string").alias("label"))
+    return tasks.load("piqa", raw).select("item_id", "task", "context", F.array_join("choices", "|").alias("choices"), "gold")
 
 
 _REQ = "rq AS (SELECT item_id, context, unnest(choices) AS continuation, unnest(range(len(choices)))::INT AS choice_index FROM (SELECT DISTINCT item_id, coalesce(context, '') AS context, choices FROM eval_items))"
@@ -135,14 +139,45 @@ def eval_16(spark, d):
     return ev.report(accuracy(spark, d), "acc_norm")
 
 
-@query("eval_17", f"WITH {_VALID} SELECT run, round(avg(-logprob / greatest(n_tokens, 1)), 6) AS val_loss FROM v GROUP BY run")
+@query("eval_17", f"WITH {_VALID}, r AS (SELECT run, item_id % 4 AS rank, avg(-logprob / greatest(n_tokens, 1)) AS l FROM v GROUP BY run, item_id % 4) SELECT run, round(avg(l), 6) AS loss, round(exp(least(avg(l), 20)), 4) AS ppl, round(avg(l) / ln(2), 6) AS bpb FROM r GROUP BY run")
 def eval_17(spark, d):
-    return scores(spark, d).groupBy("run").agg(F.round(F.avg(-ev.per_unit(F.col("logprob"), F.col("n_tokens"))), 6).alias("val_loss"))
+    """Validation in training: batches of equal weight on each of four ranks."""
+    rows = scores(spark, d).select("run", (F.col("item_id") % 4).alias("rank"), (-ev.per_unit(F.col("logprob"), F.col("n_tokens"))).alias("ce"))
+    return ev.validation(rows)
 
 
-@query("eval_8", "SELECT * FROM (VALUES ('The sky is', ' blue', 0::INT, 3::INT), ('Two plus two equals', ' four', 0, 3)) AS v(context, best, gold, n)")
+@query("eval_10_ids", f"""WITH {_REQ}, bt AS (SELECT item_id, choice_index, CASE WHEN context = '' THEN [256] ELSE list_transform(regexp_extract_all(hex(encode(context)), '..'), lambda h: ('0x' || h)::INT) END AS a,
+CASE WHEN continuation = '' THEN [256] ELSE list_transform(regexp_extract_all(hex(encode(continuation)), '..'), lambda h: ('0x' || h)::INT) END AS b FROM rq), k AS (SELECT item_id, choice_index, len(b) AS nb, list_concat(a, b)[-64:] AS ids FROM bt)
+SELECT item_id, choice_index, len(ids)::INT AS n_ids, least(nb, len(ids) - 1)::INT AS n_cont, list_sum(ids)::BIGINT AS id_sum, ids[1] AS first FROM k""")
+def eval_10_ids(spark, d):
+    """Requests as ids, the last 64 kept."""
+    got = ev.encoded_requests(ev.requests(table(spark, d, "eval_items")), bpe.Vocabulary([], ["<|endoftext|>"]), 64)
+    return got.select("item_id", "choice_index", F.size("ids").alias("n_ids"), "n_cont", F.expr("aggregate(ids, 0L, (x, y) -> x + y)").alias("id_sum"), F.element_at("ids", 1).alias("first"))
+
+
+@query("eval_8", "SELECT * FROM (VALUES " + ", ".join("({}::INT, '{}', '{}', {}::INT)".format(k, c, ch[g], g) for k, (c, ch, g) in enumerate(tasks.PLAIN)) + ") AS v(n, context, best, gold)")
 def eval_8(spark, d):
-    """A task of two items that any working scorer gets right."""
-    rows = [("The sky is", [" blue", " loud", " Thursday"], 0), ("Two plus two equals", [" four", " purple", " Tuesday"], 0)]
-    t = spark.createDataFrame(rows, "context string, choices array<string>, gold int")
-    return t.select("context", F.expr("choices[gold]").alias("best"), "gold", F.size("choices").alias("n"))
+    """The task of three items that any working scorer gets right."""
+    return tasks.load("sanity", limit=3, order_by=["n"]).select("n", "context", F.expr("choices[gold]").alias("best"), "gold")
+
+
+@query("eval_1", "SELECT * FROM (VALUES ('arc_challenge'), ('arc_easy'), ('hellaswag'), ('lambada'), ('openbookqa'), ('piqa'), ('sanity'), ('winogrande')) AS v(task)")
+def eval_1(spark, d):
+    """The tasks there are."""
+    return spark.createDataFrame([(n,) for n in tasks.TASKS], "task string")
+
+
+_TASKS = [("arc_easy", "question"), ("arc_challenge", "question"), ("openbookqa", "question_stem")]
+
+
+@query("eval_5", f"WITH {ITEMS} SELECT name, item_id, task, context, array_to_string(list_transform(choices, lambda c: ' ' || {_strip('c')}), '|') AS choices, CASE WHEN gold < len(choices) THEN gold ELSE 0 END::INT AS gold FROM it, (VALUES ('arc_easy'), ('arc_challenge'), ('openbookqa')) AS v(name)")
+def eval_5(spark, d):
+    """The tasks of lettered choices, built from rows of their shape."""
+    letters = F.transform(F.sequence(F.lit(1), F.size("choices")), lambda i: F.substr(F.lit("ABCDEFGHIJ"), i, F.lit(1)))
+    key = F.substr(F.lit("ABCDEFGHIJ"), F.col("gold") + 1, F.lit(1))
+    out = None
+    for name, question in _TASKS:
+        raw = items(spark, d).select("item_id", "task", F.col("context").alias(question), F.struct(letters.alias("label"), F.col("choices").alias("text")).alias("choices"), key.alias("answerKey"))
+        part = tasks.load(name, raw).select(F.lit(name).alias("name"), "item_id", "task", "context", F.array_join("choices", "|").alias("choices"), "gold")
+        out = part if out is None else out.unionByName(part)
+    return out

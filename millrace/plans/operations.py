@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import checkpoints as ck
-from millrace.operators import planning, telemetry
+from millrace.operators import planning, settings, telemetry
 from millrace.plans.registry import query
 from millrace.runtime import table
 
@@ -194,14 +194,17 @@ def sch_2(spark, d):
 
 
 _CFG = [("small", 12, 768, 64, 12, 4, 2048, False, 0, 0, 0, 0, 0, 1, 4, 0, 0, 32768, True, True, 2048), ("large", 24, 1024, 64, 16, 4, 2816, False, 0, 0, 0, 0, 0, 1, 4, 1024, 6, 32768, True, True, 2048),
-        ("experts", 8, 512, 64, 8, 8, 1408, True, 32, 4, 1, 256, 2, 2, 0, 512, 0, 49152, False, False, 4096)]
-_CFG_COLS = "name n_layer d_model d_head n_head n_kv_head ffn_hidden moe n_experts n_experts_active n_shared expert_hidden moe_first_dense moe_layer_freq nope_every sliding_window global_attn_every vocab_size tied qk_norm max_seq_len".split()
+        ("experts", 8, 512, 64, 8, 8, 1408, True, 32, 4, 1, 256, 2, 2, 0, 512, 0, 49152, False, False, 4096),
+        ("latent", 6, 640, 80, 8, 8, 1728, False, 0, 0, 0, 0, 0, 1, 0, 0, 0, 32000, True, True, 1024, "mla", 96, 128, 32, 80, 64, 0), ("latent_full_query", 6, 640, 80, 8, 8, 1728, False, 0, 0, 0, 0, 0, 1, 0, 0, 0, 32000, False, True, 1024, "mla", 0, 128, 32, 80, 64, 2),
+        ("expert_heads", 7, 512, 64, 8, 4, 1408, True, 16, 2, 1, 256, 1, 3, 0, 0, 0, 32768, True, True, 2048, "gqa", 0, 0, 0, 0, 0, 3)]
+_CFG = [(*r, "gqa", 0, 0, 0, 0, 0, 0) if len(r) == 21 else r for r in _CFG]
+_CFG_COLS = "name n_layer d_model d_head n_head n_kv_head ffn_hidden moe n_experts n_experts_active n_shared expert_hidden moe_first_dense moe_layer_freq nope_every sliding_window global_attn_every vocab_size tied qk_norm max_seq_len attn_type q_lora_rank kv_lora_rank qk_rope_head_dim qk_nope_head_dim v_head_dim mtp_depth".split()
 _CFGV = "cf AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(repr(x).lower() if isinstance(x, bool) else repr(x) for x in r) + ")" for r in _CFG) + f") AS v({', '.join(_CFG_COLS)}))"
 _LAY = f"{_CFGV}, ly AS (SELECT *, moe AND layer >= moe_first_dense AND (layer - moe_first_dense) % greatest(moe_layer_freq, 1) = 0 AS ex FROM (SELECT *, unnest(range(n_layer))::INT AS layer FROM cf))"
 
 
 def configs(spark):
-    kinds = {"name": "string", "moe": "boolean", "tied": "boolean", "qk_norm": "boolean"}
+    kinds = {"name": "string", "attn_type": "string", "moe": "boolean", "tied": "boolean", "qk_norm": "boolean"}
     return spark.createDataFrame(_CFG, ", ".join(f"{c} {kinds.get(c, 'int')}" for c in _CFG_COLS))
 
 
@@ -210,18 +213,24 @@ def cfg_6(spark, d):
     return planning.layers(configs(spark)).select("name", "layer", "is_expert", "is_nope", "is_global")
 
 
-@query("cfg_4", f"""WITH {_LAY}, b AS (SELECT name, any_value(d_model) AS d, any_value(2 * d_model * n_head * d_head + 2 * d_model * n_kv_head * d_head) AS w, any_value(CASE WHEN qk_norm THEN 2 * d_head ELSE 0 END) AS g, count(*) AS n,
-sum(CASE WHEN ex THEN 3 * d_model * expert_hidden * (n_experts + n_shared) + d_model * n_experts ELSE 3 * d_model * ffn_hidden END) AS t, sum(CASE WHEN ex THEN 3 * d_model * expert_hidden * (n_experts_active + n_shared) ELSE 3 * d_model * ffn_hidden END) AS a,
-sum(CASE WHEN ex THEN n_experts * d_model ELSE 0 END) AS ro, any_value(vocab_size * d_model) AS e, any_value(tied) AS tied, any_value(12 * n_head * d_head * max_seq_len) AS sc FROM ly GROUP BY name)
-SELECT name, (w + g)::BIGINT AS attention, (n * (w + g + 2 * d) + t)::BIGINT AS blocks, (e + n * (w + g + 2 * d) + t + d + CASE WHEN tied THEN 0 ELSE e END)::BIGINT AS total,
-(e + n * (w + g + 2 * d) + a + d + CASE WHEN tied THEN 0 ELSE e END)::BIGINT AS active, (6 * (n * w + a + ro + e) + n * sc)::BIGINT AS flops FROM b""")
+_MLA_Q = "CASE WHEN q_lora_rank > 0 THEN d_model * q_lora_rank + q_lora_rank * n_head * (qk_nope_head_dim + qk_rope_head_dim) ELSE d_model * n_head * (qk_nope_head_dim + qk_rope_head_dim) END"
+_PARTS = f"""{_CFGV}, l0 AS (SELECT *, unnest(range(n_layer + mtp_depth))::INT AS layer FROM cf),
+pt AS (SELECT name, tied, layer >= n_layer AS hd, d_model::BIGINT AS d, (vocab_size * d_model)::BIGINT AS e, moe AND layer >= moe_first_dense AND (layer - moe_first_dense) % greatest(moe_layer_freq, 1) = 0 AS ex, n_experts, n_experts_active, n_shared, expert_hidden, ffn_hidden,
+CASE WHEN attn_type = 'mla' THEN {_MLA_Q} + d_model * (kv_lora_rank + qk_rope_head_dim) + kv_lora_rank * n_head * (qk_nope_head_dim + v_head_dim) + n_head * v_head_dim * d_model ELSE 2 * d_model * n_head * d_head + 2 * d_model * n_kv_head * d_head END AS w,
+CASE WHEN attn_type = 'mla' THEN kv_lora_rank + q_lora_rank WHEN qk_norm THEN 2 * d_head ELSE 0 END AS g, 12 * n_head * d_head * max_seq_len AS sc FROM l0),
+ff AS (SELECT *, CASE WHEN ex THEN 3 * d * expert_hidden * (n_experts + n_shared) + d * n_experts ELSE 3 * d * ffn_hidden END AS t, CASE WHEN ex THEN 3 * d * expert_hidden * (n_experts_active + n_shared) ELSE 3 * d * ffn_hidden END AS a, CASE WHEN ex THEN d * n_experts ELSE 0 END AS ro FROM pt)"""
+
+
+@query("cfg_4", f"""WITH {_PARTS}, b AS (SELECT name, any_value(w + g) AS att, sum(w + g + 2 * d + t) FILTER (NOT hd) AS bl, coalesce(sum(w + g + 4 * d + 2 * d * d + t) FILTER (hd), 0) AS mt, sum(w + g + 2 * d + a) FILTER (NOT hd) AS ac,
+any_value(e) AS e, any_value(tied) AS tied, any_value(d) AS d, sum(w + a + ro) AS met, coalesce(sum(2 * d * d + e) FILTER (hd), 0) AS more, sum(sc) AS sc FROM ff GROUP BY name)
+SELECT name, att::BIGINT AS attention, bl::BIGINT AS blocks, mt::BIGINT AS mtp, (e + bl + mt + d + CASE WHEN tied THEN 0 ELSE e END)::BIGINT AS total, (e + ac + d + CASE WHEN tied THEN 0 ELSE e END)::BIGINT AS active, (6 * (met + more + e) + sc)::BIGINT AS flops FROM b""")
 def cfg_4(spark, d):
     return planning.parameter_counts(configs(spark))
 
 
 @query("cfg_7", "SELECT o_orderkey, greatest(1, (o_orderkey * 1000000) // 524288)::BIGINT AS max_steps FROM orders")
 def cfg_7(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.expr("greatest(1L, (o_orderkey * 1000000) div 524288)").alias("max_steps"))
+    return table(spark, d, "orders").select("o_orderkey", planning.budget_steps(F.col("o_orderkey") * 1000000, 524288).alias("max_steps"))
 
 
 @query("plan_1", "SELECT 30::BIGINT AS max_steps UNION ALL SELECT 110::BIGINT UNION ALL SELECT min(n)::BIGINT FROM range(50, 500) AS t(n) WHERE n - greatest(1, floor(n * 0.2)) >= 50")
@@ -261,10 +270,53 @@ def ckpt_9(spark, d):
 def sch_3(spark, d):
     """The rate of a second group, in the ratio of the first."""
     main = planning.learning_rate(F.col("id"), 6e-4, 1000, 100)
-    return spark.range(700).select(F.col("id").alias("step"), F.round(main * (0.02 / 6e-4), 6).alias("lr"))
+    return spark.range(700).select(F.col("id").alias("step"), F.round(planning.group_rate(main, 6e-4, 0.02), 6).alias("lr"))
 
 
 @query("plan_4", "SELECT s AS step, s + greatest(1, floor(0.2 * 1000))::BIGINT AS max_steps FROM range(500) AS t(s)")
 def plan_4(spark, d):
     """An early finish at each step: the decay begins there."""
-    return spark.range(500).select(F.col("id").alias("step"), (F.col("id") + max(1, int(0.2 * 1000))).alias("max_steps"))
+    return spark.range(500).select(F.col("id").alias("step"), planning.early_finish(F.col("id"), 1000).alias("max_steps"))
+
+
+# Settings are made of orders: a priority's number and an order's status make the path, the order is the layer. Every 400th order sets the whole priority.
+_SET = "st AS (SELECT o_orderkey AS layer, 'p' || left(o_orderpriority, 1) || CASE WHEN o_orderkey % 400 = 0 THEN '' ELSE '.' || o_orderstatus || '.' || (o_custkey % 40) END AS path, o_totalprice AS value FROM orders)"
+
+
+@query("cfg_1", f"""WITH {_SET}, b AS (SELECT path, max(layer) AS layer, arg_max(value, layer) AS value FROM st GROUP BY path)
+SELECT path, value FROM b WHERE NOT EXISTS (SELECT 1 FROM b AS o WHERE o.path <> b.path AND (starts_with(b.path, o.path || '.') AND o.layer > b.layer OR starts_with(o.path, b.path || '.') AND o.layer >= b.layer))""")
+def cfg_1(spark, d):
+    """Layered settings, of which the latest hold."""
+    o = table(spark, d, "orders")
+    inner = F.concat(F.lit("."), "o_orderstatus", F.lit("."), (F.col("o_custkey") % 40).cast("string"))
+    path = F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1), F.when(F.col("o_orderkey") % 400 == 0, "").otherwise(inner))
+    return settings.resolved(o.select(F.col("o_orderkey").alias("layer"), path.alias("path"), F.col("o_totalprice").alias("value")))
+
+
+@query("cfg_2", "SELECT s_suppkey, 'optim.g' || s_suppkey || '.lr' AS path, s_nationkey || '=' || s_name AS value FROM supplier")
+def cfg_2(spark, d):
+    """Settings as they stand on a command line, read into path and value."""
+    text = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "--").otherwise(""), F.lit("optim.g"), "s_suppkey", F.lit(".lr="), "s_nationkey", F.lit("="), "s_name")
+    path, value = settings.override_parts(text)
+    return table(spark, d, "supplier").select("s_suppkey", path.alias("path"), value.alias("value"))
+
+
+_KIND = [("k0", "bool"), ("k1", "int"), ("k2", "float"), ("k3", "str")]
+_RAW = [" Yes", "on", "12", "7.5", "no such", "-3", "true ", "0"]
+
+
+@query("cfg_3", "WITH s AS (SELECT c_custkey, c_custkey % 6 AS k, [" + ", ".join(f"'{x}'" for x in _RAW) + """][1 + c_custkey // 6 % 8] AS v FROM customer)
+SELECT c_custkey, ['bool', 'int', 'float', 'str'][1 + k] AS kind, CASE k WHEN 0 THEN (lower(trim(v)) IN ('1', 'true', 'yes', 'on'))::VARCHAR WHEN 1 THEN coalesce(CASE WHEN regexp_full_match(trim(v), '[+-]?[0-9]+') THEN try_cast(trim(v) AS BIGINT)::VARCHAR END, v)
+WHEN 2 THEN coalesce(try_cast(trim(v) AS DOUBLE)::VARCHAR, v) ELSE v END AS value FROM s WHERE k < 4""")
+def cfg_3(spark, d):
+    """Settings as texts brought to the kinds that a schema has; those that it doesn't have are ignored."""
+    known = spark.createDataFrame(_KIND, "path string, kind string")
+    value = F.element_at(F.array(*map(F.lit, _RAW)), (F.expr("c_custkey div 6 % 8") + 1).cast("int"))
+    rows = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("k"), F.col("c_custkey") % 6).alias("path"), value.alias("value"))
+    return rows.join(known, "path").select("c_custkey", "kind", settings.coerced(F.col("value"), F.col("kind")).alias("value"))
+
+
+@query("abl_3", "SELECT * FROM (VALUES " + ", ".join("('{}', {}, {})".format(run, *[f"'{x}'" for x in t.split("=", 1)] if t else ("NULL", "NULL")) for run, ts in settings.ABLATIONS for t in ts or [""]) + ") AS v(run, path, value)")
+def abl_3(spark, d):
+    """The runs of the study with their settings."""
+    return settings.ablations(spark)

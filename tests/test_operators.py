@@ -269,3 +269,37 @@ def test_streams_go_on_where_they_stopped(spark, tmp_path):
     assert inc.prepare_incrementally(inc.table_stream(spark, str(folder), "documents"), state).count() == 4
     docs(5, 9).write.mode("append").parquet(str(folder / "documents.parquet"))
     assert sorted(r.n_tokens for r in inc.prepare_incrementally(inc.table_stream(spark, str(folder), "documents"), state).collect()) == list(range(2, 10))
+
+
+def test_tasks_by_name(spark):
+    from millrace.operators import tasks
+
+    raw = spark.createDataFrame([("q", ["A", "B"], [" x ", "y"], "B", 1), ("r", ["1", "2"], ["x", "y"], "C", 2)], "question string, label array<string>, text array<string>, answerKey string, item int")
+    raw = raw.select("question", F.struct("label", "text").alias("choices"), "answerKey", "item")
+    got = {r.item: (r.choices, r.gold) for r in tasks.load("arc_easy", raw).collect()}
+    assert got == {1: ([" x", " y"], 1), 2: ([" x", " y"], 0)}
+    assert tasks.load("arc_easy", raw, 1, ["item"]).count() == 1 and tasks.load("sanity").count() == 3
+    with pytest.raises(KeyError):
+        tasks.load("nope", raw)
+    lines = spark.createDataFrame([("the  last word \n",), ("one",)], "text string")
+    assert [(r.context, r.choices) for r in tasks.load("lambada", lines).collect()] == [("the  last", [" word"]), ("", [" one"])]
+
+
+def test_settings_as_rows(spark):
+    from millrace.operators import settings
+
+    rows = spark.createDataFrame([(1, "a.b", "1"), (1, "a.c", "2"), (2, "a.b", "3"), (3, "d", "x"), (4, "d.e", "y"), (1, "f.g", "z"), (5, "f", "w"), (None, "h", "v"), (1, None, "v")], "layer int, path string, value string")
+    assert dict(map(tuple, settings.resolved(rows).collect())) == {"a.b": "3", "a.c": "2", "d.e": "y", "f": "w"}
+    assert settings.deep_merge({"a": {"b": 1}, "c": 2}, {"a": 5, "c": {"d": 1}, "e": {}}) == {"a": 5, "c": {"d": 1}, "e": {}}
+    assert settings.deep_merge({"a": {"b": 1}}, {"a": {}}) == {"a": {"b": 1}}
+    assert settings.nested(settings.stacked(settings.leaves(settings.overrides(t)) for _, t in settings.ABLATIONS))["model"]["n_experts"] == 16
+
+
+def test_counts_of_a_published_size(spark):
+    from millrace.operators import planning
+
+    cols = "name n_layer d_model d_head n_head n_kv_head ffn_hidden moe n_experts n_experts_active n_shared expert_hidden moe_first_dense moe_layer_freq nope_every sliding_window global_attn_every vocab_size tied qk_norm max_seq_len mtp_depth".split()
+    row = ("300m", 24, 1024, None, 16, 4, None, False, 0, 0, 0, None, 0, 1, 4, 0, 0, 32768, True, True, 2048, 1)
+    kinds = {"name": "string", "moe": "boolean", "tied": "boolean", "qk_norm": "boolean"}
+    r = planning.parameter_counts(spark.createDataFrame([row], ", ".join(f"{c} {kinds.get(c, 'int')}" for c in cols))).head()
+    assert (r.total, r.active) == (317_513_856, 304_140_288)
