@@ -23,8 +23,6 @@ from millrace.runtime import spread
 SAMPLE_DOCS, SAMPLE_SENTENCES = 2000, 3
 #: Buckets of the hashed bigrams, smoothing, and the nats by which a garbled reading must be likelier.
 BUCKETS, ALPHA, MARGIN = 1 << 13, 0.2, 6.0
-#: So many of the likeliest chains are tried on a sentence.
-TRIED = 12
 #: A sentence longer than this is classified in parts.
 LONGEST = 1000
 
@@ -50,16 +48,31 @@ _SIGNS = frozenset("©®™°±²³¶§†‡¼½¾×÷€£¥¢")
 #: Letters of two alphabets side by side: no restored text.
 _TWO_SCRIPTS = re.compile(r"[A-Za-zÀ-ɏ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ɏ]")
 _LOST_IN_WORD = re.compile("[^\\W_]�|�[^\\W_]")
+_LOST_WORD = re.compile("�{3,}")
+#: Signs that stand around words, and signs that proper text hasn't between two letters.
+_AROUND = frozenset("“”„‘’‚«»‹›–—…")
+_NOT_INSIDE = frozenset("·„“”«»‹›•¿¡‚")
 
 
 def _tells(garbled: str, restored: str) -> bool:
-    """Whether a character became a letter that proper text wouldn't have in its place; drawn lines tell nothing."""
+    """Whether a character became what proper text would have in its place, and was what it wouldn't: a letter for a sign or a letter of
+    another word, a sign around a word for a letter or a control character there. Drawn lines tell nothing."""
     if all("\u2500" <= x <= "\u259f" or x.isascii() for x in garbled):
         return False
-    return any(
-        x != y and y.isalpha() and x not in _TYPOGRAPHY and (x not in _SIGNS or garbled[i + 1 : i + 2].isalpha() or x in _NEVER_AFTER and garbled[i - 1 : i].isalpha())
-        for i, (x, y) in enumerate(zip(garbled, restored))
-    )
+    last = len(garbled) - 1
+    for i, (x, y) in enumerate(zip(garbled, restored)):
+        if x == y:
+            continue
+        before, after = garbled[i - 1 : i].isalpha(), garbled[i + 1 : i + 2].isalpha()
+        if y.isalpha():
+            if x in _TYPOGRAPHY:
+                if x in _NOT_INSIDE and before and after:
+                    return True
+            elif x not in _SIGNS or after or x in _NEVER_AFTER and before:
+                return True
+        elif y in _AROUND and ("\x80" <= x <= "\x9f" or (x.isalpha() or "\u2320" <= x <= "\u25a0") and (i == 0 or i == last or not before or not after)):
+            return True
+    return False
 
 
 def _table(codec: str) -> list[str]:
@@ -97,6 +110,10 @@ class Chain:
     def __init__(self, name: str, steps: list[tuple[str, str]], lost: bool = False):
         self.name, self.steps, self.lost = name, steps, lost
         self.strict = steps[0][0] == "utf_8"
+        if self.strict:
+            # The first byte of a letter as the last step shows it, and after it another byte or nothing more of the word.
+            shown = lambda codes: "[" + "".join(re.escape(_READ[steps[-1][1]][k]) for k in codes if not _READ[steps[-1][1]][k].isascii()) + "]"
+            self.traces = re.compile(shown(range(0xC2, 0xF0)) + shown(range(0x80, 0xC0)))
 
     def garble(self, text: str) -> str | None:
         """The text as it looks after the wrong decodings; None where they can't have happened."""
@@ -211,15 +228,20 @@ class Classifier:
         return out
 
     def judge(self, words: list[str], score: np.ndarray, strict_only: bool = False) -> tuple[str, dict[str, str]] | None:
-        """The chain's name and the restored chunks of a sentence; no chunks if it can't be restored; None if it is sound."""
-        likelier = [k for k in np.argsort(-score)[:TRIED] if k and score[k] >= score[0] + MARGIN]
+        """The chain's name and the restored chunks of a sentence; no chunks if it can't be restored; None if it is sound.
+
+        Chains are tried in order of likelihood; the first that restores everything is taken, else the one that restores most.
+        """
+        likelier = [k for k in np.argsort(-score, kind="stable").tolist() if k and score[k] >= score[0] + MARGIN]
         best, back = None, {}
-        for k in likelier:  # UTF-8 can't come about by chance: of the chains named, the one that restores the most
+        for k in likelier:  # UTF-8 can't come about by chance
             c = self.chains[k - 1]
             if c.strict:
                 new = {w: r for w in words if (r := c.restore(w)) is not None and r != w}
                 if len(new) > len(back):
                     best, back = c, new
+                    if len(new) == len(set(words)):
+                        break
         if best and 3 * len(back) >= len(set(words)):
             again = self.judge(list(back.values()), self.score([list(back.values())])[0], True)
             if again and again[1]:
@@ -230,10 +252,14 @@ class Classifier:
         for k in likelier:
             c = self.chains[k - 1]
             if c.lost:
-                if any(_LOST_IN_WORD.search(w) for w in words):
+                if any(_LOST_IN_WORD.search(w) for w in words) or sum(bool(_LOST_WORD.search(w)) for w in words) > 1:
                     return c.name, {}
                 continue
-            if c.strict or score[k] < score[0] + 2 * MARGIN:
+            if score[k] < score[0] + 2 * MARGIN:
+                continue
+            if c.strict:
+                if 2 * sum(bool(c.traces.search(w)) for w in words) >= len(words):  # bytes were lost on the way
+                    return c.name, back if c is best else {}
                 continue
             new = {w: c.restore(w) for w in words}
             if None in new.values():
@@ -245,6 +271,10 @@ class Classifier:
                 return c.name, {w: r for w, r in new.items() if r != w}
         return None
 
+    def equal(self, words: list[str], back: dict[str, str]) -> list[str]:
+        """The chains that restore a sentence's chunks to just that: where they agree on its characters they can't be told apart."""
+        return [c.name for c in self.chains if back and all((c.restore(w) or w) == back.get(w, w) for w in words)]
+
     def look(self, texts: list[str | None]) -> list[dict[str, tuple[str, dict[str, str]]]]:
         """For each text its garbled sentences, each with chain and restored chunks."""
         own, where = [], []
@@ -288,9 +318,9 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str) -> Classifier:
 
 
 def repair(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", found_only: bool = False) -> DataFrame:
-    """The documents with garbled characters: (<id>, chains, restored, lost, text), or the ids alone.
+    """The documents with garbled characters: (<id>, chains, alike, restored, lost, text), or the ids alone.
 
-    chains: the chains of wrong decodings named, sorted; restored and lost: how many sentences could and couldn't be restored; text: the whole
+    chains: the chains of wrong decodings named, sorted; alike: other chains that restore some sentence to the same; restored and lost: how many sentences could and couldn't be restored; text: the whole
     text with what could be restored. Null, empty and pure ASCII texts are sound; so are characters between marks of
     quotation without letters around them and a lone replacement character, which are only shown. Repeated rows are judged each;
     found_only gives an id once. Rows of null id are judged like others.
@@ -312,17 +342,18 @@ def repair(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", foun
                 continue
             rows = []
             for k in at:
-                t = texts[k]
-                for p, (_, back) in seen[k].items():
+                t, alike = texts[k], set()
+                for p, (name, back) in seen[k].items():
+                    alike |= {*model.value.equal(chunks(p), back)} - {name}
                     new = "".join(back.get(w, w) for w in re.split(r"([ \t\n\r\f\v]+)", p))
                     t = t.replace(p, new) if new != p else t
                 ok = sum(bool(back) for _, back in seen[k].values())
-                rows.append((sorted({c for c, _ in seen[k].values()}), ok, len(seen[k]) - ok, t))
-            cols = list(zip(*rows)) or [(), (), (), ()]
-            types = [pa.list_(pa.string()), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(cols, types)]], names=["id", "chains", "restored", "lost", "text"])
+                rows.append((sorted({c for c, _ in seen[k].values()}), sorted(alike), ok, len(seen[k]) - ok, t))
+            cols = list(zip(*rows)) or [(), (), (), (), ()]
+            types = [pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(cols, types)]], names=["id", "chains", "alike", "restored", "lost", "text"])
 
     if found_only:
         return src.mapInArrow(run, f"id {kind}").distinct().withColumnRenamed("id", doc_id)
-    out = src.mapInArrow(run, f"id {kind}, chains array<string>, restored int, lost int, text string")
-    return out.select(F.col("id").alias(doc_id), "chains", "restored", "lost", F.col("text").alias(text_col))
+    out = src.mapInArrow(run, f"id {kind}, chains array<string>, alike array<string>, restored int, lost int, text string")
+    return out.select(F.col("id").alias(doc_id), "chains", "alike", "restored", "lost", F.col("text").alias(text_col))

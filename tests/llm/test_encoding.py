@@ -1,4 +1,6 @@
 import random
+import re
+from pathlib import Path
 
 import pytest
 
@@ -78,3 +80,38 @@ def test_operator_on_a_table(spark):
     assert fixed[900].text == "Erste Zeile ist gut.\n" + SENTENCES[0] + " " + SENTENCES[1] and fixed[900].chains == ["utf_8>cp1252"]
     assert fixed[903].text.endswith(SENTENCES[2]) and (fixed[900].restored, fixed[900].lost) == (1, 0)
     assert en.repair(spark.createDataFrame([], df.schema), found_only=True).collect() == []
+
+
+def sentences(path, seed):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(path, columns=["text"]).column("text").to_pylist()
+    random.Random(seed).shuffle(texts)
+    return sorted({s for t in texts[:6000] if t and not t.isascii() for s in en.parts(t)[:3] if len(s) <= 400})
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").is_dir(), reason="no test tables here")
+def test_every_chain_is_found_and_restored_on_held_out_sentences():
+    model = en.Classifier(sentences("/root/testdata/sf0.01/documents.parquet", 1))
+    clean = [s for s in sentences("/root/testdata/sf0.1/documents.parquet", 2)]
+    clean = [s for s, x in zip(clean, model.look(clean)) if not x]
+    random.Random(3).shuffle(clean)
+    for c in model.chains:
+        cases = [(s, g) for s in clean if (g := c.garble(s)) is not None and g != s and (c.restore(g) == s or c.lost and "�" in g)][:200]
+        assert len(cases) == 200, c.name
+        got = model.look([g for _, g in cases])
+        named = restored = 0
+        for (s, g), found in zip(cases, got):
+            names = set()
+            for p, (name, back) in found.items():
+                names |= {name, *model.equal(en.chunks(p), back)}
+                g = g.replace(p, "".join(back.get(w, w) for w in re.split(r"([ \t\n\r\f\v]+)", p)))
+            named, restored = named + (c.name in names), restored + (g == s)
+        assert sum(map(bool, got)) >= 180, c.name
+        assert c.lost or named >= 180 and restored >= 180, c.name
+
+
+@pytest.mark.parametrize("text", ["σ(x) ≈ 1507 ∑ √π → ∞, that narrow chunk unblocks.", "Elle a dû ôter “ça” — l’été, à côté…", "Größe „Über“ – ÖPNV", "� at the end", "a·b = c·d für große Öle"])
+def test_rare_but_proper_characters(text):
+    model = en.Classifier(SENTENCES * 2)
+    assert model.look([text]) == [{}]
