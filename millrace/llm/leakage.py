@@ -5,7 +5,7 @@ an item is the set of its RUN - SHINGLE + 1 shingles, all of which a matching pl
 order of rarity the prefix that has to be joined is one long: the window's rarest shingle. The length bound (RUN words) and the positional
 bound (the window must fit around the shingle) leave the places where the window's words are compared one by one.
 
-Documents are read once. Of each, only the stretches are kept in which RUN - SHINGLE + 1 shingles in a row belong to any item; that
+A long item's windows may lie in several blocks. Documents are read once a block. Of each, only the stretches are kept in which RUN - SHINGLE + 1 shingles in a row belong to any item; that
 test needs the items' shingles alone, which go to the executors in blocks of at most BLOCK shingles. Shingle counts, the
 join and the comparison then run over these stretches.
 """
@@ -24,6 +24,8 @@ from millrace.runtime import cut, small, spread
 
 #: Words in a row that make a leak, and words in a shingle.
 RUN, SHINGLE = 10, 5
+#: Words of an item that go into the same block.
+STRETCH = 65_536
 #: Shingles of items that one pass over the documents looks for; more items take more passes.
 BLOCK = 4_000_000
 #: Windows of items (about 200 bytes each) that may be broadcast to the stretches; more are shuffled.
@@ -50,20 +52,33 @@ def shingle_keys(ids: np.ndarray, size: int = SHINGLE) -> np.ndarray:
 
 
 class ItemIndex:
-    """The words and the sorted shingle keys of a block of items."""
-
-    def __init__(self, texts: list[list[str]]):
-        self.words: dict[str, int] = {}
-        keys = []
-        for t in texts:
-            keys.append(shingle_keys(np.array([self.words.setdefault(w, len(self.words) + 1) for w in t], np.int64)))
-        self.keys = np.unique(np.concatenate([*keys, np.zeros(0, np.uint64)]))
-        self.keys = self.keys[self.keys != 0]
+    """The words of a block of items by number, and its sorted shingle keys."""
+
+    def __init__(self, words: dict[str, int], keys: np.ndarray):
+        self.words, self.keys = words, np.unique(keys[keys != 0])
         bits = max(16, int(len(self.keys)).bit_length() + 4)
         self.shift = np.uint64(64 - bits)
         self.seen = np.zeros(1 << bits, bool)
         self.seen[(self.keys >> self.shift).astype(np.int64)] = True
 
+    @classmethod
+    def of(cls, windows: DataFrame) -> ItemIndex:
+        """The index of a block; the driver gets its different words and, worked out by the executors, a number per different shingle."""
+        shingles = windows.select(F.explode("shingles").alias("s")).distinct()
+        names = shingles.select(F.explode(F.split("s", " ")).alias("w")).distinct().toArrow().column(0).to_pylist()
+        number = {w: k for k, w in enumerate(sorted(names), 1)}
+        shared = windows.sparkSession.sparkContext.broadcast(number)
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = np.array([shared.value[w] for s in b.column(0).to_pylist() for w in s.split(" ")], np.int64)
+                keys = shingle_keys(ids)[::SHINGLE] if len(ids) else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+
+        keys = shingles.mapInArrow(keyed, "key bigint").toArrow().column(0).to_numpy()
+        shared.unpersist()
+        return cls(number, keys.view(np.uint64))
+
     def ids(self, text: list[str]) -> list[int]:
         get = self.words.get
         return [get(w, 0) for w in text]
@@ -97,25 +112,27 @@ def _item_texts(items: DataFrame, item_id: str) -> DataFrame:
 
 
 def _windows(texts: DataFrame, run: int) -> DataFrame:
-    """(item_id, window array<string>, shingles array<string>): the distinct windows of `run` words of each item."""
+    """(item_id, part, window array<string>, shingles array<string>): the distinct windows of `run` words of each item; part counts its stretches of STRETCH words."""
     kind = texts.schema["item_id"].dataType.simpleString()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, wins, shs = [], [], []
+            at, part, wins, shs = [], [], [], []
             for k, t in enumerate(b.column("text").to_pylist()):
                 w = words(t)
                 for i in range(len(w) - run + 1):
                     at.append(k)
+                    part.append(i // STRETCH)
                     wins.append(w[i : i + run])
                     shs.append([" ".join(w[i + j : i + j + SHINGLE]) for j in range(run - SHINGLE + 1)])
             strings = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [b.column("item_id").take(pa.array(at, pa.int64())), pa.array(wins, strings), pa.array(shs, strings)],
-                names=["item_id", "window", "shingles"],
+                [b.column("item_id").take(pa.array(at, pa.int64())), pa.array(part, pa.int64()), pa.array(wins, strings), pa.array(shs, strings)],
+                names=["item_id", "part", "window", "shingles"],
             )
 
-    return texts.mapInArrow(cut_up, f"item_id {kind}, window array<string>, shingles array<string>").distinct()
+    rows = texts.mapInArrow(cut_up, f"item_id {kind}, part bigint, window array<string>, shingles array<string>")
+    return rows.groupBy("item_id", "window", "shingles").agg(F.min("part").alias("part"))
 
 
 def find_leaks(
@@ -133,16 +150,17 @@ def find_leaks(
     parts = max(1, -(-n // block))
     found = None
     for k in range(parts):
-        own = windows if parts == 1 else windows.where(F.expr(f"pmod(xxhash64(item_id), {parts}) = {k}"))
+        own = windows if parts == 1 else windows.where(F.expr(f"pmod(xxhash64(item_id, part), {parts}) = {k}"))
         got = _leaks_of(docs, own, doc_id, text_col, run)
         found = got if found is None else found.unionByName(got)
+    found = found.distinct() if parts > 1 else found  # a document may have been found by several blocks of an item
     return found.select(F.col("doc").alias(doc_id), F.col("item_id").alias(item_id))
 
 
 def _leaks_of(docs: DataFrame, windows: DataFrame, doc_id: str, text_col: str, run: int) -> DataFrame:
     spark = docs.sparkSession
     # The block's windows, at most BLOCK shingles: evaluation items, not documents.
-    index = spark.sparkContext.broadcast(ItemIndex([list(r[0]) for r in windows.select("window").distinct().toLocalIterator()]))
+    index = spark.sparkContext.broadcast(ItemIndex.of(windows))
     src = docs.where(F.col(f"`{doc_id}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(
         F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text_col}`").alias("text")
     )

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Documents of a source are taken in order of size, in steps of a factor e^(1/GRAIN); a step is ranked in SALTS parts.
+from millrace.runtime import cut, small
+
+#: Documents of a source are taken in order of size, in steps of a factor e^(1/GRAIN); a step is ranked in as many parts as RANKED rows each make.
 GRAIN = 48
-SALTS = 16
-#: So many random offsets are drawn per source; the one whose documents come nearest to the target is used.
-OFFSETS = 32
+RANKED = 500_000
+#: So many random offsets are drawn per source; the one whose documents come nearest to the target is used. 1 is plain systematic sampling,
+#: whose shares miss the targets by up to 0.2 percentage points in 10,000 documents, against 0.02.
+DRAWS = 32
 
 
 def source_key(c: Column) -> Column:
@@ -43,55 +46,53 @@ def shares_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def mix(sizes: DataFrame, targets: DataFrame, id_col: str = "doc_id", seed: int = 1337) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, id_col: str = "doc_id", seed: int = 1337, ranked: int = RANKED, plan: DataFrame | None = None, draws: int = DRAWS) -> DataFrame:
     """(<id>, source, n_tokens, uses): the documents used, each with how often.
 
     sizes: (<id>, source, n_tokens) with sources as source_key() gives them, materialised. Each document of a source is expected
-    `expected` times (shares_plan); with the documents in order of size the prefix sums of that are rank * expected, one random
-    offset a source (from the seed; the best of OFFSETS draws) is added, and a document is used once for each whole number crossed.
+    `expected` times (shares_plan, which may be given); with the documents in order of size the prefix sums of that are rank * expected, one random
+    offset a source (from the seed; the best of `draws` draws) is added, and a document is used once for each whole number crossed.
     So a source's tokens miss its target by less than one document's size in most cases, unless max_repeats stands against it.
     Documents of null source, without target or without tokens aren't used. Repeated ids are documents of their own.
     """
-    plan = shares_plan(sizes, targets).where("expected is not null").select(
-        "source", "expected", "max_repeats", F.expr("target_share * total").alias("wanted")
-    )
+    plan = cut(shares_plan(sizes, targets)) if plan is None else plan
     docs = (
         sizes.where("n_tokens > 0")
         .select(F.col(f"`{id_col}`").alias("id"), "source", "n_tokens")
-        .join(F.broadcast(plan), "source")  # one row per target of the configuration
+        .join(small(plan.where("expected is not null").select("source", "expected", "max_repeats", F.expr("target_share * total").alias("wanted"))), "source")
         .withColumn("step", F.expr(f"int(ln(n_tokens) * {GRAIN})"))
-        .withColumn("salt", F.expr(f"pmod(xxhash64(id), {SALTS})"))
     )
+    steps = cut(docs.groupBy("source", "step").agg(F.count("*").alias("n")))
+    before = W.partitionBy("source").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
+    steps = steps.select("source", "step", F.expr(f"n div {int(ranked)} + 1").alias("salts"), F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint")).alias("below"))
+    docs = docs.join(small(cut(steps)), ["source", "step"]).withColumn("salt", F.expr("pmod(xxhash64(id), salts)"))
     counts = docs.groupBy("source", "step", "salt").agg(F.count("*").alias("n"))
-    before = W.partitionBy("source").orderBy("step", "salt").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint"))).drop("n")
+    lower = W.partitionBy("source", "step").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(lower), F.lit(0).cast("bigint"))).drop("n")
     within = W.partitionBy("source", "step", "salt").orderBy("n_tokens", "id")
-    ranked = (
+    in_order = (
         docs.withColumn("rn", F.row_number().over(within))
         .join(offsets, ["source", "step", "salt"])  # the window already has this partitioning
-        .withColumn("rank", (F.col("rn") + F.col("offset")).cast("double"))
+        .withColumn("rank", (F.col("rn") + F.col("offset") + F.col("below")).cast("double"))
     )
     first = F.expr(f"(pmod(xxhash64(source, {int(seed)}L), 1000003L) + 0.5D) / 1000003D")
 
     def uses(k) -> Column:
-        upto = lambda r: F.floor(r * F.col("expected") + first + k / OFFSETS)
+        upto = lambda r: F.floor(r * F.col("expected") + (first + k / draws) % 1)
         return F.least(upto(F.col("rank")) - upto(F.col("rank") - 1), F.col("max_repeats").cast("bigint"))
 
-    tried = ranked.groupBy("source").agg(
-        F.array(*[F.sum(uses(F.lit(float(k))) * F.col("n_tokens")) for k in range(OFFSETS)]).alias("got"),
-        F.max("wanted").alias("wanted"),
-    )
-    miss = F.transform("got", lambda x: F.abs(x - F.col("wanted")))
-    best = tried.select("source", (F.array_position(miss, F.array_min(miss)) - 1).cast("double").alias("k"))
-    return (
-        ranked.join(F.broadcast(best), "source")  # one row per target
-        .withColumn("uses", uses(F.col("k")))
-        .where("uses > 0")
-        .select(F.col("id").alias(id_col), "source", "n_tokens", "uses")
-    )
+    best = 0.0
+    if draws > 1:
+        tried = in_order.groupBy("source").agg(
+            F.array(*[F.sum(uses(F.lit(float(k))) * F.col("n_tokens")) for k in range(draws)]).alias("got"), F.max("wanted").alias("wanted")
+        )
+        miss = F.transform("got", lambda x: F.abs(x - F.col("wanted")))
+        in_order = in_order.join(small(cut(tried.select("source", (F.array_position(miss, F.array_min(miss)) - 1).cast("double").alias("best")))), "source")
+        best = F.col("best")
+    return in_order.withColumn("uses", uses(best)).where("uses > 0").select(F.col("id").alias(id_col), "source", "n_tokens", "uses")
 
 
-def shares_report(sizes: DataFrame, targets: DataFrame, chosen: DataFrame) -> DataFrame:
+def shares_report(sizes: DataFrame, targets: DataFrame, chosen: DataFrame, plan: DataFrame | None = None) -> DataFrame:
     """(source, target_share, max_repeats, target_tokens, source_docs, source_tokens, docs_used, uses, tokens, share, share_of_result, reachable).
 
     share is of the total aimed at (as many tokens as all documents have), share_of_result of what was chosen.
@@ -99,7 +100,7 @@ def shares_report(sizes: DataFrame, targets: DataFrame, chosen: DataFrame) -> Da
     got = chosen.groupBy("source").agg(
         F.count("*").alias("docs_used"), F.sum("uses").alias("uses"), F.expr("sum(uses * n_tokens)").alias("tokens")
     )
-    rows = shares_plan(sizes, targets).join(got, "source", "left").na.fill(0, ["docs_used", "uses", "tokens", "source_docs", "source_tokens"])
+    rows = (shares_plan(sizes, targets) if plan is None else plan).join(got, "source", "left").na.fill(0, ["docs_used", "uses", "tokens", "source_docs", "source_tokens"])
     whole = W.partitionBy()  # one row per target
     return rows.select(
         "source",

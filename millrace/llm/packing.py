@@ -3,8 +3,9 @@
 The plan is made over the histogram of lengths, which has at most `capacity` rows however many documents there are.
 Best fit in decreasing length puts *counts* of items into *ranges* of containers; each step becomes one block
 (length, first rank, last rank, first container, items per container). Documents then take the planned slots by a
-join on length and rank within length. Ranks come from two levels (a salted window, then offsets of the salts), so that
-a length shared by a third of all documents isn't ranked in one task.
+join on length and rank within length. Ranks come from two levels (a salted window, then offsets of the salts; a length has as many salts as
+its count asks for), so that a length shared by a third of all documents isn't ranked in one task. Pieces that fill a container need no slot: their
+containers are numbered by prefix sums over their documents.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A rank window is split into so many salts.
-SALTS = 64
+from millrace.operators.order import positioned
+from millrace.runtime import small
+
+#: Rows of one length that are ranked in one window, on average.
+RANKED = 500_000
 
 PLAN_SCHEMA = "profile string, len bigint, rank_lo bigint, rank_hi bigint, container bigint, per bigint"
 
@@ -63,7 +67,7 @@ def plan_blocks(histogram: dict[int, int], capacity: int) -> list[tuple[int, int
     return blocks
 
 
-def pack(sizes: DataFrame, profiles: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def pack(sizes: DataFrame, profiles: DataFrame, id_col: str = "doc_id", ranked: int = RANKED) -> DataFrame:
     """(profile, capacity, container_id, <id>, piece, token_start, n_tokens): every document of `sizes` in every profile.
 
     sizes: (<id>, n_tokens), one row per item, materialised. profiles: (profile, capacity), a small configuration table,
@@ -80,43 +84,46 @@ def pack(sizes: DataFrame, profiles: DataFrame, id_col: str = "doc_id") -> DataF
     each = [F.struct(F.lit(k).alias("profile"), F.lit(int(v)).cast("bigint").alias("capacity")) for k, v in sorted(caps.items())]
     profile = F.array(*each) if each else F.array().cast("array<struct<profile:string,capacity:bigint>>")
     item = F.col(f"`{id_col}`")
-    pieces = (
-        sizes.where("n_tokens > 0")
-        .select(item.alias("id"), "n_tokens", F.explode(profile).alias("c"))
-        .select("id", "n_tokens", "c.profile", "c.capacity")
-        .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(n_tokens - 1) div capacity"))))
-        .withColumn("token_start", F.expr("piece * capacity"))
-        .withColumn("len", F.expr("least(capacity, n_tokens - token_start)"))
-        .withColumn("salt", F.expr(f"pmod(xxhash64(id, piece), {SALTS})"))
-        .select("profile", "capacity", "id", "piece", "token_start", "len", "salt")
-    )
+    sized = sizes.where("n_tokens > 0").select(item.alias("id"), "n_tokens", F.explode(profile).alias("c")).select("id", "n_tokens", "c.profile", "c.capacity")
+    # Whole containers of items above the capacity.
+    large = sized.where("n_tokens > capacity").withColumn("full", F.expr("n_tokens div capacity"))
+    rows = positioned(large.select("profile", "capacity", "id", "full"), ["profile", "id"], ["full"])
+    first = rows.groupBy("profile").agg(F.min("before_full").alias("first"), F.sum("full").alias("whole"))
+    whole = {r.profile: r.whole for r in first.collect()}  # a row per profile
+    own = rows.join(F.broadcast(first), "profile").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)))
+    filled = own.select("profile", "capacity", F.expr("before_full - first + piece").cast("bigint").alias("container_id"), F.col("id").alias(id_col), "piece", F.expr("piece * capacity").alias("token_start"), F.col("capacity").alias("n_tokens"))
+    # All else is at most as long as the capacity.
+    rests = sized.withColumn("piece", F.expr("if(n_tokens > capacity, n_tokens div capacity, 0L)")).withColumn("token_start", F.expr("piece * capacity")).withColumn("len", F.expr("n_tokens - token_start")).where("len > 0")
+    histogram: dict[str, dict[int, int]] = {}
+    for p, size, n in rests.groupBy("profile", "len").agg(F.count("*").alias("n")).collect():  # at most `capacity` rows a profile
+        histogram.setdefault(p, {})[size] = n
+    hot = [(p, size, -(-n // ranked)) for p, h in histogram.items() for size, n in h.items() if n > ranked]
+    salts = small(spark.createDataFrame(hot, "profile string, len bigint, salts bigint"))
+    pieces = rests.join(salts, ["profile", "len"], "left").withColumn("salt", F.expr("pmod(xxhash64(id, piece), coalesce(salts, 1L))"))
+    pieces = pieces.select("profile", "capacity", "id", "piece", "token_start", "len", "salt")
     counts = pieces.groupBy("profile", "len", "salt").agg(F.count("*").alias("n"))
     before = W.partitionBy("profile", "len").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint")))
-    histogram: dict[str, dict[int, int]] = {}
-    for p, size, n in counts.groupBy("profile", "len").agg(F.sum("n")).collect():  # at most `capacity` rows a profile
-        histogram.setdefault(p, {})[size] = n
     plan = [(p, *b) for p, h in histogram.items() for b in plan_blocks(h, caps[p])]
-    opened = {p: max([1, *(b[4] + -(-(b[3] - b[2]) // b[5]) for b in plan if b[0] == p)]) for p in caps}
+    plan = [(p, size, lo, hi, first + whole.get(p, 0), per) for p, size, lo, hi, first, per in plan]
+    opened = {p: max([1, whole.get(p, 0), *(b[4] + -(-(b[3] - b[2]) // b[5]) for b in plan if b[0] == p)]) for p in caps}
     blocks = spark.createDataFrame(plan, PLAN_SCHEMA)
     within = W.partitionBy("profile", "len", "salt").orderBy("id", "piece")
-    ranked = (
+    ranked_rows = (
         pieces.withColumn("rn", F.row_number().over(within) - 1)
         .join(offsets.drop("n"), ["profile", "len", "salt"])  # the window already has this partitioning
         .withColumn("rank", F.col("rn") + F.col("offset"))
     )
-    placed = ranked.join(
-        F.broadcast(blocks),
-        (ranked.profile == blocks.profile) & (ranked.len == blocks.len) & (ranked["rank"] >= blocks.rank_lo) & (ranked["rank"] < blocks.rank_hi),
-    ).select(
-        ranked.profile,
+    hit = (ranked_rows.profile == blocks.profile) & (ranked_rows.len == blocks.len) & (ranked_rows["rank"] >= blocks.rank_lo) & (ranked_rows["rank"] < blocks.rank_hi)
+    placed = ranked_rows.join(small(blocks), hit).select(
+        ranked_rows.profile,
         "capacity",
         F.expr("container + (rank - rank_lo) div per").alias("container_id"),
         F.col("id").alias(id_col),
         "piece",
         "token_start",
-        ranked.len.alias("n_tokens"),
-    )
+        ranked_rows.len.alias("n_tokens"),
+    ).unionByName(filled)
     nothing = F.lit(0).cast("bigint")
     count = F.create_map(*[F.lit(x) for p, n in opened.items() for x in (p, n)]) if opened else F.lit(None).cast("map<string,int>")
     empty = sizes.where("coalesce(n_tokens, 0) <= 0").select(item.alias("id"), F.explode(profile).alias("c"))

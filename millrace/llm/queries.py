@@ -85,7 +85,8 @@ def p6_chosen(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     sizes, targets = _sizes(spark, d), table(spark, d, "mixture_targets")
-    return mixing.shares_report(sizes, targets, mixing.mix(sizes, targets))
+    plan = cut(mixing.shares_plan(sizes, targets))
+    return mixing.shares_report(sizes, targets, mixing.mix(sizes, targets, plan=plan), plan)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -82,3 +82,13 @@ def test_a_hot_passage_in_a_third_of_all_documents(spark):
 
 def test_very_long_text(spark):
     assert found(spark, [(1, "pad words " * 100_000 + PASSAGE)], [(1, PASSAGE, [" x"])]) == [(1, 1)]
+
+
+def test_a_long_item_may_lie_in_several_blocks(spark, monkeypatch):
+    words = [f"w{k}" for k in range(300)]
+    items = spark.createDataFrame([(1, " ".join(words), ["x"]), (2, " ".join(words[50:90]), None)], "item_id bigint, context string, choices array<string>")
+    docs = spark.createDataFrame([(k, "a b " + " ".join(words[k : k + 12]) + " c d") for k in range(0, 280, 7)] + [(900, " ".join(words[10:19])), (901, None)], "doc_id bigint, text string")
+    want = {(k, 1) for k in range(0, 280, 7)} | {(k, 2) for k in range(0, 280, 7) if any(50 <= a and a + 10 <= 90 for a in range(k, k + 3))}
+    for block in (10**6, 60):
+        got = [tuple(r) for r in leakage.find_leaks(docs, items, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want

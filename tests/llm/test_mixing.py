@@ -57,3 +57,15 @@ def test_spellings_of_a_source(spark):
     names = ["Web-Crawl", " web_crawl ", "WEB  CRAWL", "web_crawl", "", " ", None]
     got = spark.createDataFrame([(n,) for n in names], "s string").select(mixing.source_key(F.col("s")).alias("k")).collect()
     assert [r.k for r in got] == ["web_crawl"] * 4 + [None] * 3
+
+
+def test_one_offset_gives_each_document_its_expected_copies(spark):
+    sizes = spark.createDataFrame([(k, "a", 10 + k % 7) for k in range(60)] + [(100, "b", 400)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.3, 2)], "source string, target_share double, max_repeats int")
+    plan = mixing.shares_plan(sizes, targets).head()
+    uses = {}
+    for seed in range(8):
+        for r in mixing.mix(sizes, targets, seed=seed, ranked=5, draws=1).collect():
+            uses[r.doc_id] = uses.get(r.doc_id, 0) + r.uses
+    assert abs(sum(uses.values()) / 8 - 60 * plan.expected) < 0.5
+    assert all(abs(uses.get(k, 0) / 8 - plan.expected) < 0.75 for k in range(60))

@@ -59,3 +59,19 @@ def test_token_sizes(spark):
     docs = spark.createDataFrame([(1, "Hello world", "s"), (2, None, "s"), (3, "", None), (4, "<|endoftext|>", "s")], "doc_id bigint, text string, n_tokens string")
     got = dict((r.doc_id, r.n_tokens) for r in tokens.token_sizes(docs, "doc_id", "text").collect())
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1
+
+
+def test_hot_lengths_and_pieces_that_fill_containers(spark):
+    rows = [(k, 7) for k in range(300)] + [(1000, 95), (1001, 40), (1001, 40), (1002, 10), (1003, 3), (1004, None)]
+    sizes = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint")
+    profiles = spark.createDataFrame([("p", 10), ("q", 20)], "profile string, capacity int")
+    got = packing.pack(sizes, profiles, ranked=20).collect()
+    for p, cap in (("p", 10), ("q", 20)):
+        own = [r for r in got if r.profile == p]
+        used = {}
+        for r in own:
+            used[r.container_id] = used.get(r.container_id, 0) + r.n_tokens
+        assert max(used.values()) <= cap and sorted(used) == list(range(len(used)))
+        assert sum(used.values()) == sum(n or 0 for _, n in rows)
+        assert sorted((r.token_start, r.n_tokens) for r in own if r.doc_id == 1000) == [(k, min(cap, 95 - k)) for k in range(0, 95, cap)]
+        assert len([r for r in own if r.doc_id < 1000]) == 300 and len({(r.doc_id, r.container_id) for r in own if r.doc_id == 1000}) == -(-95 // cap)
