@@ -1,6 +1,6 @@
 """Byte-level pair encoding: training, encoding and decoding.
 
-A piece is written as one character per symbol, character BASE + id, so that merging a pair is replace() on a string (left to
+A piece is written as one character per symbol (see char), so that merging a pair is replace() on a string (left to
 right, without overlap) and all of it stays in the JVM. Training counts pairs over distinct pieces, weighted by frequency.
 """
 
@@ -19,17 +19,31 @@ from pyspark.sql import functions as F
 from millrace.functions.pieces import pieces
 from millrace.runtime import cut, spread
 
-#: Symbol id k is the character U+3400 + k; ids up to 41,000 stay below the surrogates.
-BASE = 0x3400
+#: Symbol id k is the character U+3400 + k; those from the surrogates on are moved past them.
+BASE, SURROGATES, MOVED = 0x3400, 0xD800, 0x800
+#: The most symbols that there are characters for.
+MOST_IDS = 0x110000 - BASE - MOVED
 BYTES = 256
 #: Distinct pieces up to which training runs in the driver instead of in one job per merge.
 DRIVER_PIECES = 400_000
+#: Most frequent pairs that a round of distributed training looks at, and the length from which a piece is merged with a heap.
+TOP, LONG_PIECE = 256, 48
 #: Rounds of distributed training after which the symbols are written out, to keep plans short.
 ROUNDS_PER_CUT = 8
 #: Pieces whose ids a worker remembers.
 MEMO = 500_000
 
-_BYTE_CHARS = "".join(chr(BASE + k) for k in range(BYTES))
+def char(k: int) -> str:
+    """The character of symbol k."""
+    return chr(BASE + k if BASE + k < SURROGATES else BASE + k + MOVED)
+
+
+def symbol(c: str) -> int:
+    """The symbol of a character."""
+    return ord(c) - BASE - (MOVED if ord(c) > SURROGATES else 0)
+
+
+_BYTE_CHARS = "".join(char(k) for k in range(BYTES))
 
 
 def symbols(piece: Column) -> Column:
@@ -53,30 +67,50 @@ def best_pair(counts: DataFrame) -> DataFrame:
 
 def merge(symbol_col: Column, pair: str, new_id: int) -> Column:
     """Replace a pair (two characters) by a new symbol."""
-    return F.replace(symbol_col, F.lit(pair), F.lit(chr(BASE + new_id)))
+    return F.replace(symbol_col, F.lit(pair), F.lit(char(new_id)))
 
 
 def train(counts: DataFrame, n_merges: int) -> list[tuple[int, int, int]]:
     """Merges (a, b, new_id) in order, learned from (piece, freq); ends early when no pair is left.
 
-    Up to DRIVER_PIECES distinct pieces the loop runs in the driver, beyond it as one aggregation per merge.
+    Up to DRIVER_PIECES distinct pieces the loop runs in the driver, beyond it in rounds of an aggregation each, which take all pairs
+    that can't have been changed by the ones before them.
     """
+    if n_merges > MOST_IDS - BYTES:
+        raise ValueError(f"at most {MOST_IDS - BYTES} merges")
     words = cut(counts.select(symbols(F.col("piece")).alias("symbols"), "freq"))
     if words.limit(DRIVER_PIECES + 1).count() <= DRIVER_PIECES:
         return _train_here([(r[0], r[1]) for r in words.toLocalIterator()], n_merges)
     merges: list[tuple[int, int, int]] = []
+    rounds = 0
     while len(merges) < n_merges:
-        top = best_pair(pair_counts(words)).collect()
+        top = pair_counts(words).where("cnt > 0").orderBy(F.desc("cnt"), "pair").limit(TOP).collect()
         if not top:
             break
-        pair, new = top[0]["pair"], BYTES + len(merges)
-        merges.append((ord(pair[0]) - BASE, ord(pair[1]) - BASE, new))
-        words = words.select(merge(F.col("symbols"), pair, new).alias("symbols"), "freq")
-        if len(merges) % ROUNDS_PER_CUT == 0:
+        for pair in apart([r["pair"] for r in top])[: n_merges - len(merges)]:
+            new = BYTES + len(merges)
+            merges.append((symbol(pair[0]), symbol(pair[1]), new))
+            words = words.select(merge(F.col("symbols"), pair, new).alias("symbols"), "freq")
+        rounds += 1
+        if rounds % ROUNDS_PER_CUT == 0:
             words = cut(words)
     return merges
 
 
+def apart(pairs: list[str]) -> list[str]:
+    """The first pairs, in order of frequency, up to one that shares a symbol with one before it.
+
+    Merging a pair changes the counts of pairs with its symbols alone, and a new pair is at most as frequent as an old one with one of these; as those
+    all come later, the pairs given are the ones that a round each would have chosen.
+    """
+    used: set[str] = set()
+    for k, pair in enumerate(pairs):
+        if used & {*pair}:
+            return pairs[:k]
+        used |= {*pair}
+    return pairs
+
+
 def _train_here(words: list[tuple[str, int]], n_merges: int) -> list[tuple[int, int, int]]:
     """The same loop over words in memory; only the words that hold a merged pair are counted again."""
     text = [w for w, _ in words]
@@ -102,12 +136,12 @@ def _train_here(words: list[tuple[str, int]], n_merges: int) -> list[tuple[int,
         if c >= 0 or count.get(pair) != -c:
             continue
         new = BYTES + len(merges)
-        merges.append((ord(pair[0]) - BASE, ord(pair[1]) - BASE, new))
+        merges.append((symbol(pair[0]), symbol(pair[1]), new))
         touched: set[str] = set()
         for k in where.pop(pair):
             if pair in text[k]:
                 tally(k, -1, touched)
-                text[k] = text[k].replace(pair, chr(BASE + new))
+                text[k] = text[k].replace(pair, char(new))
                 tally(k, 1, touched)
         for p in touched:
             if count[p] > 0:
@@ -147,6 +181,8 @@ class Vocabulary:
     def encode_piece(self, piece: str) -> list[int]:
         """Merge the pair of lowest rank, the leftmost first, until no pair is known."""
         ids = list(piece.encode("utf_8", "surrogatepass"))
+        if len(ids) > LONG_PIECE:
+            return self._merge_long(ids)
         while len(ids) > 1:
             known = [(self.rank[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in self.rank]
             if not known:
@@ -155,6 +191,26 @@ class Vocabulary:
             ids[i : i + 2] = [self.rank[ids[i], ids[i + 1]][1]]
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same in n log n: a heap of known pairs over a chain of what is left; entries whose ids have changed are passed over."""
+        rank, after, before = self.rank, list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        heap = [(rank[p][0], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in rank]
+        heapify(heap)
+        end = len(ids)
+        while heap:
+            _, i, a, b = heappop(heap)
+            j = after[i] if ids[i] == a else end
+            if j >= end or ids[j] != b:
+                continue
+            ids[i], ids[j] = rank[a, b][1], -1
+            after[i] = after[j]
+            if after[i] < end:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < end and (p := (ids[k], ids[after[k]])) in rank:
+                    heappush(heap, (rank[p][0], k, *p))
+        return [x for x in ids if x >= 0]
+
     def decode_bytes(self, ids: list[int]) -> bytes:
         names = {i: s.encode() for s, i in self.specials.items()}
         out = []
@@ -196,24 +252,34 @@ def encode_pieces(distinct: DataFrame, v: Vocabulary) -> DataFrame:
     return distinct.select("piece").mapInArrow(run, "piece string, ids array<int>")
 
 
-def encode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(<id>, ids): every non-null text encoded, specials in it being ordinary text; an empty text has no ids.
+def encode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text", allowed: str | set[str] = "none") -> DataFrame:
+    """(<id>, ids): every non-null text encoded; an empty text has no ids.
+
+    allowed: the specials whose ids stand for them, "all" or "none". Unless it is "none" the text is cut around all specials, and those that
+    aren't allowed are encoded as the text they are.
 
     Each batch encodes its different pieces once and keeps them for the batches after it, so no piece is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(v)
     src = docs.where(F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    src = spread(src).select("id", pieces(F.col("text")).alias("pieces"))
+    names = {"all": set(v.specials), "none": set()}[allowed] if isinstance(allowed, str) else {*allowed} & {*v.specials}
+    if v.specials and allowed != "none":
+        parts = split_specials(F.col("text"), list(v.specials))
+        cut_up = F.flatten(F.transform(parts, lambda x: F.when(x.isin(*sorted(names)), F.array(x)).otherwise(pieces(x)) if names else pieces(x)))
+    else:
+        cut_up = pieces(F.col("text"))
+    src = spread(src).select("id", cut_up.alias("pieces"))
+    own = {n: [v.specials[n]] for n in names}  # no piece reads like a special that was cut out
     kind = src.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
+        known: dict[str, list[int]] = dict(own)
         for b in batches:
             column = b.column("pieces")
             bounds = column.offsets.to_numpy() - column.offsets[0].as_py()
             coded = column.flatten().dictionary_encode()
             if len(known) >= MEMO:
-                known.clear()
+                known = dict(own)
             each = []
             for p in coded.dictionary.to_pylist():
                 got = known.get(p)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.order import positioned
+
 #: Fixed value: the step of the low-discrepancy sequence.
 PHI = 0.6180339887498949
 
@@ -38,8 +39,32 @@ def draws(spark: SparkSession, n: int, weights: dict[str, float]) -> DataFrame:
 
 
 def local_steps(drawn: DataFrame) -> DataFrame:
-    """(k, domain, local_step): the how-manieth draw of its domain each one is, from 0."""
-    return drawn.withColumn("local_step", F.row_number().over(W.partitionBy("domain").orderBy("k")).cast("bigint") - 1)
+    """(k, domain, local_step): the how-manieth draw of its domain each one is, from 0; all draws are ranked at once, so a large domain isn't one task."""
+    at = positioned(drawn, ["domain", "k"])
+    first = at.groupBy("domain").agg(F.min("ord").alias("first"))
+    return at.join(F.broadcast(first), "domain").select("k", "domain", (F.col("ord") - F.col("first")).cast("bigint").alias("local_step"))  # a row per domain
+
+
+def reweighted(spark: SparkSession, n: int, stages: list[tuple[int, dict[str, float]]], start: int = 0) -> DataFrame:
+    """(k, domain) of draws start to n - 1, with weights that change at draws of the given numbers; the draws are counted on through."""
+    k, choice = F.col("id"), F.lit(None).cast("string")
+    for since, weights in sorted(stages, key=lambda x: x[0]):
+        choice = F.when(k >= since, domain_of(k, weights)).otherwise(choice)
+    return spark.range(start, n).select(k.alias("k"), choice.alias("domain"))
+
+
+def state(drawn: DataFrame, tokens_per_batch: int) -> DataFrame:
+    """(domain, batches, tokens_seen, last_draw) after the draws (k, domain): what each domain's loader has given, and the last draw that was its."""
+    by = drawn.groupBy("domain").agg(F.count("*").alias("batches"), F.max("k").alias("last_draw"))
+    return by.select("domain", "batches", (F.col("batches") * tokens_per_batch).alias("tokens_seen"), "last_draw")
+
+
+def resumed(spark: SparkSession, saved: DataFrame, n: int, weights: dict[str, float]) -> DataFrame:
+    """(k, domain, local_step) of the draws up to n - 1 that come after a saved state(); domains go on where their loaders stopped, new ones begin."""
+    k = saved.agg(F.coalesce(F.max("last_draw") + 1, F.lit(0)).alias("k")).head()[0]  # a row per domain
+    rows = local_steps(reweighted(spark, n, [(0, weights)], k))
+    rows = rows.join(F.broadcast(saved.select("domain", "batches")), "domain", "left")
+    return rows.select("k", "domain", (F.col("local_step") + F.coalesce("batches", F.lit(0))).alias("local_step"))
 
 
 def realised(drawn: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from millrace.functions import bpe
 from millrace.operators import chat
 from millrace.plans.registry import query
-from millrace.runtime import shared_dir, table
+from millrace.runtime import new_path, table
 
 SPECIALS = ["<|endoftext|>", "<|pad|>", "<|system|>", "<|user|>", "<|assistant|>"]
 VOCAB = bpe.Vocabulary([], SPECIALS)
@@ -107,7 +105,7 @@ def sft_8(spark, d):
 @query("src_13", f"WITH {_KNOWN} SELECT md5(string_agg('<|' || role || '|>' || content, '' ORDER BY turn) || '<|assistant|>') AS digest FROM k GROUP BY conv_id")
 def src_13(spark, d):
     """Conversations written as JSON lines, with lines that are none among them, and read back."""
-    path = f"{shared_dir(spark).rstrip('/')}/millrace-chats-{uuid.uuid4().hex}.jsonl"
+    path = new_path(spark, "chats", ".jsonl")
     good = convs(spark, d).select(F.to_json(F.struct(F.expr("transform(messages, m -> struct(m.role as role, m.content as content))").alias("messages"))).alias("value"))
     bad = spark.createDataFrame([("",), ("{broken",), ("[1]",), ('{"text": "x"}',)], "value string")
     good.union(bad).write.text(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from millrace.functions import bpe
@@ -11,7 +9,7 @@ from millrace.functions.pieces import piece_counts, pieces, prune_rare
 from millrace.operators import corpus, windows
 from millrace.operators.order import positioned
 from millrace.plans.registry import query
-from millrace.runtime import cut, shared_dir, small, spread, table
+from millrace.runtime import cut, new_path, small, spread, table
 from millrace.sources import shards, text
 
 WS = r"\t\n\x0B\f\r \x{85}\p{Z}"
@@ -168,6 +166,19 @@ def tok_13(spark, d):
     return rows.select("item_id", "choice_index", "run", F.size(bpe.split_specials(s, _SPECIAL)).alias("n_parts"))
 
 
+_LETTERS_SUM = "coalesce(list_sum(list_transform(regexp_extract_all(hex(encode({})), '..'), lambda h: ('0x' || h)::INT)), 0)"
+
+
+@query("tok_13_ids", f"""WITH t AS (SELECT item_id, choice_index, run, '<|user|>' AS u, run || '<|pad|>' AS mid, coalesce(CAST(n_tokens AS VARCHAR), '') AS tail FROM (SELECT DISTINCT item_id, choice_index, run, n_tokens FROM eval_scores WHERE run IS NOT NULL))
+SELECT item_id, choice_index, run, (2 + strlen(mid) + strlen(tail))::INT AS n_ids, (258 + 256 + {_LETTERS_SUM.format('mid')} + {_LETTERS_SUM.format('tail')})::BIGINT AS id_sum FROM t""")
+def tok_13_ids(spark, d):
+    """Texts with specials encoded; two are allowed, the third is text."""
+    rows = table(spark, d, "eval_scores").where("run is not null").select("item_id", "choice_index", "run", "n_tokens").distinct()
+    s = F.concat(F.lit("<|user|>"), "run", F.lit("<|pad|><|endoftext|>"), F.coalesce(F.col("n_tokens").cast("string"), F.lit("")))
+    got = bpe.encode(rows.select(F.struct("item_id", "choice_index", "run", "n_tokens").alias("at"), s.alias("text")), bpe.Vocabulary([], _SPECIAL), "at", allowed={"<|user|>", "<|endoftext|>"})
+    return got.select("at.item_id", "at.choice_index", "at.run", F.size("ids").alias("n_ids"), _sum().alias("id_sum"))
+
+
 @query("tok_15", """WITH e AS (SELECT DISTINCT example_id, ids FROM examples WHERE len(ids) > 0), u AS (SELECT example_id, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM e)
 SELECT example_id, md5(string_agg(hex(token_bytes), '' ORDER BY pos)) AS digest FROM u JOIN vocab ON token_id = id GROUP BY example_id""")
 def tok_15(spark, d):
@@ -181,14 +192,12 @@ def tok_15(spark, d):
 
 @query("tok_17", _encoded_sql("SELECT t.doc_id, strlen(text) / greatest(n, 1) AS ratio FROM t JOIN docs ON t.doc_id = docs.doc_id"))
 def tok_17(spark, d):
-    both = encoded(spark, d).select("doc_id", F.size("ids").alias("n")).join(docs(spark, d).select("doc_id", "text"), "doc_id")
-    return both.select("doc_id", bpe.compression(F.col("text"), F.col("n")).alias("ratio"))
+    return lengths(spark, d, bpe.Vocabulary(MERGES)).select("doc_id", (F.col("n_bytes") / F.greatest("n", F.lit(1))).alias("ratio"))
 
 
 @query("prep_1", _encoded_sql("SELECT t.doc_id, n + 1 AS n_tokens, strlen(text)::BIGINT AS n_bytes FROM t JOIN docs ON t.doc_id = docs.doc_id"))
 def prep_1(spark, d):
-    both = encoded(spark, d).select("doc_id", (F.size("ids") + 1).cast("bigint").alias("n_tokens")).join(docs(spark, d), "doc_id")
-    return both.select("doc_id", "n_tokens", F.octet_length("text").cast("bigint").alias("n_bytes"))
+    return lengths(spark, d, bpe.Vocabulary(MERGES)).select("doc_id", (F.col("n") + 1).alias("n_tokens"), "n_bytes")
 
 
 def measured(spark, d):
@@ -222,7 +231,7 @@ def snk_5(spark, d):
 
 @query("snk_3", "SELECT item_id, CASE WHEN item_id * 8 <= 65536 THEN 'uint16' ELSE 'uint32' END AS dtype FROM eval_items")
 def snk_3(spark, d):
-    return table(spark, d, "eval_items").select("item_id", F.when(F.col("item_id") * 8 <= 65536, "uint16").otherwise("uint32").alias("dtype"))
+    return table(spark, d, "eval_items").select("item_id", shards.dtype_column(F.col("item_id") * 8).alias("dtype"))
 
 
 @query("snk_4", _ROLL + ", g AS (SELECT split, shard, count(*) AS d, sum(len) AS t FROM r GROUP BY split, shard) SELECT split, count(*) AS n_shards, sum(t)::BIGINT AS n_tokens, string_agg(printf('shard_%05d.bin:%d', shard, t::BIGINT), ',' ORDER BY shard) AS shards FROM g GROUP BY split")
@@ -244,9 +253,21 @@ def src_16(spark, d):
     rows = positioned(docs(spark, d).select("doc_id", (F.octet_length("text") + 1).cast("bigint").alias("len")), ["doc_id"], ["len"])
     grp = rows.select("doc_id", "ord").join(restarting_groups(rows, SHARD * 4, "roll"), "ord")
     ids = byte_ids(docs(spark, d)).join(grp, "doc_id").select("grp", "ord", "ids")
-    path = _folder(spark, "shards")
+    path = new_path(spark, "shards")
     shards.write_shards(ids, path, 257)
-    return shards.read_shards(spark, path).select("shard", F.size("ids").alias("n_tokens"), F.size("doc_starts").alias("n_docs"), _sum().alias("id_sum"))
+    return shard_sums(shards.read_blocks(spark, path), "shard")
+
+
+def shard_sums(blocks, *keys):
+    """(*keys, n_tokens, n_docs, id_sum) of the blocks of shards."""
+    by = blocks.select(*keys, F.size("ids").alias("n"), F.size("doc_starts").alias("d"), _sum().alias("s")).groupBy(*keys)
+    return by.agg(F.sum("n").cast("int").alias("n_tokens"), F.sum("d").cast("int").alias("n_docs"), F.sum("s").alias("id_sum"))
+
+
+def byte_stream(spark, d):
+    """(ids, before_len) of all documents as byte tokens laid end to end; texts meet their places before they become four bytes a token."""
+    placed = docs(spark, d).join(measured(spark, d).select("doc_id", "before_len"), "doc_id")
+    return byte_ids(placed.select(F.struct("doc_id", "before_len").alias("at"), "text"), "at").select("ids", "at.before_len")
 
 
 def byte_ids(rows, id_col: str = "doc_id", text_col: str = "text"):
@@ -275,8 +296,7 @@ def win_2(spark, d):
 @query("win_3", f"""WITH {_STREAM}, w AS (SELECT pos // {L} AS seq_idx, pos, tok FROM toks UNION ALL SELECT pos // {L} - 1, pos, tok FROM toks WHERE pos % {L} = 0 AND pos > 0)
 SELECT seq_idx::BIGINT AS seq_idx, arg_min(tok, pos) AS first, arg_max(tok, pos) AS last, sum(tok * (pos - seq_idx * {L} + 1))::BIGINT AS checksum FROM w GROUP BY seq_idx HAVING count(*) = {L + 1}""")
 def win_3(spark, d):
-    rows = byte_ids(docs(spark, d)).join(measured(spark, d).select("doc_id", "before_len"), "doc_id")
-    w = windows.windows(rows, L)
+    w = windows.windows(byte_stream(spark, d), L, 257)
     check = F.expr("aggregate(zip_with(tokens, sequence(1, size(tokens)), (t, i) -> bigint(t) * i), 0L, (x, y) -> x + y)")
     return w.select("seq_idx", F.element_at("tokens", 1).alias("first"), F.element_at("tokens", -1).alias("last"), check.alias("checksum"))
 
@@ -284,10 +304,9 @@ def win_3(spark, d):
 @query("win_6", f"""WITH {_STREAM}, n AS (SELECT (count(*) - 1) // {L} AS n FROM toks), w AS (SELECT pos // {L} AS seq_idx, tok, lead(tok) OVER (ORDER BY pos) AS nxt FROM toks)
 SELECT seq_idx::BIGINT AS seq_idx, sum(tok)::BIGINT AS x_sum, sum(nxt)::BIGINT AS y_sum FROM w, n WHERE seq_idx < n GROUP BY seq_idx""")
 def win_6(spark, d):
-    rows = byte_ids(docs(spark, d)).join(measured(spark, d).select("doc_id", "before_len"), "doc_id")
     x, y = windows.inputs_and_targets(F.col("tokens"), L)
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, t: a + t)
-    return windows.windows(rows, L).select("seq_idx", total(x).alias("x_sum"), total(y).alias("y_sum"))
+    return windows.windows(byte_stream(spark, d), L, 257).select("seq_idx", total(x).alias("x_sum"), total(y).alias("y_sum"))
 
 
 @query("win_4", _ROLL + f""", g AS (SELECT shard, sum(len)::BIGINT AS n FROM r WHERE split = 'train' GROUP BY shard), f AS (SELECT shard, n, sum(n) OVER (ORDER BY shard) - n AS off FROM g)
@@ -304,18 +323,13 @@ def win_4(spark, d):
 
 @query("src_19", f"WITH {_STREAM} SELECT (pos // 10000)::BIGINT AS chunk, count(*)::INT AS n, sum(tok)::BIGINT AS id_sum FROM toks GROUP BY 1")
 def src_19(spark, d):
-    rows = byte_ids(docs(spark, d)).join(measured(spark, d).select("doc_id", "before_len"), "doc_id")
-    return windows.chunks(rows, 10_000).select("chunk", F.size("tokens").alias("n"), F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t).alias("id_sum"))
-
-
-def _folder(spark, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
+    return windows.chunks(byte_stream(spark, d), 10_000).select("chunk", F.size("tokens").alias("n"), F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t).alias("id_sum"))
 
 
 @query("src_9", f"WITH {DOCS} SELECT md5(text) AS digest, count(*) AS n FROM docs GROUP BY 1")
 def src_9(spark, d):
     """Documents written as compressed JSON lines, and read back as a corpus."""
-    path = f"{_folder(spark, 'corpus')}.jsonl"
+    path = new_path(spark, "corpus", ".jsonl")
     lines = docs(spark, d).select(F.to_json(F.struct("doc_id", "text")).alias("value"))
     lines.write.option("compression", "gzip").text(path)
     return text.read_corpus(spark, path).groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
@@ -324,7 +338,7 @@ def src_9(spark, d):
 @query("src_3", "SELECT item_id, md5(replace(context, chr(13), chr(10)) || chr(10)) AS digest FROM (SELECT DISTINCT item_id, context FROM eval_items WHERE context IS NOT NULL)")
 def src_3(spark, d):
     """Items' contexts written as a file each, and read back whole."""
-    path = _folder(spark, "texts")
+    path = new_path(spark, "texts")
     rows = table(spark, d, "eval_items").where("context is not null").select("item_id", "context").distinct()
     rows.repartition(4).write.partitionBy("item_id").text(path)
     got = text.whole_texts(spark, f"{path}/*/*.txt")
@@ -342,7 +356,7 @@ def snk_7(spark, d):
     """A metric log appended to in two writes, and read back."""
     from millrace.operators import telemetry
 
-    path = _folder(spark, "log")
+    path = new_path(spark, "log")
     e = table(spark, d, "events")
     line = F.to_json(F.struct(F.col("event_type").alias("run"), F.col("event_id").alias("step"), telemetry.number(F.col("value").cast("string")).alias("train/loss")))
     for part in (0, 1):
@@ -434,10 +448,10 @@ def prep_6_full(spark, d):
 @query("prep_7_full")
 def prep_7_full(spark, d):
     """The whole preparation, with its shards read back: (split, shard, n_tokens, n_docs, id_sum)."""
-    path = _folder(spark, "corpus")
+    path = new_path(spark, "corpus")
     corpus.prepare(table(spark, d, "documents").select("doc_id", "text"), learned(spark, d), f"{path}/train", f"{path}/val", SHARD * 25, VAL)
-    back = [shards.read_shards(spark, f"{path}/{x}").withColumn("split", F.lit(x)) for x in ("train", "val")]
-    return back[0].unionByName(back[1]).select("split", "shard", F.size("ids").alias("n_tokens"), F.size("doc_starts").alias("n_docs"), _sum().alias("id_sum"))
+    back = [shards.read_blocks(spark, f"{path}/{x}").withColumn("split", F.lit(x)) for x in ("train", "val")]
+    return shard_sums(back[0].unionByName(back[1]), "split", "shard")
 
 
 @query("snk_5_full")

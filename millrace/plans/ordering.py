@@ -186,8 +186,9 @@ _W3 = corpus._STREAM + f", w AS (SELECT pos // {corpus.L} AS seq_idx, pos, tok F
 @query("win_5", _PLAN.replace("WITH RECURSIVE ", f"WITH RECURSIVE {_W3}, pl AS (WITH RECURSIVE ", 1) + ") SELECT step, rank, slot, pl.seq_idx, first, id_sum FROM pl JOIN w3 ON w3.seq_idx = pl.seq_idx")
 def win_5(spark, d):
     """The windows of a plan over the first 127, gathered."""
-    rows = corpus.byte_ids(corpus.docs(spark, d)).join(corpus.measured(spark, d).select("doc_id", "before_len"), "doc_id")
-    got = windows.gather(windows.batch_plan(spark, 127, range(50), 4, 2, 1337), windows.windows(rows, corpus.L))
+    plan = windows.batch_plan(spark, 127, range(50), 4, 2, 1337)
+    near = corpus.byte_stream(spark, d).where(F.col("before_len") <= 127 * corpus.L)  # what lies beyond the plan's windows needn't be cut up
+    got = windows.gather(plan, windows.windows(near, corpus.L, 257))
     return got.select("step", "rank", "slot", "seq_idx", F.element_at("tokens", 1).alias("first"), F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t).alias("id_sum"))
 
 
@@ -251,7 +252,5 @@ def load_6_all(spark, d):
 @query("win_5_all")
 def win_5_all(spark, d):
     """All windows of the corpus, gathered in the order of whole epochs; texts meet their places before they become four bytes a token."""
-    placed = corpus.docs(spark, d).join(corpus.measured(spark, d).select("doc_id", "before_len"), "doc_id")
-    rows = corpus.byte_ids(placed.select(F.struct("doc_id", "before_len").alias("at"), "text"), "at").select("ids", "at.before_len")
-    got = windows.gather(whole_plan(spark, d), windows.windows(rows, corpus.L, 257))
+    got = windows.gather(whole_plan(spark, d), windows.windows(corpus.byte_stream(spark, d), corpus.L, 257))
     return got.select("step", "rank", "slot", "seq_idx", F.element_at("tokens", 1).alias("first"), F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t).alias("id_sum"))

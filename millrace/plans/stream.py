@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from millrace.functions import bpe
 from millrace.plans.registry import query
-from millrace.runtime import shared_dir, table
+from millrace.runtime import new_path, table
 from millrace.streaming import incremental as inc
 
 
 def _state(spark) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/millrace-stream-{uuid.uuid4().hex}"
+    return new_path(spark, "stream")
 
 
 @query("str_1", "SELECT count(*) AS n_docs, sum(strlen(text) + 1)::BIGINT AS n_tokens, sum(strlen(text))::BIGINT AS n_bytes FROM documents WHERE text <> ''")
@@ -36,14 +34,14 @@ _TEXTS = """WITH e AS (SELECT DISTINCT example_id, ids FROM examples WHERE len(i
 SELECT example_id, md5(decode(unhex(string_agg(hex(token_bytes), '' ORDER BY pos)))) AS digest FROM u JOIN vocab ON token_id = id GROUP BY example_id"""
 
 
-@query("str_4")
+@query("str_4", _TEXTS.replace("SELECT example_id, md5", "SELECT example_id AS seq, md5"))
 def str_4(spark, d):
-    """Examples decoded as a stream: (seq, n_chunks, digest of the text)."""
+    """Examples decoded as a stream: (seq, digest of the text)."""
     tokens = inc.table_stream(spark, d, "examples").where("size(ids) > 0").select(F.col("example_id").alias("seq"), "ids").distinct()
     long = tokens.select("seq", F.posexplode("ids").alias("pos", "tok"))
     rows = inc.decode_stream(long, _names(spark, d), _state(spark))
-    parts = rows.groupBy("seq").agg(F.count("*").alias("n_chunks"), F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("p"))
-    return parts.select("seq", "n_chunks", F.md5(F.array_join(F.col("p.text"), "")).alias("digest"))
+    parts = rows.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("p"))
+    return parts.select("seq", F.md5(F.array_join(F.col("p.text"), "")).alias("digest"))
 
 
 @query("tok_16", _TEXTS)

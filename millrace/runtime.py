@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -19,6 +20,7 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 _shipped: set[str] = set()
+_local: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -47,14 +49,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only a session without any (a test) gets its own."""
+    """The folder all executors share: spark.checkpoint.dir. A local session without any (a test) gets one of its own; on a cluster it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-test-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    own = sc._jsc.sc().getCheckpointDir()
+    if not own.isEmpty():
+        return own.get()
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if sc.applicationId not in _local:
+        _local[sc.applicationId] = tempfile.mkdtemp(prefix="millrace-test-")
+        _written.append((spark, _local[sc.applicationId]))
+    return _local[sc.applicationId]
+
+
+def new_path(spark: SparkSession, name: str, ending: str = "") -> str:
+    """A path of its own in the shared folder; what is written there is removed when the driver process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}{ending}"
+    _written.append((spark, path))
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -63,9 +78,8 @@ def cut(df: DataFrame) -> DataFrame:
     The table is removed when the driver process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    path = new_path(spark, "table")
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

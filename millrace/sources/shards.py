@@ -10,11 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.runtime import cut
+from millrace.runtime import cut, spread
 
 #: Layout of the header and codes of the two widths.
 MAGIC, VERSION, HEADER_BYTES = b"SLMTOK\x00\x00", 1, 1024
@@ -26,6 +26,11 @@ def dtype_name(vocab_size: int) -> str:
     return "uint16" if vocab_size <= 65536 else "uint32"
 
 
+def dtype_column(vocab_size: Column) -> Column:
+    """Column form of dtype_name()."""
+    return F.when(vocab_size <= 65536, dtype_name(65536)).otherwise(dtype_name(65537))
+
+
 def pack_header(n_tokens: int, vocab_size: int, n_docs: int) -> bytes:
     code = 0 if dtype_name(vocab_size) == "uint16" else 1
     return LAYOUT.pack(MAGIC, VERSION, code, n_tokens, vocab_size, n_docs).ljust(HEADER_BYTES, b"\0")
@@ -54,6 +59,11 @@ def shard_tokens(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.dtype(head["dtype"]).newbyteorder("<"), head["n_tokens"], HEADER_BYTES)
 
 
+def _uri(path: str) -> str:
+    """A path as Arrow's file systems take it."""
+    return re.sub("^(?:file:)?(?=/)", "file://", re.sub("^file:///", "/", path))
+
+
 def write_shards(tokens: DataFrame, path: str, vocab_size: int) -> DataFrame:
     """Write tokens (grp, ord, ids) as shard_%05d.bin with .docs sidecars; gives the index rows (name, n_tokens, n_docs, dtype).
 
@@ -66,7 +76,7 @@ def write_shards(tokens: DataFrame, path: str, vocab_size: int) -> DataFrame:
     whole, inside = W.partitionBy("grp"), W.partitionBy("grp").orderBy("ord")
     rows = live.select("grp", "ord", "ids", F.sum(F.size("ids").cast("bigint")).over(whole).alias("n_tokens"), F.count("*").over(whole).alias("n_docs"))
     rows = rows.withColumn("k", F.row_number().over(inside)).where("k > 0").select("grp", "ids", "n_tokens", "n_docs")
-    base = re.sub("^(?:file:)?(?=/)", "file://", re.sub("^file:///", "/", path.rstrip("/")))
+    base = _uri(path.rstrip("/"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
@@ -113,19 +123,59 @@ def write_shards(tokens: DataFrame, path: str, vocab_size: int) -> DataFrame:
     return index.select(F.format_string("shard_%05d.bin", "grp").alias("name"), "n_tokens", "n_docs", F.lit(dtype_name(vocab_size)).alias("dtype"))
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, ids, doc_starts) of all shards of a folder; a missing sidecar gives no starts."""
+def read_blocks(spark: SparkSession, path: str, block: int = 1 << 20) -> DataFrame:
+    """(shard, start, ids, doc_starts) of all shards of a folder, in blocks of at most so many tokens; an empty shard gives one empty block.
+
+    start is the block's place in its shard, doc_starts the places of the documents that begin in it; a missing sidecar gives none. Only names
+    and sizes go into the plan: each task opens its ranges of the files.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    side = files.where("path like '%.docs'").select(F.regexp_replace("path", r"\.docs$", ".bin").alias("path"), F.col("length").alias("side"))
+    both = files.where("path like '%.bin'").join(side, "path", "left")
+    last = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("length") - HEADER_BYTES - 1) / (2 * block)).cast("bigint"))  # tokens have two bytes at least
+    ranges = spread(cut(both.select("path", F.coalesce("side", F.lit(-1)).alias("side"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("k"))))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
         for b in batches:
-            names = [p.rsplit("/", 1)[-1] for p in b.column("path").to_pylist()]
-            ids = [shard_tokens(c).astype(np.int32).tolist() for c in b.column("content").to_pylist()]
-            starts = [np.frombuffer(s, "<u8").astype(np.int64).tolist() if s is not None else [] for s in b.column("starts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64()))], names=["shard", "ids", "doc_starts"])
+            for p, side, k in zip(b.column("path").to_pylist(), b.column("side").to_pylist(), b.column("k").to_pylist()):
+                fs, name = FileSystem.from_uri(_uri(p))
+                with fs.open_input_file(name) as f:
+                    head = unpack_header(f.read_at(HEADER_BYTES, 0))
+                    kind = np.dtype(head["dtype"]).newbyteorder("<")
+                    lo, hi = k * block, min((k + 1) * block, head["n_tokens"])
+                    if lo >= hi and k:
+                        continue
+                    data = np.frombuffer(f.read_at(max(0, hi - lo) * kind.itemsize, HEADER_BYTES + lo * kind.itemsize), kind)
+                starts = np.zeros(0, np.int64)
+                if side > 0:
+                    with fs.open_input_file(re.sub(r"\.bin$", ".docs", name)) as f:
+                        n = side // 8
+                        a, z = (_first_at(f, n, x) for x in (lo, hi))
+                        starts = np.frombuffer(f.read_at((z - a) * 8, a * 8), "<u8").astype(np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (data.astype(np.int32), starts)]
+                yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]]), pa.array([lo], pa.int64()), *lists], names=["shard", "start", "ids", "doc_starts"])
+
+    return ranges.mapInArrow(run, "shard string, start bigint, ids array<int>, doc_starts array<bigint>")
+
+
+def _first_at(f, n: int, place: int) -> int:
+    """The first of n sorted uint64 in a file that is at least `place`, by bisection on the file."""
+    lo, hi = 0, n
+    while lo < hi:
+        mid = (lo + hi) // 2
+        if int.from_bytes(f.read_at(8, mid * 8), "little") < place:
+            lo = mid + 1
+        else:
+            hi = mid
+    return lo
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    side = files.where("path like '%.docs'").select(F.regexp_replace("path", r"\.docs$", ".bin").alias("path"), F.col("content").alias("starts"))
-    both = files.where("path like '%.bin'").join(side, "path", "left")
-    return both.mapInArrow(run, "shard string, ids array<int>, doc_starts array<bigint>")
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, ids, doc_starts) of all shards of a folder, each as one value; for large shards see read_blocks()."""
+    parts = read_blocks(spark, path).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("start", "ids", "doc_starts"))).alias("p"))
+    return parts.select("shard", F.flatten("p.ids").alias("ids"), F.flatten("p.doc_starts").alias("doc_starts"))
 
 
 def index_json(shards: list[dict], vocab_size: int, extra: dict | None = None) -> str:

@@ -38,22 +38,42 @@ def prepare_incrementally(docs: DataFrame, state: str, id_col: str = "doc_id", t
     return spark.read.parquet(f"{state}/out")
 
 
-def follow_log(log: DataFrame, state: str, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """(*keys, value): the last value of each key; every batch folds itself into the table of the batches before."""
+def follow_log(log: DataFrame, state: str, keys: list[str], order: list[str], value: str, fan: int = 8) -> DataFrame:
+    """(*keys, value): the last value of each key.
+
+    Each batch adds a table of its own keys; `fan` tables of one level are merged into one of the next, so a row is written once a level. A batch that is
+    run again starts from the list of tables that the batch before left; what a batch replaced is deleted with the next one.
+    """
     spark = log.sparkSession
-    kept = F.struct(*order, value)
+    latest = lambda rows: rows.groupBy(*keys).agg(F.max_by("v", F.struct(*[f"v.{o}" for o in order])).alias("v"))
+    named = lambda k: f"{state}/tables-{k}"
+
+    def listed(k: int) -> list[tuple[str, int]]:
+        return [(r.name, r.level) for r in spark.read.parquet(named(k)).orderBy("ord").collect()] if k >= 0 else []
 
     def fold(df: DataFrame, k: int) -> None:
-        new = df.groupBy(*keys).agg(F.max_by(kept, F.struct(*order)).alias("v"))
-        if k:
-            old = spark.read.parquet(f"{state}/table-{k - 1}")
-            new = old.unionByName(new).groupBy(*keys).agg(F.max_by("v", F.struct(*[f"v.{o}" for o in order])).alias("v"))
-        new.write.mode("overwrite").parquet(f"{state}/table-{k}")
-        spark.createDataFrame([(k,)], "k bigint").write.mode("overwrite").parquet(f"{state}/last")
+        had = listed(k - 1)
+        new = df.groupBy(*keys).agg(F.max_by(F.struct(*order, value), F.struct(*order)).alias("v"))
+        name, level = f"{state}/table-{k}-0", 0
+        new.write.mode("overwrite").parquet(name)
+        now, made = [*had, (name, level)], [name]
+        while sum(x == level for _, x in now) >= fan:
+            merged = [n for n, x in now if x == level]
+            name, level = f"{state}/table-{k}-{level + 1}", level + 1
+            latest(spark.read.parquet(*merged)).write.mode("overwrite").parquet(name)
+            now = [(n, x) for n, x in now if n not in merged] + [(name, level)]
+            made.append(name)
+        spark.createDataFrame([(j, *t) for j, t in enumerate(now)], "ord int, name string, level int").coalesce(1).write.mode("overwrite").parquet(named(k))
+        spark.createDataFrame([(k,)], "k bigint").coalesce(1).write.mode("overwrite").parquet(f"{state}/last")
+        kept = {n for n, _ in [*had, *now]}
+        old = [named(k - 2), *[n for n, _ in listed(k - 2)]] if k >= 2 else []
+        for n in {*old, *made} - kept:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(n)
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     run_available(log, state, fold)
     k = spark.read.parquet(f"{state}/last").head()[0]
-    return spark.read.parquet(f"{state}/table-{k}").select(*keys, F.col(f"v.{value}").alias(value))
+    return latest(spark.read.parquet(*[n for n, _ in listed(k)])).select(*keys, F.col(f"v.{value}").alias(value))
 
 
 def complete_text(held: bytes) -> tuple[str, bytes]:

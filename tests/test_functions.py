@@ -130,3 +130,56 @@ def test_the_permutation_looks_shuffled():
     p = shuffle.permuted(np.arange(10_000), 10_000, 3)
     assert abs(np.corrcoef(np.arange(10_000), p)[0, 1]) < 0.05
     assert np.histogram(p[:1000], 10, (0, 10_000))[0].min() > 60
+
+
+def test_symbols_skip_the_surrogates_and_go_on(spark):
+    ids = [0, 255, 41_727, 41_728, 41_983, 41_984, 60_000, 900_000]
+    assert [bpe.symbol(bpe.char(k)) for k in ids] == ids and all(not "\ud800" <= bpe.char(k) <= "\udfff" for k in ids)
+    assert sorted(map(bpe.char, ids)) == [bpe.char(k) for k in ids]
+    a, b = bpe.char(41_728), bpe.char(60_000)
+    df = spark.createDataFrame([(f"x{a}{b}{a}{b}y",)], "symbols string")
+    got = df.select(bpe.merge(F.col("symbols"), a + b, 70_000).alias("s")).head().s
+    assert got == f"x{bpe.char(70_000) * 2}y" and bpe.pair_counts(df.selectExpr("symbols", "3L as freq")).count() == 4
+    with pytest.raises(ValueError):
+        bpe.train(spark.createDataFrame([("a", 1)], "piece string, freq bigint"), 2_000_000)
+
+
+def test_rounds_of_many_merges_equal_one_at_a_time(spark, monkeypatch):
+    from millrace.runtime import table
+
+    counts = piece_counts(table(spark, "/root/testdata/sf0.001", "documents").select("text").where("text is not null")).orderBy(F.desc("freq"), "piece").limit(700)
+    here = bpe.train(counts, 150)
+    assert here == naive_training(dict(map(tuple, counts.collect())), 150)
+    monkeypatch.setattr(bpe, "DRIVER_PIECES", 0)
+    assert bpe.train(counts, 60) == here[:60]
+    assert bpe.apart(["ab", "cd", "ef", "bg", "hi"]) == ["ab", "cd", "ef"] and bpe.apart(["aa", "ab"]) == ["aa"]
+
+
+def test_long_pieces_merge_like_short_ones():
+    rng = random.Random(2)
+    text = "".join(rng.choice("theaaer o") for _ in range(4000))
+    v = bpe.Vocabulary(MERGES, [], 300)
+    ids = list(text.encode())
+    while True:
+        known = [(v.rank[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in v.rank]
+        if not known:
+            break
+        r = min(known)[0]
+        i = 0
+        while i < len(ids) - 1:
+            if v.rank.get((ids[i], ids[i + 1]), (-1,))[0] == r:
+                ids[i : i + 2] = [v.rank[ids[i], ids[i + 1]][1]]
+            i += 1
+    assert v.encode_piece(text) == ids and len(v.encode_piece("a" * 300_000)) == 75_000
+
+
+def test_encoding_with_specials(spark):
+    text = "<|pad|>er<|endoftext|>the <|pad|>"
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "<|pad|>")], "doc_id int, text string")
+    end, pad = V.specials["<|endoftext|>"], V.specials["<|pad|>"]
+    spell = lambda s: V.encode_piece(s)
+    get = lambda allowed: {r.doc_id: r.ids for r in bpe.encode(df, V, allowed=allowed).collect()}
+    assert get("all") == {1: [pad, 256, end, *spell("the"), *spell(" "), pad], 2: [], 4: [pad]}
+    some = get({"<|endoftext|>", "<|none|>"})
+    assert some[1].count(end) == 1 and pad not in some[1] and V.decode_bytes(some[1]).decode() == text
+    assert end not in get("none")[1] and get(set())[4] == get("none")[4]

@@ -108,6 +108,20 @@ def test_mixture(spark):
     assert [r.g for r in steps.collect()] == [0, 0, 1, 2, 2]
 
 
+@pytest.mark.parametrize("rule,size", [("roll", 40), ("pack", 40), ("roll", 900), ("pack", 5000), ("roll", 100_000)])
+def test_summaries_in_levels_equal_a_loop(spark, rule, size):
+    rng = random.Random(size)
+    lengths = [rng.choice([1, 3, 9, 60] if rule == "pack" else [0, 1, 3, 9, 60]) for _ in range(1500)]
+    keys = sorted(rng.choice("aab") for _ in lengths)
+    df = spark.createDataFrame([(k, key, n) for k, (key, n) in enumerate(zip(keys, lengths))], "id bigint, key string, len bigint")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    at = positioned(df, ["key", "id"], ["len"])
+    got = {(r.key, r.ord): r.grp for r in restarting_groups(at, size, rule, "key", fan=2).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = [g for key in "ab" for g in sequential([n for k, n in zip(keys, lengths) if k == key], size, rule)]
+    assert [got[k] for k in sorted(got)] == want
+
+
 def test_shards_round_trip(spark, tmp_path):
     tokens = spark.createDataFrame([(0, 1, [1, 2, 3]), (0, 2, []), (0, 3, [4]), (1, 4, [5, 6])], "grp bigint, ord bigint, ids array<int>")
     out = str(tmp_path / "s")
@@ -303,3 +317,49 @@ def test_counts_of_a_published_size(spark):
     kinds = {"name": "string", "moe": "boolean", "tied": "boolean", "qk_norm": "boolean"}
     r = planning.parameter_counts(spark.createDataFrame([row], ", ".join(f"{c} {kinds.get(c, 'int')}" for c in cols))).head()
     assert (r.total, r.active) == (317_513_856, 304_140_288)
+
+
+def test_shards_are_read_in_blocks(spark, tmp_path):
+    docs = [(0, k, list(range(k, k + n))) for k, n in enumerate([5, 7, 1, 30, 2])] + [(1, 9, [1, 2, 3])]
+    path = str(tmp_path / "s")
+    shards.write_shards(spark.createDataFrame(docs, "grp bigint, ord bigint, ids array<int>"), path, 70_000).count()
+    (tmp_path / "s" / "shard_00001.docs").unlink()
+    flat = [x for g, _, d in docs if g == 0 for x in d]
+    for block in (4, 10, 1000):
+        got = sorted((r.shard, r.start, r.ids, r.doc_starts) for r in shards.read_blocks(spark, path, block).collect())
+        own = [r for r in got if r[0] == "shard_00000.bin"]
+        assert [x for r in own for x in r[2]] == flat and all(len(r[2]) <= block for r in own)
+        assert [x for r in own for x in r[3]] == [0, 5, 12, 13, 43] and all(r[1] <= x < r[1] + len(r[2]) for r in own for x in r[3])
+        assert [x for r in got if r[0] != "shard_00000.bin" for x in r[2]] == [1, 2, 3]
+
+
+def test_following_a_log_in_tiers(spark, tmp_path):
+    folder, state = tmp_path / "in", str(tmp_path / "state")
+    want = {}
+    for k in range(7):
+        rows = [(f"u{(k * 3 + j) % 5}", k * 10 + j, float(k + j)) for j in range(4)]
+        want |= {u: v for u, _, v in rows}
+        spark.createDataFrame(rows, "u string, t int, v double").coalesce(1).write.mode("append").parquet(str(folder / "log.parquet"))
+        got = inc.follow_log(inc.table_stream(spark, str(folder), "log"), state, ["u"], ["t"], "v", fan=2)
+        assert dict(map(tuple, got.collect())) == want
+    assert len([p for p in (tmp_path / "state").iterdir() if p.name.startswith("table-")]) <= 6
+
+
+def test_resuming_a_mixture(spark):
+    w = {"a": 0.6, "b": 0.4}
+    whole = {r.k: (r.domain, r.local_step) for r in mixture.local_steps(mixture.draws(spark, 500, w)).collect()}
+    saved = mixture.state(mixture.draws(spark, 200, w), 8)
+    rest = {r.k: (r.domain, r.local_step) for r in mixture.resumed(spark, saved, 500, w).collect()}
+    assert rest == {k: v for k, v in whole.items() if k >= 200}
+    changed = mixture.reweighted(spark, 300, [(100, {"z": 1.0}), (0, w)]).collect()
+    assert {r.domain for r in changed if r.k >= 100} == {"z"} and [r.domain for r in sorted(changed) if r.k < 100] == [whole[k][0] for k in range(100)]
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from millrace import runtime
+
+    fake = N(conf=N(get=lambda *_: None), sparkContext=N(master="yarn", applicationId="x", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isEmpty=lambda: True)))))
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(fake)
