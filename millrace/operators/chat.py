@@ -100,3 +100,16 @@ def pack(examples: DataFrame, seq_len: int, pad_id: int, order_col: str, drop_lo
 
 def pad_id(v: bpe.Vocabulary) -> int:
     return v.specials.get("<|pad|>", v.end_id())
+
+
+def missing_roles(specials: DataFrame, roles: dict[str, str] = ROLES) -> DataFrame:
+    """(role): the role tokens that a vocabulary's specials (name) lack; encode_examples() refuses such a vocabulary."""
+    need = specials.sparkSession.createDataFrame([(t,) for t in roles.values()], "role string")
+    return need.join(specials.select(F.col("name").alias("role")), "role", "left_anti")
+
+
+def batches(windows_: DataFrame, plan: DataFrame) -> DataFrame:
+    """plan (.., seq_idx) with x, y and mask of its windows (window_id, ids, mask): inputs, targets, and whether a target is trained on."""
+    n = F.size("ids") - 1
+    rows = windows_.select(F.col("window_id").alias("seq_idx"), F.slice("ids", F.lit(1), n).alias("x"), F.slice("ids", F.lit(2), n).alias("y"), F.slice("mask", F.lit(2), n).alias("mask"))
+    return plan.join(rows, "seq_idx")

@@ -99,8 +99,8 @@ def cross_entropy(logits: DataFrame, targets: DataFrame, softcap: float = 0.0, i
     return rows.agg((total(F.col("lse") - F.col("logit")) / n).alias("ce"), (total(F.col("lse") * F.col("lse")) / n).alias("zloss"), n.alias("n_tokens"))
 
 
-def distillation(student: DataFrame, teacher: DataFrame, temperature: float = 2.0, k: int = 0) -> DataFrame:
-    """(loss): mean over rows of KL(teacher || student) at a temperature, times its square; with k, over the teacher's k largest, renormalised."""
+def distillation(student: DataFrame, teacher: DataFrame, temperature: float = 2.0, k: int = 0, mask: DataFrame | None = None) -> DataFrame:
+    """(loss): mean over rows, weighted by mask (row, mask) if there is one (weights of less than 1 together count as 1), of KL(teacher || student) at a temperature, times its square; with k, over the teacher's k largest, renormalised."""
     t = max(temperature, 1e-3)
     scale = lambda rows: rows.withColumn("logit", F.col("logit") / t)
     s = scale(student)
@@ -110,7 +110,11 @@ def distillation(student: DataFrame, teacher: DataFrame, temperature: float = 2.
         q = q.withColumn("__n", F.row_number().over(_row().orderBy(F.desc("logit"), "class"))).where(F.col("__n") <= k).drop("__n")
     q = q.join(log_sum_exp(q), "row").select("row", "class", (F.col("logit") - F.col("lse")).alias("lq"))
     kl = q.join(s, ["row", "class"]).groupBy("row").agg(F.sum(F.exp("lq") * (F.col("lq") - F.col("ls"))).alias("kl"))
-    return kl.agg((F.avg("kl") * t * t).alias("loss"))
+    if mask is None:
+        return kl.agg((F.avg("kl") * t * t).alias("loss"))
+    live = kl.join(mask.select("row", "mask"), "row")
+    sums = live.agg(F.sum(F.col("kl") * F.col("mask")).alias("s"), F.sum("mask").alias("n"))
+    return sums.select((F.coalesce("s", F.lit(0.0)) / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1.0)) * t * t).alias("loss"))
 
 
 def routed(logits: DataFrame, k: int, bias: DataFrame | None = None) -> DataFrame:
@@ -164,3 +168,23 @@ def norms(values: DataFrame, group: str, value: str) -> DataFrame:
 def acceptance(accepted: Column, proposed: Column) -> Column:
     """Share of accepted proposals, of at least one."""
     return accepted / F.greatest(proposed, F.lit(1))
+
+
+def speculated(proposals: DataFrame) -> DataFrame:
+    """(seq, proposed, accepted) of draft tokens (seq, pos, p_target, p_draft, u), u being uniform in [0, 1).
+
+    A token is kept with probability min(1, p_target / p_draft), or where the draft gave it none; the first one refused ends its sequence, and
+    those after it were never looked at.
+    """
+    kept = (F.col("p_draft") <= 0) | (F.col("u") < F.least(F.lit(1.0), F.col("p_target") / F.col("p_draft")))
+    first = proposals.groupBy("seq").agg(F.min(F.when(~kept, F.col("pos"))).alias("stop"))
+    seen = proposals.join(first, "seq").where(F.col("stop").isNull() | (F.col("pos") <= F.col("stop")))
+    return seen.groupBy("seq").agg(F.count("*").alias("proposed"), F.sum((F.col("stop").isNull() | (F.col("pos") < F.col("stop"))).cast("bigint")).alias("accepted"))
+
+
+def residual(target: DataFrame, draft: DataFrame) -> DataFrame:
+    """(row, class, p): what a refused token is drawn from: the target's excess over the draft (row, class, p), or the target where it has none."""
+    both = target.join(draft.select("row", "class", F.col("p").alias("q")), ["row", "class"], "left")
+    rows = both.withColumn("over", F.greatest(F.col("p") - F.coalesce("q", F.lit(0.0)), F.lit(0.0)))
+    rows = rows.withColumn("w", F.when(F.sum("over").over(_row()) > 0, F.col("over")).otherwise(F.col("p")))
+    return rows.select("row", "class", (F.col("w") / F.sum("w").over(_row())).alias("p"))

@@ -73,6 +73,32 @@ def batch_plan(spark: SparkSession, n_sequences: int, steps: range, batch: int,
                     permute_epochs(place, F.col("epoch"), n_sequences, seed).alias("seq_idx"))
 
 
+def tokens_seen(step: Column, per_step: int, length: int) -> Column:
+    """Tokens that all ranks have been given when a 0-based step is done."""
+    return (step + 1) * per_step * length
+
+
+def states(plan: DataFrame, per_step: int, length: int, n_sequences: int, seed: int, workers: int = 1) -> DataFrame:
+    """(step, epoch, cursor, tokens_seen, seed, per_step, seq_len, n_sequences, exact) after each step of a batch_plan().
+
+    With more than one worker in flight the cursor is only as far as has been asked for, which is what exact says.
+    """
+    done = plan.select("step", "epoch", (F.col("cursor") + per_step).alias("cursor")).distinct()
+    fixed = {"seed": seed, "per_step": per_step, "seq_len": length, "n_sequences": n_sequences, "exact": workers <= 1}
+    return done.select("step", "epoch", "cursor", tokens_seen(F.col("step"), per_step, length).alias("tokens_seen"), *[F.lit(v).alias(k) for k, v in fixed.items()])
+
+
+def restored(saved: DataFrame, seed: int, n_sequences: int, per_step: int, strict: bool = False) -> DataFrame:
+    """saved states with the cursor taken down to the start of a step of this job.
+
+    Another seed is an error, as the order would be another; so is, if strict, another number of sequences. A null seed or number agrees with any.
+    """
+    wrong = F.when(F.col("seed") != seed, F.raise_error(F.concat(F.lit(f"the state has another seed than {seed}: "), F.col("seed").cast("string"))).cast("bigint"))
+    if strict:
+        wrong = wrong.when(F.col("n_sequences") != n_sequences, F.raise_error(F.concat(F.lit(f"the data have {n_sequences} sequences, the state "), F.col("n_sequences").cast("string"))).cast("bigint"))
+    return saved.withColumn("cursor", wrong.otherwise(aligned_cursor(F.col("cursor"), per_step)))
+
+
 def aligned_cursor(cursor: Column, per_step: int) -> Column:
     """A restored cursor goes down to the start of a step."""
     return cursor - cursor % per_step

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import bpe
-from millrace.operators import chat
+from millrace.operators import chat, windows
 from millrace.plans.registry import query
-from millrace.runtime import new_path, table
+from millrace.runtime import cut, new_path, table
 
 SPECIALS = ["<|endoftext|>", "<|pad|>", "<|system|>", "<|user|>", "<|assistant|>"]
 VOCAB = bpe.Vocabulary([], SPECIALS)
@@ -57,9 +57,8 @@ def sft_3(spark, d):
 @query("sft_4", "SELECT r AS role FROM (VALUES ('<|tool|>'), ('<|user|>')) AS v(r) WHERE r NOT IN (SELECT decode(token_bytes) FROM vocab WHERE is_special)")
 def sft_4(spark, d):
     """Role tokens that the vocabulary lacks."""
-    need = spark.createDataFrame([("<|tool|>",), ("<|user|>",)], "role string")
-    have = table(spark, d, "vocab").where("is_special").select(F.decode("token_bytes", "UTF-8").alias("role"))
-    return need.join(have, "role", "left_anti")
+    have = table(spark, d, "vocab").where("is_special").select(F.decode("token_bytes", "UTF-8").alias("name"))
+    return chat.missing_roles(have, {"tool": "<|tool|>", "user": "<|user|>"})
 
 
 SEQ = 512
@@ -95,6 +94,18 @@ def sft_7(spark, d):
     return packed(spark, d).select("window_id", F.aggregate(shifted, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("y_trainable"))
 
 
+@query("sft_7_batches")
+def sft_7_batches(spark, d):
+    """Two epochs of batches of 4 on 2 ranks over all packed windows: (step, rank, slot, seq_idx, x_sum, y_trained)."""
+    packed_rows = cut(packed(spark, d))
+    n = packed_rows.count()
+    plan = windows.batch_plan(spark, n, range(2 * (n // 8)), 4, 2, 1337)
+    got = chat.batches(packed_rows, plan)
+    total = F.expr("aggregate(x, 0L, (a, t) -> a + t)")
+    trained = F.expr("aggregate(zip_with(y, mask, (t, m) -> bigint(t) * m), 0L, (a, t) -> a + t)")
+    return got.select("step", "rank", "slot", "seq_idx", total.alias("x_sum"), trained.alias("y_trained"))
+
+
 @query("sft_8", "SELECT coalesce(max(CASE WHEN decode(token_bytes) = '<|pad|>' THEN token_id END), max(CASE WHEN decode(token_bytes) = '<|endoftext|>' THEN token_id END))::INT AS pad_id FROM vocab WHERE is_special")
 def sft_8(spark, d):
     s = table(spark, d, "vocab").where("is_special").select("token_id", F.decode("token_bytes", "UTF-8").alias("name"))

@@ -109,6 +109,15 @@ def loss_2(spark, d):
     return tensors.distillation(x, x.withColumn("row", F.col("row") - 1), 2.0, 8).select(F.round("loss", 6).alias("loss"))
 
 
+@query("loss_2_masked", f"""WITH {_X}, s0 AS (SELECT row, class, logit / 3 AS z FROM x), s AS (SELECT row, class, z - ln(sum(exp(z)) OVER (PARTITION BY row)) AS ls FROM s0),
+q AS (SELECT row - 1 AS row, class, ls AS lq FROM s), k AS (SELECT row, sum(exp(lq) * (lq - ls)) AS kl FROM q JOIN s USING (row, class) GROUP BY row) SELECT round(sum(kl * (row % 2)) / greatest(sum(row % 2), 1) * 9, 6) AS loss FROM k""")
+def loss_2_masked(spark, d):
+    """Distillation over whole distributions, in which every other row is masked out."""
+    x = logits(spark, d)
+    mask = x.select("row").distinct().withColumn("mask", F.col("row") % 2)
+    return tensors.distillation(x, x.withColumn("row", F.col("row") - 1), 3.0, 0, mask).select(F.round("loss", 6).alias("loss"))
+
+
 _RT = f"{_X}, sc AS (SELECT row, class, logit, 1 / (1 + exp(-logit)) AS s FROM x), rt0 AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY row ORDER BY s + class * 0.001 DESC, class) <= 4), rt AS (SELECT row, class, s / greatest(sum(s) OVER (PARTITION BY row), 1e-9) AS weight FROM rt0)"
 
 
@@ -162,3 +171,23 @@ def stat_1(spark, d):
 def spec_1(spark, d):
     by = evaluation.valid_scores(table(spark, d, "eval_scores")).groupBy("run").agg(F.sum(F.col("is_greedy").cast("int")).alias("a"), F.count("*").alias("n"))
     return by.select("run", F.round(tensors.acceptance(F.col("a"), F.col("n")), 6).alias("rate"))
+
+
+_PROP = "pr AS (SELECT DISTINCT run || '/' || item_id AS seq, choice_index AS pos, exp(least(logprob, 0) / greatest(n_tokens, 1)) AS pt, 1.0::DOUBLE / (2 + choice_index) AS pd, ((item_id * 37 + choice_index * 17) % 100) / 100 AS u FROM eval_scores WHERE run IS NOT NULL AND logprob IS NOT NULL AND NOT isnan(logprob))"
+
+
+@query("spec_1_rule", f"WITH {_PROP}, j AS (SELECT *, NOT (pd <= 0 OR u < least(1.0, pt / pd)) AS refused FROM pr), s AS (SELECT seq, min(pos) FILTER (refused) AS stop FROM j GROUP BY seq) SELECT j.seq, count(*) AS proposed, sum((stop IS NULL OR pos < stop)::BIGINT)::BIGINT AS accepted FROM j JOIN s ON j.seq = s.seq WHERE stop IS NULL OR pos <= stop GROUP BY j.seq")
+def spec_1_rule(spark, d):
+    """Scored choices taken as drafts of a sequence a run and item."""
+    v = evaluation.valid_scores(table(spark, d, "eval_scores"))
+    rows = v.select(F.concat("run", F.lit("/"), "item_id").alias("seq"), F.col("choice_index").alias("pos"), F.exp(F.least("logprob", F.lit(0.0)) / F.greatest("n_tokens", F.lit(1))).alias("p_target"),
+                    (1 / (2 + F.col("choice_index"))).alias("p_draft"), ((F.col("item_id") * 37 + F.col("choice_index") * 17) % 100 / 100).alias("u"))
+    return tensors.speculated(rows)
+
+
+@query("spec_1_residual", f"WITH {_X}, p AS (SELECT row, class, exp(logit) / sum(exp(logit)) OVER (PARTITION BY row) AS p FROM x), b AS (SELECT p.row, p.class, p.p, greatest(p.p - coalesce(q.p, 0), 0) AS o FROM p LEFT JOIN p AS q ON q.row = p.row + 1 AND q.class = p.class), w AS (SELECT row, class, CASE WHEN sum(o) OVER (PARTITION BY row) > 0 THEN o ELSE p END AS w FROM b) SELECT row, class, round(w / sum(w) OVER (PARTITION BY row), 6) AS p FROM w")
+def spec_1_residual(spark, d):
+    """Each row's distribution as the target, the next row's as the draft."""
+    x = logits(spark, d)
+    p = x.join(tensors.log_sum_exp(x), "row").select("row", "class", F.exp(F.col("logit") - F.col("lse")).alias("p"))
+    return tensors.residual(p, p.withColumn("row", F.col("row") - 1)).withColumn("p", F.round("p", 6))

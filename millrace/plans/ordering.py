@@ -8,7 +8,7 @@ from millrace.functions import shuffle
 from millrace.operators import mixture, windows
 from millrace.plans import corpus
 from millrace.plans.registry import query
-from millrace.runtime import table
+from millrace.runtime import cut, table
 
 _M64 = "18446744073709551616::UHUGEINT"
 _MUL = f"((({{a}})::UHUGEINT * ({{b}})::UHUGEINT) % {_M64})::UBIGINT"
@@ -80,12 +80,14 @@ def load_2(spark, d):
 
 @query("load_5", "SELECT s AS step, (s + 1) * 8 * 512 AS tokens_seen FROM range(50) AS t(s)")
 def load_5(spark, d):
-    return spark.range(50).select(F.col("id").alias("step"), ((F.col("id") + 1) * 8 * 512).alias("tokens_seen"))
+    return spark.range(50).select(F.col("id").alias("step"), windows.tokens_seen(F.col("id"), 8, 512).alias("tokens_seen"))
 
 
 @query("load_7", "SELECT message_id, (message_id // 8) * 8 AS cursor FROM messages WHERE message_id >= 0")
 def load_7(spark, d):
-    return table(spark, d, "messages").select("message_id", windows.aligned_cursor(F.col("message_id"), 8).alias("cursor"))
+    """States of loaders with other cursors, restored in a job of 8 a step."""
+    saved = table(spark, d, "messages").where("message_id >= 0").select("message_id", F.col("message_id").alias("cursor"), F.when(F.col("message_id") % 2 == 0, 1337).alias("seed"), F.lit(127).alias("n_sequences"))
+    return windows.restored(saved, 1337, 127, 8, strict=True).select("message_id", "cursor")
 
 
 @query("load_8", "SELECT n, (n * 8) // 127 AS epochs, (n * 8) % 127 AS cursor FROM range(60) AS t(n)")
@@ -158,8 +160,8 @@ def load_3(spark, d):
 @query("load_6", "SELECT s AS step, s // 15 AS epoch, ((s % 15) + 1) * 8 AS cursor, (s + 1) * 4096 AS tokens_seen, 1337::INT AS seed, true AS exact FROM range(50) AS t(s)")
 def load_6(spark, d):
     """The state after each step, with one worker."""
-    done = windows.batch_plan(spark, 127, range(50), 4, 2, 1337).select("step", "epoch", (F.col("cursor") + 8).alias("cursor")).distinct()
-    return done.select("step", "epoch", "cursor", ((F.col("step") + 1) * 8 * 512).alias("tokens_seen"), F.lit(1337).alias("seed"), F.lit(True).alias("exact"))
+    after = windows.states(windows.batch_plan(spark, 127, range(50), 4, 2, 1337), 8, 512, 127, 1337)
+    return after.select("step", "epoch", "cursor", "tokens_seen", "seed", "exact")
 
 
 LATER = {"code_repos": 0.8, "web_crawl": 0.2}
@@ -168,16 +170,20 @@ LATER = {"code_repos": 0.8, "web_crawl": 0.2}
 @query("mix_6", f"WITH {_DRAW}, dl AS (SELECT k, CASE WHEN u < 0.8 THEN 'code_repos' ELSE 'web_crawl' END AS domain FROM u) SELECT k, CASE WHEN k < 14000 THEN dr.domain ELSE dl.domain END AS domain FROM dr JOIN dl USING (k)")
 def mix_6(spark, d):
     """Other weights from draw 14,000 on."""
-    k = F.col("id")
-    stage = mixture.stage_of(k / 20_000, [0.7, 1.0])
-    return spark.range(20_000).select(k.alias("k"), F.when(stage == 0, mixture.domain_of(k, WEIGHTS)).otherwise(mixture.domain_of(k, LATER)).alias("domain"))
+    return mixture.reweighted(spark, 20_000, [(0, WEIGHTS), (14_000, LATER)])
 
 
 @query("mix_8", f"WITH {_DRAW} SELECT domain, count(*) AS batches, (count(*) * 4096)::BIGINT AS tokens_seen, max(k) AS last_draw FROM dr GROUP BY domain")
 def mix_8(spark, d):
     """The state of each domain's loader after all draws."""
-    by = mixture.draws(spark, 20_000, WEIGHTS).groupBy("domain")
-    return by.agg(F.count("*").alias("batches"), (F.count("*") * 4096).alias("tokens_seen"), F.max("k").alias("last_draw"))
+    return mixture.state(mixture.draws(spark, 20_000, WEIGHTS), 4096)
+
+
+@query("mix_8_resumed", f"WITH {_DRAW}, l AS (SELECT k, domain, row_number() OVER (PARTITION BY domain ORDER BY k) - 1 AS local_step FROM dr) SELECT k, domain, local_step FROM l WHERE k > (SELECT max(k) FROM dr WHERE k < 9000 AND domain IS NOT NULL)")
+def mix_8_resumed(spark, d):
+    """The draws after a state saved at draw 9,000, as if there had been no stop."""
+    saved = cut(mixture.state(mixture.draws(spark, 9_000, WEIGHTS), 4096))
+    return mixture.resumed(spark, saved, 20_000, WEIGHTS)
 
 
 _W3 = corpus._STREAM + f", w AS (SELECT pos // {corpus.L} AS seq_idx, pos, tok FROM toks UNION ALL SELECT pos // {corpus.L} - 1, pos, tok FROM toks WHERE pos % {corpus.L} = 0 AND pos > 0), w3 AS (SELECT seq_idx, arg_min(tok, pos) AS first, sum(tok)::BIGINT AS id_sum FROM w GROUP BY seq_idx HAVING count(*) = {corpus.L + 1})"
@@ -244,9 +250,8 @@ def load_4_all(spark, d):
 
 @query("load_6_all")
 def load_6_all(spark, d):
-    per = BATCH * WORLD
-    done = whole_plan(spark, d).select("step", "epoch", (F.col("cursor") + per).alias("cursor")).distinct()
-    return done.select("step", "epoch", "cursor", ((F.col("step") + 1) * per * corpus.L).alias("tokens_seen"), F.lit(BASE_SEED).alias("seed"), F.lit(True).alias("exact"))
+    after = windows.states(whole_plan(spark, d), BATCH * WORLD, corpus.L, corpus_windows(spark, d), BASE_SEED)
+    return after.select("step", "epoch", "cursor", "tokens_seen", "seed", "exact")
 
 
 @query("win_5_all")

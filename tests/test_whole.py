@@ -112,3 +112,17 @@ def test_a_long_json_text_is_read_whole(spark, tmp_path):
     rows = [(3, " " + long), (4, long), (6, " " + long[:-1])]
     spark.createDataFrame(rows, "event_id bigint, props string").write.parquet(str(tmp_path / "events.parquet"))
     assert dict(map(tuple, QUERIES["src_22"](spark, str(tmp_path)).collect())) == {3: True, 4: True, 6: False}
+
+
+def test_conversation_batches_equal_a_loop(spark, folder="/root/testdata/sf0.001"):
+    from millrace.plans import chat as queries
+
+    rows = {r.window_id: (r.ids, r.mask) for r in queries.packed(spark, folder).collect()}
+    n = len(rows)
+    got = {(r.step, r.rank, r.slot): (r.seq_idx, r.x_sum, r.y_trained) for r in queries.sft_7_batches(spark, folder).collect()}
+    assert len(got) == 2 * (n // 8) * 8
+    for (step, rank, slot), have in got.items():
+        epoch, at = divmod(step, n // 8)
+        k = int(shuffle.permuted([at * 8 + rank * 4 + slot], n, shuffle.epoch_seed(1337, epoch))[0])
+        ids, mask = rows[k]
+        assert have == (k, sum(ids[:-1]), sum(t * m for t, m in zip(ids[1:], mask[1:])))
