@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import checkpoints as ck
 from millrace.operators import planning, settings, telemetry
 from millrace.plans.registry import query
-from millrace.runtime import table
+from millrace.runtime import cut, small, table
 
 _LOG = "lg AS (SELECT event_type AS run, event_id, ts, value, user_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS step, epoch_us(ts) AS us FROM events)"
 _DT = f"{_LOG}, dt AS (SELECT *, us - lag(us) OVER (PARTITION BY run ORDER BY step) AS dt FROM lg)"
@@ -245,7 +245,7 @@ def plan_2(spark, d):
     """Median of the last 200 step times, with the cost of an evaluation every 50 steps."""
     rows = timed(spark, d)
     last = rows.groupBy("run").agg(F.max("step").alias("last"))
-    return rows.join(F.broadcast(last), "run").where("step > last - 200").groupBy("run").agg(F.round(F.median("dt") / 1e6 + 12.5 / 50, 6).alias("per_step"))
+    return rows.join(small(cut(last)), "run").where("step > last - 200").groupBy("run").agg(F.round(F.median("dt") / 1e6 + 12.5 / 50, 6).alias("per_step"))
 
 
 @query("plan_3", "SELECT o_orderkey, greatest(1, round_even(524288 / ((o_custkey + 1) * 1024), 0))::BIGINT AS accum FROM orders")

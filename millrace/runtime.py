@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import io
 import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,3 +119,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     df should already be materialised (see cut), as the count runs it.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def some_files(df: DataFrame, most: int = 64) -> DataFrame:
+    """The rows of at most so many of the files that df reads, the same ones in every run; df itself if it has no more, or isn't a plain scan.
+
+    For samples that models are fitted on, so that they don't cost a scan of the whole table.
+    """
+    files = df.inputFiles()
+    if len(files) <= most:
+        return df
+    names = {unquote(f).rsplit("/", 1)[-1] for f in files}
+    picked = sorted(names, key=lambda f: hashlib.md5(f.encode()).digest())[:most]
+    try:
+        return df.where(F.col("_metadata.file_name").isin(picked))
+    except AnalysisException:
+        return df

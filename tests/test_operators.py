@@ -363,3 +363,16 @@ def test_no_folder_of_one_machine_on_a_cluster():
     fake = N(conf=N(get=lambda *_: None), sparkContext=N(master="yarn", applicationId="x", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isEmpty=lambda: True)))))
     with pytest.raises(RuntimeError):
         runtime.shared_dir(fake)
+
+
+def test_samples_read_some_files_only(spark, tmp_path):
+    from millrace.runtime import some_files
+
+    path = str(tmp_path / "t")
+    spark.range(0, 1000, 1, 12).write.parquet(path)
+    df = spark.read.parquet(path)
+    few = some_files(df, 3)
+    assert 0 < few.count() < 500 and sorted(few.collect()) == sorted(some_files(df, 3).collect())
+    assert some_files(df, 12).count() == 1000 and some_files(df.groupBy("id").count(), 3).count() == 1000
+    scan = few._jdf.queryExecution().executedPlan().toString()
+    assert "file_name" in scan
