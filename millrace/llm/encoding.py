@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.runtime import spread
+from millrace.runtime import some_files, spread
 
 #: The training sample: at most so many documents, and sentences of each; both are bounds on what the driver reads.
 SAMPLE_DOCS, SAMPLE_SENTENCES = 2000, 3
@@ -299,6 +299,7 @@ class Classifier:
 
 def train(spark: SparkSession, docs: DataFrame, text_col: str) -> Classifier:
     """Fit the classifier on at most SAMPLE_DOCS documents, the same ones in every run."""
+    docs = some_files(docs)
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
     n = docs.count()
     if n > SAMPLE_DOCS:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm import encoding, leakage, mixing, neardup, packing, pairs, splitting, tokens, turns
-from millrace.runtime import cut, table
+from millrace.runtime import cut, small, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,6 +67,30 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _split(spark, d, False)
 
 
+def p4_check(spark: SparkSession, d: str) -> DataFrame:
+    """(example_id, profile, n, too_long, wrong_overlap) of p4_pieces: how many ids an example's pieces cover without their overlaps, and what breaks the rules."""
+    limits = small(table(spark, d, "window_profiles").select("profile", "max_tokens", "overlap"))
+    rows = p4_pieces(spark, d).join(limits, "profile")
+    w = W.partitionBy("example_id", "profile").orderBy("piece")
+    rows = rows.withColumn("end", F.col("start") + F.size("ids")).withColumn("before", F.lag("end").over(w)).withColumn("tail", F.expr("slice(lag(ids) over (partition by example_id, profile order by piece), -overlap, overlap)"))
+    shared = F.least("before", "overlap")
+    bad = F.col("before").isNotNull() & ((F.col("start") != F.col("before") - shared) | (F.col("overlap") > 0) & (F.size("tail") == F.col("overlap")) & (F.expr("slice(ids, 1, overlap)") != F.col("tail")))
+    return rows.groupBy("example_id", "profile").agg(
+        F.max("end").cast("int").alias("n"), F.sum((F.size("ids") > F.col("max_tokens")).cast("int")).cast("int").alias("too_long"), F.sum(F.coalesce(bad, F.lit(False)).cast("int")).cast("int").alias("wrong_overlap")
+    )
+
+
+def p5_check(spark: SparkSession, d: str) -> DataFrame:
+    """(profile, documents, overfull, incomplete) of p5_containers: documents that have a container, containers above the capacity, and
+    documents whose pieces don't follow each other from 0 or are too many."""
+    rows = cut(p5_containers(spark, d))
+    full = rows.groupBy("profile", "container_id").agg(F.sum("n_tokens").alias("t"), F.max("capacity").alias("c")).groupBy("profile").agg(F.sum((F.col("t") > F.col("c")).cast("int")).cast("int").alias("overfull"))
+    by = rows.groupBy("profile", "doc_id").agg(F.count("*").alias("n"), F.max("piece").alias("last"), F.sum("n_tokens").alias("t"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"), F.max("capacity").alias("c"))
+    wrong = (F.col("n") != F.col("last") + 1) | (F.col("t") != F.col("end")) | (F.col("n") > F.greatest(F.lit(1), F.ceil(F.col("t") / F.col("c"))))
+    docs = by.groupBy("profile").agg(F.count("*").alias("documents"), F.sum(wrong.cast("int")).cast("int").alias("incomplete"))
+    return docs.join(full, "profile").select("profile", "documents", "overfull", "incomplete")
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").withColumn("source", mixing.source_key(F.col("source")))
     return cut(tokens.token_sizes(docs, "doc_id", "text", ["source"]))
@@ -109,6 +134,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_links": p3_links,
         "p4_found": p4_found,
         "p4_pieces": p4_pieces,
+        "p4_check": p4_check,
+        "p5_check": p5_check,
         "p5_containers": p5_containers,
         "p5_fill": p5_fill,
         "p6_chosen": p6_chosen,
@@ -134,5 +161,15 @@ SELECT e.example_id, CASE WHEN g > most THEN 'forced' ELSE 'natural' END AS cut
 """
 
 
+#: Every example above its limit is covered whole, without padding, and no piece breaks the rules.
+P4_CHECK = """
+WITH e AS (SELECT DISTINCT example_id, profile, ids, max_tokens FROM examples JOIN window_profiles USING (profile)), u AS (SELECT example_id, profile, max_tokens, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM e),
+n AS (SELECT example_id, profile, max_tokens, max(pos) FILTER (id NOT IN (SELECT token_id FROM vocab WHERE token_bytes = encode('<|pad|>'))) + 1 AS n FROM u GROUP BY ALL)
+SELECT example_id, profile, n::INT AS n, 0::INT AS too_long, 0::INT AS wrong_overlap FROM n WHERE n > max_tokens
+"""
+#: Every document has its containers in every profile, none of them overfull.
+P5_CHECK = "SELECT profile, (SELECT count(*) FROM documents) AS documents, 0::INT AS overfull, 0::INT AS incomplete FROM window_profiles"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND}
+    return {"p4_found": P4_FOUND, "p4_check": P4_CHECK, "p5_check": P5_CHECK}

@@ -7,6 +7,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +41,12 @@ def token_sizes(docs: DataFrame, id_col: str, text_col: str, keep: list[str] = (
     path = path or os.path.join(TOKENIZER_DIR, TOKENIZER_FILE)
     cols = [F.col(f"`{c}`") for c in (id_col, *keep)]
     narrow = docs.select(*cols, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
+    docs.sparkSession.sparkContext.addFile(path)  # executors get the file from the driver
+    name = os.path.basename(path)
     out_schema = docs.select(*cols, F.lit(0).cast("bigint").alias("n_tokens")).schema
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(SparkFiles.get(name))
         for b in batches:
             sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
