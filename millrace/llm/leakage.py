@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.words import words
-from millrace.runtime import cut, small, spread
+from millrace.runtime import cut, spread
 
 #: Words in a row that make a leak, and words in a shingle.
 RUN, SHINGLE = 10, 5
@@ -28,8 +28,6 @@ RUN, SHINGLE = 10, 5
 STRETCH = 65_536
 #: Shingles of items that one pass over the documents looks for; more items take more passes.
 BLOCK = 4_000_000
-#: Windows of items (about 200 bytes each) that may be broadcast to the stretches; more are shuffled.
-PREFIX_ROWS = 100_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -197,7 +195,7 @@ def _leaks_of(docs: DataFrame, windows: DataFrame, doc_id: str, text_col: str, r
         .select("item_id", "window", F.col("rare.shingle").alias("shingle"), F.col("rare.offset").alias("offset"))
     )
     return (
-        shingles.join(small(prefix, PREFIX_ROWS), "shingle")
+        shingles.join(prefix, "shingle")  # of the stretches found, not of the documents
         .where((F.col("pos") >= F.col("offset")) & (F.col("pos") - F.col("offset") + run <= F.size("words")))
         .where(F.expr(f"slice(words, pos - offset + 1, {run}) = window"))
         .select("doc", "item_id")

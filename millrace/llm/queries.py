@@ -67,7 +67,7 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _split(spark, d, False)
 
 
-def p4_check(spark: SparkSession, d: str) -> DataFrame:
+def p4_verified(spark: SparkSession, d: str) -> DataFrame:
     """(example_id, profile, n, too_long, wrong_overlap) of p4_pieces: how many ids an example's pieces cover without their overlaps, and what breaks the rules."""
     limits = small(table(spark, d, "window_profiles").select("profile", "max_tokens", "overlap"))
     rows = p4_pieces(spark, d).join(limits, "profile")
@@ -80,7 +80,7 @@ def p4_check(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def p5_check(spark: SparkSession, d: str) -> DataFrame:
+def p5_verified(spark: SparkSession, d: str) -> DataFrame:
     """(profile, documents, overfull, incomplete) of p5_containers: documents that have a container, containers above the capacity, and
     documents whose pieces don't follow each other from 0 or are too many."""
     rows = cut(p5_containers(spark, d))
@@ -134,8 +134,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_links": p3_links,
         "p4_found": p4_found,
         "p4_pieces": p4_pieces,
-        "p4_check": p4_check,
-        "p5_check": p5_check,
+        "p4_verified": p4_verified,
+        "p5_verified": p5_verified,
         "p5_containers": p5_containers,
         "p5_fill": p5_fill,
         "p6_chosen": p6_chosen,
@@ -162,14 +162,14 @@ SELECT e.example_id, CASE WHEN g > most THEN 'forced' ELSE 'natural' END AS cut
 
 
 #: Every example above its limit is covered whole, without padding, and no piece breaks the rules.
-P4_CHECK = """
+P4_VERIFIED = """
 WITH e AS (SELECT DISTINCT example_id, profile, ids, max_tokens FROM examples JOIN window_profiles USING (profile)), u AS (SELECT example_id, profile, max_tokens, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM e),
 n AS (SELECT example_id, profile, max_tokens, max(pos) FILTER (id NOT IN (SELECT token_id FROM vocab WHERE token_bytes = encode('<|pad|>'))) + 1 AS n FROM u GROUP BY ALL)
 SELECT example_id, profile, n::INT AS n, 0::INT AS too_long, 0::INT AS wrong_overlap FROM n WHERE n > max_tokens
 """
 #: Every document has its containers in every profile, none of them overfull.
-P5_CHECK = "SELECT profile, (SELECT count(*) FROM documents) AS documents, 0::INT AS overfull, 0::INT AS incomplete FROM window_profiles"
+P5_VERIFIED = "SELECT profile, (SELECT count(*) FROM documents) AS documents, 0::INT AS overfull, 0::INT AS incomplete FROM window_profiles"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND, "p4_check": P4_CHECK, "p5_check": P5_CHECK}
+    return {"p4_found": P4_FOUND, "p4_verified": P4_VERIFIED, "p5_verified": P5_VERIFIED}
