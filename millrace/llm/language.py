@@ -2,52 +2,69 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.runtime import some_files
+from millrace.llm.counts import chunks, summed
+from millrace.runtime import cut, spread
 
-#: The training sample: at most so many labelled documents, texts above LONGEST characters left out.
-SAMPLE_DOCS, LONGEST = 3000, 20_000
 #: Hashed byte trigrams, and the smoothing of their counts.
 BITS, ALPHA = 16, 0.1
-ASIDE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|“[^”]*”|\"[^\"\n]*\"|«[^»]*»|[\w.-]*[_/@][\w./@-]*|[^\W\d]*\d[\w.,%-]*", re.S)
+#: A label that fewer documents have is no language, unless all are as rare.
+RARE = 3
+#: In the syntax of RE2, as it is applied to whole batches.
+ASIDE = r"(?s)```.*?(?:```|\z)|`[^`\n]*`|“[^”]*”|\"[^\"\n]*\"|«[^»]*»|[\pL\pN_.-]*[_/@][\pL\pN_./@-]*|[\pL\p{Nl}\p{No}_]*\p{Nd}[\pL\pN_.,%-]*"
 
 
-def prose(text: str) -> str:
-    """Lower-cased text without code, quotations, identifiers and numbers."""
-    return ASIDE.sub(" ", text).lower()
+def plain(texts: list[str]) -> list[str]:
+    """Texts without code, quotations, identifiers and numbers."""
+    return pc.replace_substring_regex(pa.array(texts, pa.string()), ASIDE, " ").to_pylist()
+
+
+def prose(texts: list[str]) -> list[str]:
+    """The same in lower case."""
+    return [t.lower() for t in plain(texts)]
 
 
 class LanguageModel:
-    """log P(trigram | language); texts and their labels come from the sample, wrong labels are left out in a second fit."""
+    """log P(trigram | language), from labelled texts; those with wrong labels are left out in a second fit."""
 
-    def __init__(self, sample: list[tuple[str, str]]):
+    def __init__(self, sample: list[tuple[str, str]] = ()):
         self.names = sorted({lang for lang, _ in sample}) or ["und"]
-        texts = [prose(t) for _, t in sample]
+        texts = prose([t for _, t in sample])
         at = np.array([self.names.index(lang) for lang, _ in sample], np.int64)
-        self.log = self._fit(texts, at)
+        self.fit(self.count(texts, at))
         if texts:
-            said = self.scores(texts).argmax(axis=1)
-            keep = said == at
-            kept = [k for k in range(len(self.names)) if (at[keep] == k).sum() >= 1]
+            self.refit(self.count(texts, at, right=True))
+
+    def count(self, texts: list[str], at: np.ndarray, right: bool = False) -> np.ndarray:
+        """How often each language has each trigram in the texts, of which at[k] is the language; right: of the texts alone that the model finds in it."""
+        out = np.zeros((len(self.names), 1 << BITS), np.int64)
+        for lo, hi in chunks(texts):
+            ok = self.scores(texts[lo:hi]).argmax(axis=1) == at[lo:hi] if right else np.ones(hi - lo, bool)
+            for k in np.unique(at[lo:hi][ok]).tolist():
+                own = [t for t, a, x in zip(texts[lo:hi], at[lo:hi].tolist(), ok.tolist()) if x and a == k]
+                out[k] += np.bincount(self._grams(own)[0], minlength=1 << BITS)
+        return out
+
+    def refit(self, counts: np.ndarray) -> None:
+        """Fit to the counts; languages without any are dropped."""
+        kept = np.flatnonzero(counts.any(axis=1)).tolist()
+        if kept:
             self.names = [self.names[k] for k in kept]
-            number = {k: i for i, k in enumerate(kept)}
-            self.log = self._fit([t for t, ok in zip(texts, keep) if ok], np.array([number[k] for k in at[keep]], np.int64))
-
-    def _fit(self, texts: list[str], at: np.ndarray) -> np.ndarray:
-        counts = np.full((len(self.names), 1 << BITS), ALPHA)
-        for k in range(len(self.names)):
-            own = [t for t, a in zip(texts, at) if a == k]
-            if own:
-                counts[k] += np.bincount(self._grams(own)[0], minlength=1 << BITS)
+            self.fit(counts[kept])
+
+    def fit(self, counts: np.ndarray) -> None:
+        counts = counts + ALPHA
         counts[:, self._blank()] = 0
         log = np.log((counts + 1e-9) / counts.sum(axis=1, keepdims=True)).astype(np.float32)
         log[:, self._blank()] = 0  # blanks say nothing
-        return log
+        self.log = log
 
     @staticmethod
     def _hash(a, b, c):
@@ -72,16 +89,10 @@ class LanguageModel:
     def scores(self, texts: list[str]) -> np.ndarray:
         """Log-likelihood of each text (as prose() gives it) in each language."""
         out = np.zeros((len(texts), len(self.names)), np.float32)
-        lo = 0
-        while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size < 1_000_000):
-                size += len(texts[hi])
-                hi += 1
+        for lo, hi in chunks(texts):
             grams, starts = self._grams(texts[lo:hi])
             for k in range(len(self.names)):
                 out[lo:hi, k] = np.add.reduceat(self.log[k][grams], starts)
-            lo = hi
         return out
 
 
@@ -92,13 +103,32 @@ def language_key(c):
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fit on at most SAMPLE_DOCS documents with a language tag, the same ones in every run."""
-    docs = some_files(docs)
-    rows = docs.select(language_key(F.col(f"`{lang_col}`")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.where(f"lang is not null and length(text) between 40 and {LONGEST}")
-    n = docs.count()
-    if n > SAMPLE_DOCS:
-        rows = rows.where(F.expr(f"pmod(xxhash64(text), 1000000) < {max(1, int(1e6 * SAMPLE_DOCS / n))}"))
-    sample = sorted((r[0], r[1]) for r in rows.limit(SAMPLE_DOCS).collect())
-    often = {lang: sum(1 for x, _ in sample if x == lang) for lang, _ in sample}
-    return LanguageModel([x for x in sample if often[x[0]] >= 3] or sample)
+    """Fit on all documents with a language tag."""
+
+    def bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prose(b.column(1).to_pylist()), pa.string())], names=["lang", "text"])
+
+    rows = docs.select(language_key(F.col(f"`{lang_col}`")).alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang is not null and text is not null")
+    rows = cut(spread(rows).mapInArrow(bare, "lang string, text string"))
+    often = {lang: n for lang, n in rows.groupBy("lang").count().collect()}
+    model = LanguageModel()
+    model.names = sorted(lang for lang, n in often.items() if n >= RARE) or sorted(often) or model.names
+    model.fit(_summed(rows, model, False))
+    model.refit(_summed(rows, model, True))
+    return model
+
+
+def _summed(rows: DataFrame, model: LanguageModel, right: bool) -> np.ndarray:
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    number = {lang: k for k, lang in enumerate(model.names)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros((len(number), 1 << BITS), np.int64)
+        for b in batches:
+            at = np.array([number.get(x, -1) for x in b.column(0).to_pylist()], np.int64)
+            own = np.flatnonzero(at >= 0)
+            out += shared.value.count(b.column(1).take(pa.array(own)).to_pylist(), at[own], right)
+        return out.ravel()
+
+    return summed(rows, count, len(number) << BITS).reshape(len(number), -1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 #: Hashed byte 4-grams, the weight of the background in each class, the most that one gram may say, and the nats from which a sentence declines.
@@ -283,14 +285,16 @@ class RefusalModel:
     """
 
     def __init__(self, sentences: list[str] = (), declining: list[str] = ()):
-        n_no, n_data = self._count(ANSWERING), self._count(sentences)
-        parts = [x / x.sum() for x in map(self._count, (DECLINING, made(), declining)) if x.any()]
-        yes = sum(parts) / len(parts)
-        self._fit(yes, n_no, n_data)
+        n_data, n_told = self.count(sentences), self.count(declining)
+        self.fit(n_data, n_told)
         if sentences:
-            self._fit(yes, n_no, n_data - self._count([s for s, x in zip(sentences, self.scores(sentences)) if x >= LEAST]))
+            self.fit(n_data - self.count([s for s, x in zip(sentences, self.scores(sentences)) if x >= LEAST]), n_told)
 
-    def _fit(self, yes: np.ndarray, n_no: np.ndarray, n_data: np.ndarray) -> None:
+    def fit(self, n_data: np.ndarray, n_told: np.ndarray) -> None:
+        """Fit to the examples and to how many of the data's sentences have each gram."""
+        n_no, examples = _examples()
+        parts = [x / x.sum() for x in (*examples, n_told) if x.any()]
+        yes = sum(parts) / len(parts)
         own, data = n_no / max(1.0, n_no.sum()), n_data / max(1.0, n_data.sum())
         no = (own + data) / 2 if n_data.any() else own
         back = (yes + no) / 2 + 1e-6
@@ -309,15 +313,17 @@ class RefusalModel:
         ends = np.flatnonzero(b[:-3] == 10)
         return (h >> np.uint32(32 - BITS)).astype(np.int64), np.concatenate([[0], ends[:-1] + 1])
 
-    def _count(self, texts) -> np.ndarray:
+    @classmethod
+    def count(cls, texts: list[str]) -> np.ndarray:
         """How many texts have each gram."""
-        out = np.zeros(1 << BITS)
+        out = np.zeros(1 << BITS, np.int64)
         for lo in range(0, len(texts), 5000):
-            grams, starts = self._buckets(texts[lo : lo + 5000])
+            grams, starts = cls._buckets(texts[lo : lo + 5000])
             size = np.diff(np.append(starts, len(grams)))
             owner = np.repeat(np.arange(len(starts)), size)
             inner = np.arange(len(grams)) < np.repeat(starts + size - 4, size)
-            out += np.bincount(np.unique(owner[inner] << BITS | grams[inner]) & ((1 << BITS) - 1), minlength=1 << BITS)
+            each = np.sort(owner[inner] << BITS | grams[inner])
+            out += np.bincount(each[np.diff(each, prepend=-1) != 0] & ((1 << BITS) - 1), minlength=1 << BITS)
         return out
 
     def scores(self, sentences: list[str]) -> np.ndarray:
@@ -338,3 +344,9 @@ class RefusalModel:
 
     def declines(self, sentence: str) -> bool:
         return self.score(sentence) >= LEAST
+
+
+@lru_cache(maxsize=1)
+def _examples() -> tuple[np.ndarray, list[np.ndarray]]:
+    """The counts of the labelled examples: of those that answer, and of both kinds that decline."""
+    return RefusalModel.count(ANSWERING), [RefusalModel.count(DECLINING), RefusalModel.count(made())]

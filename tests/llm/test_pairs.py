@@ -241,3 +241,100 @@ def test_cut_replies_by_kind():
         cut = [c for c, w in zip(cut, whole) if c[-1] not in "." and w[len(c)] != "\n"]
         assert sum(map(ends.is_truncated, cut)) >= 0.9 * len(cut)
     assert ends.is_truncated("```\nx = 1\n") and ends.is_truncated("The loader reads `--bat") and ends.is_truncated(items() + "\n-")
+
+
+def test_long_texts_teach_too(spark):
+    """Before, replies and documents above 20,000 characters were left out of all models."""
+    d = [(k, f"{EN} {k}", "en") for k in range(20)] + [(k, "\n".join([FR] * 200), "fr") for k in range(3)]
+    m = [(k, k, 1, "assistant", "The loader waits for the line. It reads the file.\nThe model writes the table.\n" * 300, "x") for k in range(3)]
+    rows = [*pair(10, EN + "?", "It waits for the loader. It reads the file."), *pair(11, FR + " ?", EN + ".")]
+    m += [(k, *r, "x") for k, r in enumerate(rows)]
+    got = pairs.defective_pairs(spark.createDataFrame(m, COLS), spark.createDataFrame(d, "doc_id bigint, text string, lang string")).collect()
+    assert {(r.conv_id, r.turn): r.defect for r in got} == {(11, 2): "language"}
+
+
+def test_models_of_all_files_are_those_of_all_rows_in_memory(spark, tmp_path):
+    """Before, they came from 64 files, 12,000 replies, four sentences of each and 3,000 documents."""
+    import numpy as np
+
+    from millrace.llm import ends, refusals
+
+    rng = random.Random(7)
+    words = [*EN.split(), *DE.split(), "I", "can't", "help", "with", "that.", "sorry", "end.", "(end.)", "5", "1.5,", "`x`", "\u00a0"]
+    line = lambda: rng.choice(["", "- ", "3. ", "* "]) + " ".join(rng.choices(words, k=rng.randint(1, 20)))
+    replies = ["\n".join(line() for _ in range(rng.randint(1, 7))) for _ in range(280)] + ["", "I can't help with that. " * 3, "```\nx\n```\n" + EN]
+    labelled = [(lang, f"{text} {line()}") for lang, text in (("en", EN), ("de", DE), ("fr", FR)) for _ in range(30)] + [("fr", EN)]
+    spark.createDataFrame([(t,) for t in replies], "content string").repartition(70).write.parquet(str(tmp_path / "m"))
+    spark.createDataFrame(labelled, "lang string, text string").repartition(70).write.parquet(str(tmp_path / "d"))
+    table, docs = spark.read.parquet(str(tmp_path / "m")), spark.read.parquet(str(tmp_path / "d"))
+    assert len(table.inputFiles()) > 64
+
+    want = language.LanguageModel(labelled)
+    got = language.train(docs)
+    assert got.names == want.names and (got.log == want.log).all()
+
+    said = {s for r in replies for s in pairs.sentences(r)}
+    assert {r.s for r in pairs.sentences_of(table).collect()} == said
+    told = {s for s in said if pairs._REFUSAL.search(s)}
+    assert told and (pairs.train_refusals(table).odds == refusals.RefusalModel(sorted(said - told), sorted(told)).odds).all()
+
+    want = pairs.EndModel(replies)
+    counts = ends.counted(table)
+    model, known = ends.fitted(counts)
+    assert (model.share == want.share).all() and (model.size == want.size).all() and known.count() > 0
+    lines = sorted({x for r in replies for x in r.split("\n") if x.strip()} | {EN, "- unknown", "Odd end?"})
+    items, n, keys = ends.last_contexts(lines, ends.Tokens())
+    rows = spark.createDataFrame([(bool(a), int(b), *map(int, k)) for a, b, k in zip(items, n, keys.T)], "item boolean, n bigint, k0 bigint, k1 bigint, k2 bigint")
+    found = {tuple(r) for r in ends.truncated(rows, counts).collect()}
+    cut = np.array([want.score(x) < 0 for x in lines])
+    assert 0 < cut.sum() < len(lines)
+    assert [(bool(a), int(b), *map(int, k)) in found for a, b, k in zip(items, n, keys.T)] == cut.tolist()
+
+
+def test_the_line_ends_counted_as_they_were():
+    """The counts of contexts against a plain count with words."""
+    from collections import Counter
+
+    from millrace.llm import ends
+
+    rng = random.Random(3)
+    words = ["the", "The", "end", "5", "1.5", "`x y`", ".", "!", ".)", '."', "*", "_a", ","]
+    replies = ["\n".join(rng.choice(["", "- "]) + " ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(rng.randint(1, 5))) for _ in range(60)]
+
+    def tokens(line):
+        out = []
+        item, found = ends._split(line)
+        for t in map(ends._norm, found):
+            if t in ends.CLOSERS and out and out[-1] in ends.STOPS:
+                out[-1] += t
+            else:
+                out.append(t)
+        return item, out
+
+    seen, ended = Counter(), Counter()
+    for r in replies:
+        lines = [x for x in r.split("\n") if x.strip()]
+        for k, line in enumerate(lines):
+            item, own = tokens(line)
+            whole = k + 1 < len(lines) and (not item or tokens(lines[k + 1])[0])
+            for i in range(len(own)):
+                for lo in range(i, max(i - 3, -1), -1):
+                    if i + 1 < len(own) or whole:
+                        seen[item, *own[lo : i + 1]] += 1
+                        ended[item, *own[lo : i + 1]] += i + 1 == len(own)
+    found = Counter()
+    for key, _, n, e, _ in ends.count([replies]):
+        for k, a, b in zip(key.tolist(), n.tolist(), e.tolist()):
+            found[k] += complex(a, b)
+    got = sorted((int(v.real), int(v.imag)) for k, v in found.items() if k not in ends.FIXED and v)
+    assert got == sorted((n, ended[k]) for k, n in seen.items())
+
+
+def test_the_search_of_batches_misses_nothing():
+    rng = random.Random(5)
+    parts = ["I", "can't", "İ", "ı", "won’t", "help", "\u00a0", " ", "ASSIST", "aſſist", "with", "that", "je", "ne", "peux", "aider", "ich", "kann", "nicht", "helfen", "désolé", "sorry", "I understand", "не", "могу", "помочь", "No", "comment", "\x1c", "\u2003", "ma\u212ae", "puedo", "ayudar"]
+    said = ["".join(x + rng.choice([" ", "", "\u00a0", "  "]) for x in rng.choices(parts, k=rng.randint(1, 8))) for _ in range(20_000)] + HELD_OUT + SOUND
+    for s, (refuses, excuses) in zip(said, pairs.may_be(said)):
+        assert refuses or not pairs._REFUSAL.search(s)
+        assert excuses or not pairs._EXCUSE.search(s)
+    assert sum(bool(pairs._REFUSAL.search(s)) for s in said) > 20
