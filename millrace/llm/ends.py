@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.counts import chunks
-from millrace.runtime import cut, small, spread
+from millrace.runtime import cut, small
 
 #: A token that is rarer than this in the replies is unknown to the model.
 KNOWN = 5
@@ -206,12 +206,12 @@ class EndModel:
 
     P(end | last ORDER tokens), each order interpolated with the one below it and the lowest with the kind's share of ends; also, for items, how
     much likelier their number of tokens is at the end than inside. Last lines count too if their last token is known from other lines and
-    ends them at least as often as the kind's tokens do. This one counts in memory; counted(), fitted() and truncated() do the same with tables.
+    ends them at least as often as the kind's tokens do. Equal replies count once. This one counts in memory; counted(), fitted() and truncated() do the same with tables.
     """
 
     def __init__(self, replies: list[str] = ()):
         found: dict[int, list[int]] = {}
-        for rows in count([list(replies)]):
+        for rows in count([list(dict.fromkeys(replies))]):
             for key, first, *n in zip(*(x.tolist() for x in rows)):
                 own = found.setdefault(key, [0, 0, 0, 0])
                 own[:] = [first or own[0], *map(int.__add__, own[1:], n)]
@@ -260,13 +260,13 @@ LINE = ["item", "n", *KEYS]
 
 
 def counted(replies: DataFrame) -> DataFrame:
-    """(key, first, seen, ended, tail) of count(), added up over all replies (content); written out."""
+    """(key, first, seen, ended, tail) of count(), added up over all different replies (content), as copies are no further evidence; written out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in count(b.column(0).to_pylist() for b in batches):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["key", "first", "seen", "ended", "tail"])
 
-    rows = spread(replies).mapInArrow(run, "key bigint, first bigint, seen bigint, ended bigint, tail bigint")
+    rows = replies.distinct().mapInArrow(run, "key bigint, first bigint, seen bigint, ended bigint, tail bigint")
     first = F.max(F.expr("nullif(first, 0)")).alias("first")
     return cut(rows.groupBy("key").agg(first, *[F.sum(c).alias(c) for c in ("seen", "ended", "tail")]))
 

@@ -279,7 +279,8 @@ def test_models_of_all_files_are_those_of_all_rows_in_memory(spark, tmp_path):
     assert told and (pairs.train_refusals(table).odds == refusals.RefusalModel(sorted(said - told), sorted(told)).odds).all()
 
     want = pairs.EndModel(replies)
-    counts = ends.counted(table)
+    counts = ends.counted(table.unionByName(table))  # copies change nothing
+    assert want.counts == pairs.EndModel(replies * 3).counts
     model, known = ends.fitted(counts)
     assert (model.share == want.share).all() and (model.size == want.size).all() and known.count() > 0
     lines = sorted({x for r in replies for x in r.split("\n") if x.strip()} | {EN, "- unknown", "Odd end?"})
