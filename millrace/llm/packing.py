@@ -67,6 +67,11 @@ def plan_blocks(histogram: dict[int, int], capacity: int) -> list[tuple[int, int
     return blocks
 
 
+def capacities(profiles: DataFrame) -> DataFrame:
+    """(profile, capacity) of the profiles that are packed for."""
+    return profiles.where("profile is not null and capacity > 0").groupBy("profile").agg(F.max("capacity").alias("capacity"))
+
+
 def pack(sizes: DataFrame, profiles: DataFrame, id_col: str = "doc_id", ranked: int = RANKED) -> DataFrame:
     """(profile, capacity, container_id, <id>, piece, token_start, n_tokens): every document of `sizes` in every profile.
 
@@ -77,10 +82,7 @@ def pack(sizes: DataFrame, profiles: DataFrame, id_col: str = "doc_id", ranked:
     name counts once, with its largest capacity. Containers are numbered from 0 in each profile.
     """
     spark: SparkSession = sizes.sparkSession
-    caps = {
-        r[0]: r[1]
-        for r in profiles.where("profile is not null and capacity > 0").groupBy("profile").agg(F.max("capacity")).collect()
-    }
+    caps = {r[0]: r[1] for r in capacities(profiles).collect()}
     each = [F.struct(F.lit(k).alias("profile"), F.lit(int(v)).cast("bigint").alias("capacity")) for k, v in sorted(caps.items())]
     profile = F.array(*each) if each else F.array().cast("array<struct<profile:string,capacity:bigint>>")
     item = F.col(f"`{id_col}`")
@@ -141,3 +143,25 @@ def fill_report(packed: DataFrame) -> DataFrame:
         .withColumn("unused", F.expr("containers * capacity - tokens"))
         .withColumn("fill", F.expr("round(tokens / (containers * capacity), 6)"))
     )
+
+
+def verify(packed: DataFrame, sizes: DataFrame, profiles: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(profile, documents, overfull, incomplete), a row per row of profiles: items that have a first piece, containers above the
+    capacity, and ids whose pieces aren't, as often as they should be, those that pack() has to make of the tokens.
+
+    packed: a result of pack(sizes, profiles), materialised, as sizes is. Every piece is held against the tokens in sizes, so that a lost rest, a
+    piece that stands twice or a wrong length is told; nothing is taken from packed that sizes and profiles give.
+    """
+    caps = F.broadcast(capacities(profiles))
+    item, one, none = F.col(f"`{id_col}`").alias("id"), F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    due = sizes.select(item, F.expr("greatest(coalesce(n_tokens, 0L), 0L)").alias("n")).crossJoin(caps)
+    due = due.withColumn("piece", F.explode(F.expr("sequence(0L, greatest((n - 1) div capacity, 0L))"))).withColumn("token_start", F.expr("piece * capacity"))
+    due = due.select("profile", "id", "piece", "token_start", F.expr("least(n - token_start, bigint(capacity))").alias("n_tokens"), one.alias("due"), none.alias("got"))
+    got = packed.select("profile", item, "piece", "token_start", "n_tokens", none.alias("due"), one.alias("got"))
+    pieces = due.unionByName(got).groupBy("profile", "id", "piece", "token_start", "n_tokens").agg(F.sum("due").alias("due"), F.sum("got").alias("got"))
+    wrong = F.when(F.col("due") != F.col("got"), F.struct("id"))  # null ids count, too
+    items = pieces.groupBy("profile").agg(F.sum(F.expr("if(piece = 0, got, 0L)")).alias("documents"), F.count_distinct(wrong).cast("int").alias("incomplete"))
+    loads = packed.groupBy("profile", "container_id").agg(F.sum("n_tokens").alias("t")).join(caps, "profile")
+    full = loads.groupBy("profile").agg(F.sum((F.col("t") > F.col("capacity")).cast("int")).cast("int").alias("overfull"))
+    rows = profiles.select("profile").join(F.broadcast(items), "profile", "left").join(F.broadcast(full), "profile", "left")  # a row per profile
+    return rows.na.fill(0).select("profile", "documents", "overfull", "incomplete")

@@ -81,14 +81,10 @@ def p4_verified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_verified(spark: SparkSession, d: str) -> DataFrame:
-    """(profile, documents, overfull, incomplete) of p5_containers: documents that have a container, containers above the capacity, and
-    documents whose pieces don't follow each other from 0 or are too many."""
-    rows = cut(p5_containers(spark, d))
-    full = rows.groupBy("profile", "container_id").agg(F.sum("n_tokens").alias("t"), F.max("capacity").alias("c")).groupBy("profile").agg(F.sum((F.col("t") > F.col("c")).cast("int")).cast("int").alias("overfull"))
-    by = rows.groupBy("profile", "doc_id").agg(F.count("*").alias("n"), F.max("piece").alias("last"), F.sum("n_tokens").alias("t"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"), F.max("capacity").alias("c"))
-    wrong = (F.col("n") != F.col("last") + 1) | (F.col("t") != F.col("end")) | (F.col("n") > F.greatest(F.lit(1), F.ceil(F.col("t") / F.col("c"))))
-    docs = by.groupBy("profile").agg(F.count("*").alias("documents"), F.sum(wrong.cast("int")).cast("int").alias("incomplete"))
-    return docs.join(full, "profile").select("profile", "documents", "overfull", "incomplete")
+    """(profile, documents, overfull, incomplete) of p5_containers, a row per row of window_profiles: documents that have a container,
+    containers above the capacity, and documents whose pieces aren't those that their tokens make."""
+    sizes, profiles = _sizes(spark, d), table(spark, d, "window_profiles")
+    return packing.verify(cut(packing.pack(sizes, profiles)), sizes, profiles)
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:

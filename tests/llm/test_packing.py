@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from millrace.llm import packing, tokens
+from millrace.llm import packing, queries, tokens
+from tests.compare import differences
 
 PROF = "profile string, capacity int, max_tokens string"
 
@@ -75,3 +76,50 @@ def test_hot_lengths_and_pieces_that_fill_containers(spark):
         assert sum(used.values()) == sum(n or 0 for _, n in rows)
         assert sorted((r.token_start, r.n_tokens) for r in own if r.doc_id == 1000) == [(k, min(cap, 95 - k)) for k in range(0, 95, cap)]
         assert len([r for r in own if r.doc_id < 1000]) == 300 and len({(r.doc_id, r.container_id) for r in own if r.doc_id == 1000}) == -(-95 // cap)
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    def write(texts, profiles=(("a", 10), ("b", 25))):
+        out = tmp_path / str(len(list(tmp_path.iterdir())))
+        spark.createDataFrame(list(texts), "doc_id bigint, text string, source string").write.parquet(f"{out}/documents.parquet")
+        spark.createDataFrame([(*x, "x") for x in profiles], PROF).write.parquet(f"{out}/window_profiles.parquet")
+        return str(out)
+
+    return write
+
+
+TEXTS = [(k, " a" * n, "s") for k, n in ((1, 3), (2, 10), (3, 25), (4, 26), (5, 47), (6, 0))]
+
+
+@pytest.mark.parametrize(
+    "lost, documents, overfull, incomplete",
+    [
+        ("true", 6, 0, 0),
+        ("not (doc_id = 4 and piece = 2)", 6, 0, 1),  # the rest of a document
+        ("not (doc_id = 5 and piece = 4)", 6, 0, 1),
+        ("not (doc_id = 5 and piece = 1)", 6, 0, 1),
+        ("doc_id <> 6", 5, 0, 1),
+        ("doc_id > 2", 4, 0, 2),
+    ],
+)
+def test_what_a_packing_loses_is_told(spark, folder, monkeypatch, lost, documents, overfull, incomplete):
+    whole = packing.pack
+    monkeypatch.setattr(packing, "pack", lambda *a, **k: whole(*a, **k).where(f"profile = 'b' or {lost}"))
+    got = {r.profile: tuple(r)[1:] for r in queries.p5_verified(spark, folder(TEXTS)).collect()}
+    assert got == {"a": (documents, overfull, incomplete), "b": (6, 0, 0)}
+
+
+@pytest.mark.parametrize(
+    "change, overfull, incomplete",
+    [({"n_tokens": "n_tokens - if(doc_id = 3 and piece = 2, 1, 0)"}, 0, 1), ({"token_start": "if(doc_id = 5 and piece = 1, 0, token_start)"}, 0, 1), ({"container_id": "0L"}, 1, 0), ({"capacity": "1000L", "container_id": "0L"}, 1, 0)],
+)
+def test_what_a_packing_changes_is_told(spark, folder, monkeypatch, change, overfull, incomplete):
+    whole = packing.pack
+    monkeypatch.setattr(packing, "pack", lambda *a, **k: whole(*a, **k).selectExpr(*[f"{change.get(c, c)} as {c}" for c in ("profile", "capacity", "container_id", "doc_id", "piece", "token_start", "n_tokens")]))
+    assert [tuple(r) for r in queries.p5_verified(spark, folder(TEXTS, [("a", 10)])).collect()] == [("a", 6, overfull, incomplete)]
+
+
+@pytest.mark.parametrize("texts", [[], [(1, " a" * 47, "s"), (1, " a" * 47, "s"), (1, " a" * 12, "s"), (None, " a" * 31, None), (None, " a", "s"), (2, None, "s"), (2, "", "s")]])
+def test_repeats_nulls_and_no_documents_equal_sql(spark, folder, texts):
+    assert differences(spark, queries.p5_verified, queries.P5_VERIFIED, folder(texts)) is None
